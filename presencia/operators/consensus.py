@@ -41,17 +41,18 @@ def consensus(labels: DataFrame, n_models: int) -> DataFrame:
 def dispersion(labels: DataFrame, n_models: int) -> DataFrame:
     """``dispersion``: the mean over all pairs of genomes, each with itself too, of 4 (agreement - 1/2)^2.
 
-    Counted over classes weighted by their genomes; pairs that never meet add 1 each.
+    Counted over classes weighted by their genomes; pairs that never meet add 1 each, as does a genome with itself; genomes
+    of one class agree in the models that label them.
     """
     words, members = label_classes(labels)
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialise(sizes, "sizes")
+    sizes = materialise(sizes.join(words.groupBy("class").agg((F.count(F.lit(1)) / n_models).alias("agreement")), "class"), "sizes")
     n = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     pairs = consensus(labels, n_models)
     s1, s2 = (sizes.select(F.col("class").alias(f"class_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
-    lost = pairs.join(s1, "class_1").join(s2, "class_2").agg(
-        F.coalesce(F.sum(2 * F.col("n_1") * F.col("n_2") * (1 - 4 * F.pow(F.col("agreement") - 0.5, 2))), F.lit(0.0)).alias("lost")
-    )
+    between = pairs.join(s1, "class_1").join(s2, "class_2").select((2 * F.col("n_1") * F.col("n_2")).alias("k"), "agreement")
+    cells = between.unionByName(sizes.select((F.col("n") * (F.col("n") - 1)).alias("k"), "agreement"))
+    lost = cells.agg(F.coalesce(F.sum(F.col("k") * (1 - 4 * F.pow(F.col("agreement") - 0.5, 2))), F.lit(0.0)).alias("lost"))
     return lost.select((1 - F.col("lost") / float(max(n, 1) ** 2)).alias("dispersion"))
 
 
