@@ -83,7 +83,7 @@ def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULE
     rules by a shuffle.
     """
     rows = df.where(F.col(field).isNotNull() & (F.col(field) != "")).select(
-        *[F.col(c) for c in keep], F.col(field).alias("_field"), skeleton(F.col(field)).alias("_skel")
+        F.struct(*keep).alias("_keep"), F.col(field).alias("_field"), skeleton(F.col(field)).alias("_skel")
     )
     counts = rows.groupBy("_skel").agg(F.count(F.lit(1)).alias("_n"))
     rules = materialise(counts.select("_skel", "_n", _resolved("_skel").alias("_rule")), "rules")
@@ -101,6 +101,6 @@ def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULE
     pieces = F.regexp_extract_all("_field", F.lit(f"[{ORDINARY}]+|[^{ORDINARY}]"), F.lit(0))
     return (
         ruled.where(F.size("_rule") > 0)
-        .select(*keep, F.posexplode(_values(pieces, F.col("_rule"))).alias("_p", "val"))
-        .select(*keep, (F.col("_p") + 1).alias("pos"), "val")
+        .select("_keep", F.posexplode(_values(pieces, F.col("_rule"))).alias("_p", "_val"))
+        .select("_keep.*", (F.col("_p") + 1).alias("pos"), F.col("_val").alias("val"))
     )

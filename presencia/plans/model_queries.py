@@ -360,9 +360,9 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return _enriched(spark, sf).withColumn("p_value", F.round("p_value", 8)).drop("logp")
 
 
-@R.query("significant_enrichment", f"WITH {_ENRICHED} SELECT phylon, function, round(p_value, 8) AS p_value, round(-log10(p_value), 6) AS logp FROM e WHERE p_value < 0.05 AND function <> 'SO:0001217'")
+@R.query("significant_enrichment", f"WITH {_ENRICHED} SELECT phylon, function, round(p_value, 8) AS p_value, round(-log10(p_value), 6) AS logp FROM e WHERE p_value < 0.5 AND function <> 'SO:0001217'")
 def significant_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.significant(_enriched(spark, sf)).select("phylon", "function", F.round("p_value", 8).alias("p_value"), F.round("logp", 6).alias("logp"))
+    return enrich.significant(_enriched(spark, sf), below=0.5).select("phylon", "function", F.round("p_value", 8).alias("p_value"), F.round("logp", 6).alias("logp"))
 
 
 @R.query("exclusive_genes", f"WITH {_W} SELECT any_value(phylon) AS phylon, gene FROM l GROUP BY gene HAVING count(*) = 1")

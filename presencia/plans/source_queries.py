@@ -196,15 +196,19 @@ def sequence_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "near_references",
-    """WITH d AS (SELECT genome_id AS a, taxon_id AS b, avg(gc_content) AS x FROM genome_summary WHERE genome_id IS NOT NULL AND taxon_id IS NOT NULL AND gc_content IS NOT NULL GROUP BY ALL),
-r AS (SELECT min(b) AS b FROM d), c AS (SELECT quantile_cont(x, 0.5) AS c FROM d SEMI JOIN r USING (b)), k AS (SELECT a FROM d SEMI JOIN r USING (b), c GROUP BY a, c HAVING min(x) < c)
-SELECT a, b, round(x, 6) AS x FROM d SEMI JOIN k USING (a) WHERE b IN (SELECT a FROM k)""",
+    """WITH d AS (SELECT c_nationkey::VARCHAR AS a, s_nationkey::VARCHAR AS b, round(avg(l_quantity), 6) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+e AS (SELECT a, b, x FROM d UNION SELECT b, a, x FROM d), r AS (SELECT * FROM e WHERE a IN ('3', '7')), c AS (SELECT avg(q) AS c FROM (SELECT quantile_cont(x, 0.2) AS q FROM r GROUP BY a)),
+k AS (SELECT b AS g FROM r, c GROUP BY b, c HAVING min(x) < c)
+SELECT a, b, x FROM d WHERE a IN (SELECT g FROM k) AND b IN (SELECT g FROM k)""",
 )
 def near_references(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "genome_summary").where("genome_id is not null and taxon_id is not null and gc_content is not null")
-    pairs = rows.groupBy(F.col("genome_id").alias("a"), F.col("taxon_id").alias("b")).agg(F.avg("gc_content").alias("x"))
-    first = pairs.agg(F.min("b").alias("b")).first()["b"]
-    return consensus.near_references(pairs, "a", "b", "x", [first], 0.5).withColumn("x", F.round("x", 6))
+    """Nations by their mean traded quantity, as distances."""
+    names_ = ("lineitem", "orders", "customer", "supplier")
+    line, orders, customer, supplier = (table(spark, sf, t) for t in names_)
+    rows = line.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey")).join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    pairs = rows.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").cast("string").alias("a"), F.col("s_nationkey").cast("string").alias("b")).agg(F.round(F.avg("l_quantity"), 6).alias("x"))
+    return consensus.near_references(pairs, "a", "b", "x", ["3", "7"], 0.2).select("a", "b", "x")
 
 
 @R.query(
