@@ -100,7 +100,7 @@ def sensitivity(pairs: DataFrame, a: str, b: str, distance: str, thresholds: lis
     """``threshold, num_clusters`` from one linkage cut at each, and the first threshold with the elbow's number of clusters."""
     _, d = square(pairs, a, b, distance)
     links = clustering.ward(d)
-    counts = [int(clustering.cut_tree(links, t * d.max()).max()) for t in thresholds]
+    counts = [int(clustering.cut_tree(links, t * d.max(initial=0)).max()) if len(d) else 0 for t in thresholds]
     ordered = sorted(counts)
     elbow = ordered[clustering.elbow_index(np.array(ordered))]
     table = pairs.sparkSession.createDataFrame(list(zip(thresholds, counts, strict=True)), "threshold double, num_clusters int")

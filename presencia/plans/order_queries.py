@@ -115,8 +115,8 @@ def order_groups(spark: SparkSession, sf: str) -> DataFrame:
 _ANCHORED = f"""{_V}, n AS (SELECT gene, row_number() OVER (ORDER BY start, gene)::INT AS anchor FROM b WHERE strain = '{REFERENCE}' AND region = 1),
 e AS (SELECT b.strain, b.gene, n.anchor, row_number() OVER (PARTITION BY b.strain ORDER BY start, b.gene) AS pos, count(*) OVER (PARTITION BY b.strain) AS len FROM b LEFT JOIN n USING (gene)),
 d AS (SELECT strain, count_if(anchor > nxt) * 2 > count(*) AS reversed FROM (SELECT strain, anchor, coalesce(lead(anchor) OVER w, first_value(anchor) OVER w) AS nxt FROM e WHERE anchor IS NOT NULL WINDOW w AS (PARTITION BY strain ORDER BY pos)) GROUP BY strain),
-g AS (SELECT e.* EXCLUDE (pos), CASE WHEN reversed THEN len + 1 - pos ELSE pos END AS pos, reversed FROM e JOIN d USING (strain)),
-h AS (SELECT g.* EXCLUDE (pos), (pos - one + len) % len AS pos, one > 1 AS changed FROM g JOIN (SELECT strain, pos AS one FROM g WHERE anchor = 1) USING (strain))"""
+g AS (SELECT e.* EXCLUDE (pos), CASE WHEN reversed THEN len + 1 - pos ELSE pos END AS pos, coalesce(reversed, false) AS reversed FROM e LEFT JOIN d USING (strain)),
+h AS (SELECT g.* EXCLUDE (pos), (pos - coalesce(one, 1) + len) % len AS pos, coalesce(one, 1) > 1 AS changed FROM g LEFT JOIN (SELECT strain, pos AS one FROM g WHERE anchor = 1) USING (strain))"""
 
 
 def _anchored(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _anchored(spark: SparkSession, sf: str) -> DataFrame:
 @R.query(
     "anchored_vectors",
     f"""WITH {_ANCHORED}, s AS (SELECT strain, list(anchor ORDER BY pos) AS n FROM h WHERE anchor IS NOT NULL GROUP BY strain)
-SELECT strain, string_agg(coalesce(anchor::VARCHAR, gene), ',' ORDER BY pos) AS items, any_value(reversed) AS reversed, any_value(changed) AS changed, any_value(n) = range(1, 6) AS strict FROM h JOIN s USING (strain) GROUP BY strain""",
+SELECT strain, string_agg(coalesce(anchor::VARCHAR, gene), ',' ORDER BY pos) AS items, any_value(reversed) AS reversed, any_value(changed) AS changed, coalesce(any_value(n) = range(1, len(any_value(n)) + 1), false) AS strict FROM h LEFT JOIN s USING (strain) GROUP BY strain""",
 )
 def anchored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = _anchored(spark, sf)
