@@ -37,16 +37,21 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 @cache
-def _folds() -> dict[int, str]:
+def _folds() -> dict[str, str]:
     """Small letters whose capitals have a Latin letter's shape, as that letter: words compare without case."""
     return {
-        ord(low): latin.lower()
+        low: latin.lower()
         for latins, others in (LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK)
         for latin, other in zip(latins, others, strict=True)
         if len(low := other.casefold()) == 1
     }
 
 
+@cache
+def _foldable() -> re.Pattern[str]:
+    return re.compile(f"[{''.join(_folds())}]")
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
@@ -61,7 +66,10 @@ _HASHES = _Hashes()
 def words(text: str) -> list[str]:
     """Runs of letters and digits, without case and without differences that are not seen."""
     folded = canonical(text).casefold()
-    return _WORD.findall(folded if folded.isascii() else folded.translate(_folds()))
+    if not folded.isascii():
+        folds = _folds()
+        folded = _foldable().sub(lambda m: folds[m[0]], folded)
+    return _WORD.findall(folded)
 
 
 def word_hashes(text: str) -> np.ndarray:

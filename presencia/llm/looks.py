@@ -62,8 +62,11 @@ def _class(points: list[int]) -> str:
 
 
 @cache
-def _unstable() -> re.Pattern[str]:
-    """Runs that may change: replaced characters, and those whose quick check for NFC is not a plain yes."""
+def _unstable(astral: bool) -> re.Pattern[str]:
+    """Runs that may change: replaced characters, and those whose quick check for NFC is not a plain yes.
+
+    Texts without astral characters, nearly all, go by a pattern without them, which is a plain table lookup.
+    """
     points = set(replacements())
     for cp in range(0x300, sys.maxunicode + 1):
         ch = chr(cp)
@@ -78,7 +81,7 @@ def _unstable() -> re.Pattern[str]:
         if ord(parts[0]) in replacements():
             points.add(cp)
     points -= {0xD800 + i for i in range(0x800)}
-    return re.compile(f"(?s:.)?[{_class(sorted(points))}]+")
+    return re.compile(f"[{_class(sorted(p for p in points if astral or p < 0x10000))}]+")
 
 
 class _Segments(dict):
@@ -99,7 +102,13 @@ def canonical(text: str) -> str:
     """The canonical form of one text."""
     if text.isascii():
         return text
-    return _unstable().sub(lambda m: _SEGMENTS[m[0]], text)
+    out, last = [], 0
+    for m in _unstable(max(text) > "\uffff").finditer(text):
+        start, end = m.span()
+        start -= start > last  # with the character before it, unless that is in the last segment
+        out += text[last:start], _SEGMENTS[text[start:end]]
+        last = end
+    return "".join(out) + text[last:] if out else text
 
 
 @F.pandas_udf(T.StringType())
