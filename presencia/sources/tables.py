@@ -104,8 +104,18 @@ def pivoted_distances(pairs: DataFrame, ids: DataFrame, samples: list[str]) -> D
 
 
 def empty_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of files without bytes; they are named, not deleted."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length = 0").select("path")
+    """Paths of files without bytes in a folder and below; they are named, not deleted.
+
+    From the file system's listing, since scans skip empty files.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
 
 
 def load_config(path: str) -> dict[str, Any]:
