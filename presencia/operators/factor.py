@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from presencia.kernels.clustering import kmeans_1d
 from presencia.kernels.factor import mca_inertia, nmf, nnls
+from presencia.operators.embed import MAX_POINTS, gram
 from presencia.session import materialise
 
 #: Cells (genes x genomes) of a table that one task may hold densely, 128 MB; larger ones are factorised distributed.
@@ -215,18 +216,15 @@ def ranks_around(scores: DataFrame, metric: str, reach: int = 3) -> DataFrame:
 def mca(p: DataFrame) -> DataFrame:
     """``component, inertia, share, cumulative`` of multiple correspondence analysis over genes with genomes as questions.
 
-    The Burt matrix of a binary table follows from shared genes per pair of genomes and the genomes' gene counts, one
-    self-join on the gene; its 2 n columns are decomposed on the driver for at most 4000 genomes.
+    The Burt matrix of a binary table follows from shared genes per pair of genomes and the genomes' gene counts; its
+    2 n columns are decomposed on the driver for at most MAX_POINTS genomes.
     """
-    p = materialise(p.select("gene", "genome"), "presence")
-    n_genes, n = shape(p)
-    if n > 4000:
-        raise ValueError("more than 4000 genomes")
-    both = p.alias("a").join(p.alias("b"), F.col("a.gene") == F.col("b.gene")).groupBy(F.col("a.genome").alias("x"), F.col("b.genome").alias("y"))
-    rows = both.agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 4000 squared cells
-    ids = np.unique(rows["x"].to_numpy(dtype=str))
-    yes = np.zeros((len(ids), len(ids)))
-    yes[np.searchsorted(ids, rows["x"].to_numpy(dtype=str)), np.searchsorted(ids, rows["y"].to_numpy(dtype=str))] = rows["n"]
+    p = materialise(p.select("gene", "genome").distinct(), "presence")
+    n_genes = p.select("gene").distinct().count()
+    ids = [r["genome"] for r in p.select("genome").distinct().orderBy("genome").limit(MAX_POINTS + 1).collect()]
+    if len(ids) > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} genomes: use mca_leading")
+    yes = gram(p, ids)
     count = np.diag(yes)
     yes_no = count[:, None] - yes
     burt = np.block([[yes, yes_no], [yes_no.T, n_genes - count[:, None] - count[None, :] + yes]])

@@ -119,7 +119,7 @@ def qc_latest_delivery(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "qc_typed",
-    "SELECT line_id, try_cast(nullif(split_part(line, chr(9), 5), '') AS BIGINT) AS genome_length, try_cast(nullif(split_part(line, chr(9), 12), '') AS DOUBLE) AS gc_content FROM genome_summary_raw",
+    "SELECT line_id, CASE WHEN regexp_full_match(split_part(line, chr(9), 5), ' *[+-]?[0-9]+ *') THEN try_cast(trim(split_part(line, chr(9), 5)) AS BIGINT) END AS genome_length, try_cast(nullif(split_part(line, chr(9), 12), '') AS DOUBLE) AS gc_content FROM genome_summary_raw",
 )
 def qc_typed(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda i: F.split_part("line", F.lit("\t"), F.lit(i))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presencia.operators import consensus, enrich, factor
+from presencia.operators import consensus, embed, enrich, factor
 from presencia.operators import presence as pr
 from presencia.plans.presence_queries import P, genes_by_genome
 from presencia.plans.registry import Registry
@@ -442,3 +442,18 @@ def phylon_words(spark: SparkSession, sf: str) -> DataFrame:
     w, _ = taxon_weights(genes_by_genome(spark, sf))
     loci = table(spark, sf, "locus_map").where("cluster is not null").select(F.col("cluster").alias("gene"), F.col("gene_id").alias("locus_tag"))
     return enrich.phylon_words(w, loci.join(table(spark, sf, "annotations").select("locus_tag", "product"), "locus_tag"), 0.4)
+
+
+# --- maps -------------------------------------------------------------------------
+
+
+@R.query("genome_map")
+def genome_map(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.genome_map(genes_by_genome(spark, sf))
+
+
+@R.query("density_models")
+def density_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of density models on the vectors of the embeddings table."""
+    points = table(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
+    return embed.density_models(points, "vec_id", [f"e{i}" for i in range(8)]).drop("labels")

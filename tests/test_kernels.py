@@ -138,3 +138,17 @@ def test_hypergeometric_tail():
         for k in range(0, min(f, q) + 2):
             assert hypergeometric_tail(n, f, q, k) == pytest.approx(exact(n, f, q, k), abs=1e-12)
     assert hypergeometric_tail(2000, 320, 80, 20) == pytest.approx(exact(2000, 320, 80, 20), rel=1e-9)
+
+
+def test_embedding_keeps_groups_together():
+    from presencia.kernels import embedding
+
+    rnd = np.random.default_rng(2)
+    x = np.concatenate([(rnd.random((40, 60)) < p).astype(float) for p in (np.r_[np.full(30, 0.9), np.full(30, 0.05)], np.r_[np.full(30, 0.05), np.full(30, 0.9)])])
+    y = embedding.densmap(x, 8)
+    assert y.shape == (80, 3) and np.isfinite(y).all() and (embedding.densmap(x, 8) == y).all()
+    within = np.linalg.norm(y[:40] - y[:40].mean(0), axis=1).mean()
+    assert np.linalg.norm(y[:40].mean(0) - y[40:].mean(0)) > 2 * within
+    i, j, w = embedding.fuzzy_graph(embedding.cosine_distances(x), 8)
+    assert (i < j).all() and (w > 0).all() and (w <= 1).all()
+    assert embedding.densmap(x[:3], 8).tolist() == [[0, 0, 0]] * 3

@@ -429,3 +429,25 @@ def test_frames_keep_nothing_of_empty_tables(spark):
     assert factor.factorise(p, [2])[0].count() == 0
     assert pr.pan_core_curve(p, 2).count() == 0
     assert synteny.strain_vectors(spark.createDataFrame([], "strain string, contig string, start int, locus string, gene string")).count() == 0
+
+
+def test_maps_and_density_clusters(spark):
+    from presencia.operators import embed
+
+    rnd = random.Random(4)
+    p = spark.createDataFrame([(f"g{i}", f"s{j:03d}") for j in range(60) for i in range(80) if rnd.random() < (0.9 if (i < 40) == (j < 30) else 0.05)], "gene string, genome string")
+    ids = sorted({r["genome"] for r in p.collect()})
+    g = embed.gram(p, ids)
+    sets = {s: {r["gene"] for r in p.collect() if r["genome"] == s} for s in ids[:5]}
+    assert [[len(sets[a] & sets[b]) for a in ids[:5]] for b in ids[:5]] == g[:5, :5].astype(int).tolist()
+    y = embed.genome_map(p, 6)
+    assert y.count() == 60 and y.where("x is null or isnan(x)").count() == 0
+    models = embed.density_models(y, "genome", ["x", "y", "z"])
+    assert models.count() == 25
+    labels = {r["genome"]: r["label"] for r in embed.density_clusters(y, "genome", ["x", "y", "z"]).collect()}
+    if labels:  # the two groups are told apart wherever they are labelled
+        first, second = ({labels[s] for s in part if labels[s] >= 0} for part in (ids[:30], ids[30:]))
+        assert not first & second
+    with pytest.raises(ValueError):
+        embed.neighbours((10, 10), 6)
+    assert embed.neighbours((1000, 500)) == 5 and embed.neighbours((10, 10)) == 2
