@@ -234,6 +234,50 @@ def mca(p: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame(table, "component int, inertia double, share double, cumulative double")
 
 
+def mca_leading(p: DataFrame, k: int = 10, iterations: int = 12, seed: int = 1) -> DataFrame:
+    """``component, inertia`` of the ``k`` leading components for any number of genomes, by subspace iteration.
+
+    The standardised residuals S of the indicator table are never made: S v and S'u are sums over present cells plus
+    terms of the margins, so an iteration is two joins with map-side-combined sums; k x k products are one-row
+    aggregates.  Components whose inertias nearly agree may not have settled; more iterations separate them.
+    """
+    p = materialise(p.select("gene", "genome").distinct(), "presence")
+    m, n = shape(p)
+    k = min(k, n)
+    if not k:
+        return p.sparkSession.createDataFrame([], "component int, inertia double")
+    cols = range(k)
+    start = [(F.xxhash64(F.lit(seed), "genome", F.lit(x)) % 1000 / 1000.0).alias(x) for x in [f"a{i}" for i in cols] + [f"b{i}" for i in cols]]
+    v = p.groupBy("genome").agg(F.count(F.lit(1)).alias("c")).select("genome", (F.col("c") / (m * n)).alias("y"), ((m - F.col("c")) / (m * n)).alias("o"), *start)
+    per = lambda x, mass: F.when(F.col(mass) > 1e-15, x / F.sqrt(mass)).otherwise(0.0)
+
+    def product(rows: DataFrame, parts: tuple[str, ...]) -> np.ndarray:
+        cells = [F.sum(sum((F.col(f"{s}{i}") * F.col(f"{s}{j}") for s in parts), F.lit(0.0))) for i in cols for j in cols]
+        return np.array(rows.agg(F.array(*cells).alias("g")).first()["g"], float).reshape(k, k)
+
+    for turn in range(iterations + 1):
+        # an orthonormal basis of the current vectors
+        values, vectors = np.linalg.eigh(product(v, ("a", "b")))
+        turned = vectors / np.sqrt(np.maximum(values, 1e-18))
+        mixed = lambda s, j: sum((F.col(f"{s}{i}") * float(turned[i, j]) for i in cols), F.lit(0.0)).alias(f"{s}{j}")  # noqa: E731,B023
+        v = materialise(v.select("genome", "y", "o", *[mixed(s, j) for s in "ab" for j in cols]), "basis")
+        alpha = [per(F.col(f"a{i}"), "y") for i in cols]
+        beta = [per(F.col(f"b{i}"), "o") for i in cols]
+        margin = v.agg(F.array(*[F.sum(b) for b in beta]).alias("b"), F.array(*[F.sum((F.col("y") * x + F.col("o") * z) / m) for x, z in zip(alpha, beta, strict=True)]).alias("k")).first()
+        diff = v.select("genome", *[(x - z).alias(f"d{i}") for i, (x, z) in enumerate(zip(alpha, beta, strict=True))])
+        u = p.join(diff, "genome").groupBy("gene").agg(*[(m**0.5 * ((F.sum(f"d{i}") + margin["b"][i]) / (m * n) - margin["k"][i])).alias(f"u{i}") for i in cols])
+        u = materialise(u, "genes")
+        if turn == iterations:
+            break
+        total = u.agg(F.array(*[F.sum(f"u{i}") for i in cols]).alias("t")).first()["t"]
+        sums = p.join(u, "gene").groupBy("genome").agg(*[F.sum(f"u{i}").alias(f"s{i}") for i in cols])
+        back = lambda own, mass, i: per(m**0.5 * (own / (m * n) - F.col(mass) * total[i] / m), mass)  # noqa: E731,B023
+        made = [back(F.col(f"s{i}"), "y", i).alias(f"a{i}") for i in cols] + [back(total[i] - F.col(f"s{i}"), "o", i).alias(f"b{i}") for i in cols]
+        v = materialise(v.select("genome", "y", "o").join(sums, "genome").select("genome", "y", "o", *made), "vectors")
+    inertia = np.linalg.eigvalsh(product(u, ("u",)))[::-1]
+    return p.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(inertia)], "component int, inertia double")
+
+
 def ranks_from_inertia(inertia: DataFrame, extra: list[int], shares: tuple[float, ...] = (0.7, 0.75, 0.8, 0.85, 0.9)) -> DataFrame:
     """2, ``extra`` and the first component at which each cumulative share is reached, distinct and sorted."""
     first = F.array(F.lit(2), *[F.lit(r) for r in extra], *[F.min(F.when(F.col("cumulative") >= s, F.col("component"))) for s in shares])

@@ -217,6 +217,12 @@ def inertia(spark: SparkSession, sf: str) -> DataFrame:
     return factor.mca(genes_by_genome(spark, sf))
 
 
+@R.query("leading_inertia")
+def leading_inertia(spark: SparkSession, sf: str) -> DataFrame:
+    """The two leading components by the distributed way."""
+    return factor.mca_leading(genes_by_genome(spark, sf), 2, 4)
+
+
 @R.query("inertia_ranks")
 def inertia_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return factor.ranks_from_inertia(factor.mca(genes_by_genome(spark, sf)), [5])

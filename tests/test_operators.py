@@ -451,3 +451,19 @@ def test_maps_and_density_clusters(spark):
     with pytest.raises(ValueError):
         embed.neighbours((10, 10), 6)
     assert embed.neighbours((1000, 500)) == 5 and embed.neighbours((10, 10)) == 2
+
+
+def test_leading_inertias_as_by_the_whole_decomposition(spark):
+    rnd = random.Random(7)
+    p = spark.createDataFrame([(f"g{i}", f"s{j}") for i in range(60) for j in range(12) if rnd.random() < [0.9, 0.2][(i % 3 == 0) == (j < 5)] or j == 11], "gene string, genome string")
+    z = np.zeros((60, 12))
+    for r in p.collect():
+        z[int(r["gene"][1:]), int(r["genome"][1:])] = 1
+    z = z[z.any(1)]
+    x = np.concatenate([z, 1 - z], 1)
+    x = x[:, x.any(0)] / x.sum()
+    s = np.linalg.svd((x - np.outer(x.sum(1), x.sum(0))) / np.sqrt(np.outer(x.sum(1), x.sum(0))), compute_uv=False)
+    lead = [r["inertia"] for r in factor.mca_leading(p, 5, 9).orderBy("component").collect()]
+    assert lead[:2] == pytest.approx((s[:2] ** 2).tolist(), rel=0.02) and all(x <= y + 1e-9 for x, y in zip(lead, s**2))
+    whole = [r["inertia"] for r in factor.mca(p).orderBy("component").collect()]
+    assert whole[:4] == pytest.approx((s[:4] ** 2).tolist(), rel=1e-6)
