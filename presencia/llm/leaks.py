@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presencia.llm.looks import LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK, canonical
-from presencia.session import materialise
+from presencia.session import materialise, spread
 
 #: Words in a window, and the positions that each mask looks at.
 SPAN = 12
@@ -232,7 +232,7 @@ def leaks(corpus: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_
     spark = corpus.sparkSession
     shown = spark.sparkContext.broadcast(bytes(bitmap))
     passages = materialise(
-        corpus.select(F.col(doc_id).cast("bigint"), F.col(doc_text))
+        spread(corpus.select(F.col(doc_id).cast("bigint"), F.col(doc_text)))
         .mapInArrow(_scan(shown), "doc_id bigint, start int, doc_words array<bigint>, hits array<bigint>"),
         "passages",
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presencia.operators.skew import salted_lookup
-from presencia.session import materialise
+from presencia.session import materialise, spread
 
 # Letters of the same shape, Latin and Cyrillic, Latin and Greek.
 LATIN_FOR_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxy", "АВСЕНІЈКМОРЅТХУасеіјорѕху")
@@ -124,10 +124,8 @@ def canonical_text(text: Column) -> Column:
 
 def _hashed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Ids with 128-bit digests of the canonical and the stored form of the non-empty texts."""
-    return (
-        df.where(F.col(text).isNotNull() & (F.col(text) != ""))
-        .select(F.col(doc_id).alias("id"), F.md5(canonical_text(F.col(text))).alias("canon"), F.md5(text).alias("raw"))
-    )
+    held = spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    return held.select("id", F.md5(canonical_text(F.col("text"))).alias("canon"), F.md5("text").alias("raw"))
 
 
 #: Documents of one stored form that one task joins at once.
