@@ -128,7 +128,7 @@ def _hashed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return held.select("id", F.md5(canonical_text(F.col("text"))).alias("canon"), F.md5("text").alias("raw"))
 
 
-#: Documents of one stored form that one task joins at once.
+#: Documents of one stored form, and stored forms of one class, that one task joins at once.
 PART_ROWS = 2000
 
 
@@ -140,21 +140,23 @@ def look_alike_pairs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     only where their texts differ.
 
     Scale: only digests are shuffled.  Documents first collapse to stored forms; only
-    classes with two forms or more go on; forms are paired, and their documents joined
+    classes with two forms or more go on; forms are paired, and their documents joined,
     in parts of PART_ROWS on either side, so no pair of equal texts is ever made and a hot
     class is spread over tasks.  The output itself grows with the copies, as asked.
     """
     docs = materialise(_hashed(df, doc_id, text), "look_alikes")
     forms = docs.groupBy("canon", "raw").agg(F.count(F.lit(1)).alias("n"))
-    several = forms.groupBy("canon").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("canon")
-    forms = materialise(forms.join(several, "canon", "left_semi").withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")), "forms")
+    several = forms.groupBy("canon").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    forms = salted_lookup(forms, several, ["canon"], "k", F.col("raw"))
+    forms = materialise(forms.withColumns({p: F.ceil(F.col(c) / PART_ROWS).cast("int") for p, c in (("parts", "n"), ("form_parts", "k"))}), "forms")
     members = (
         salted_lookup(docs.select("raw", "id"), forms.select("raw", "n", "parts"), ["raw"], "n", F.col("id"))
         .select("raw", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     )
     part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a, b = (forms.select("canon", F.col("raw").alias(f"raw_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
-    pairs = a.join(b, "canon").where("raw_a < raw_b").drop("canon")
+    deal = {"a": F.pmod(F.xxhash64("raw"), F.col("form_parts")).cast("int"), "b": part("form_parts")}
+    a, b = (forms.select("canon", deal[x].alias("deal"), F.col("raw").alias(f"raw_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    pairs = a.join(b, ["canon", "deal"]).where("raw_a < raw_b").drop("canon", "deal")
     pairs = pairs.withColumn("part_a", part("parts_a")).withColumn("part_b", part("parts_b")).drop("parts_a", "parts_b")
     for x in "ab":
         pairs = pairs.join(members.select(F.col("raw").alias(f"raw_{x}"), F.col("part").alias(f"part_{x}"), F.col("id").alias(f"id_{x}")), [f"raw_{x}", f"part_{x}"])

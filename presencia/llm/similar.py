@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from presencia.operators.skew import salted_lookup
 from presencia.session import materialise
@@ -88,8 +87,9 @@ def _prefix_split(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         .withColumn("i", F.expr(f"slice(i, 1, size(i) - cast(ceil(size(i) * {num} / {den}) as int) + 1)"))
         .select("set", F.explode("i.item").alias("item"))
     )
-    keyed = rows.select("bucket", "set", "size").join(prefix, "set")
-    return keyed.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("bucket", "item"))).where("count > 1")
+    keyed = materialise(rows.select("bucket", "set", "size").join(prefix, "set"), "prefix_rows")
+    shared = keyed.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return salted_lookup(keyed, shared, ["bucket", "item"], "count", F.col("set"))
 
 
 def similar_sets(df: DataFrame, record: str, item: str, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
