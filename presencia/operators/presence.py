@@ -53,7 +53,7 @@ def header_alleles(clstr: DataFrame, shared: DataFrame | None, name: str, kind:
     own = clstr.select("header", names.feature_name(F.lit(name), F.lit(kind), F.col("cluster"), F.lit("A"), F.col("member")).alias("allele"))
     if shared is None:
         return own
-    pairs = shared.select("representative", F.explode("headers").alias("header")).where("header <> representative")
+    pairs = shared.select("representative", F.explode("headers").alias("header")).where("header <> representative").distinct()
     syn = pairs.join(own.withColumnRenamed("header", "representative"), "representative").select("header", "allele")
     return own.join(pairs.select("header"), "header", "left_anti").unionByName(syn)
 

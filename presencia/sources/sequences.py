@@ -206,6 +206,12 @@ def representatives(members: DataFrame, seqs: DataFrame, name: str, kind: str =
     return seqs.select("header", "seq").join(own, "header").select("allele", "seq")
 
 
+def representatives_of(headers: DataFrame, seqs: DataFrame) -> DataFrame:
+    """``allele, seq``: each allele's sequence, that of its first header in order."""
+    named = seqs.where(F.col("seq") != "").join(headers, "header")
+    return named.groupBy("allele").agg(F.min_by("seq", F.struct("genome", "ord")).alias("seq"))
+
+
 def product_annotations(gff: DataFrame, alleles: DataFrame, types: list[str] | None = None, key: Callable[[Column], Column] = names.header_key) -> DataFrame:
     """``allele, ord, annotation``: decoded products of features by their id (or locus tag), a plus staying a plus."""
     rows = gff if types is None else gff.where(F.col("type").isin(types))

@@ -108,7 +108,7 @@ def test_features_of_gff(spark, files):
     gff = sq.read_gff(spark, str(files / "g.gff"))
     assert got(gff.select("genome", "contig", "type", "start", "stop", "id")) == [("g", "k1", "CDS", 17, 26, "f2"), ("g", "k1", "CDS", 5, 15, "f1"), ("g", "k1", "region", 0, 40, "r"), ("g", "k1", "tRNA", 29, 38, "f3"), ("g", "k2", "tRNA", 0, 4, "f4")]
     assert got(sq.region_length(gff)) == [("g", 40)]
-    contig = "".join(random.Random(1).choice("ACGT") for _ in range(40))
+    contig = "".join(random.Random(1).choices("ACGT", k=40))
     contigs = spark.createDataFrame([("g", "k1", contig)], "genome string, contig string, seq string")
     rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
     assert got(sq.sliced(gff, contigs, ["tRNA"]).select("id", "seq")) == [("f3", rc(contig[29:38]))]
@@ -467,3 +467,72 @@ def test_leading_inertias_as_by_the_whole_decomposition(spark):
     assert lead[:2] == pytest.approx((s[:2] ** 2).tolist(), rel=0.02) and all(x <= y + 1e-9 for x, y in zip(lead, s**2))
     whole = [r["inertia"] for r in factor.mca(p).orderBy("component").collect()]
     assert whole[:4] == pytest.approx((s[:4] ** 2).tolist(), rel=1e-6)
+
+
+# --- builds, sketches, files ------------------------------------------------------
+
+
+def test_cds_build_from_files(spark, files):
+    from presencia.operators import build
+
+    paths = [str(files / "g2.faa"), str(files / "g1.faa")]
+    made = build.cds_pangenome(spark, paths, str(files / "x.clstr"), "X")
+    # in the order of the list c comes first and represents a, which has a line of its own
+    assert got(made.headers) == [("a", "X_C0A1"), ("b", "X_C1A0"), ("c", "X_C0A1"), ("d", "X_C2A0")]
+    assert got(made.genes) == [("X_C0", "g1"), ("X_C0", "g2"), ("X_C1", "g1"), ("X_C2", "g2")]
+    own = build.cds_pangenome(spark, paths, str(files / "x.clstr"), "X", synonyms=False)
+    assert got(own.alleles) == [("X_C0A0", "g1"), ("X_C0A1", "g2"), ("X_C1A0", "g1"), ("X_C2A0", "g2")]
+    made.save(str(files / "saved"), {"name": "X"})
+    back, meta = tb.load_tables(spark, str(files / "saved"))
+    assert got(back["genes"]) == got(made.genes) and meta["name"] == "X"
+    assert got(back["sequences"]) == [("X_C0A1", "MKVLLT"), ("X_C1A0", "MKK"), ("X_C2A0", "MAA")] and got(back["empty"]) == [("g1", "empty")]
+    seqs = build.by_name(sq.read_fasta(spark, paths, last_wins=False))
+    assert got(build.representatives(seqs)) == [("a", "MKVLLT"), ("b", "MKK"), ("d", "MAA")]
+
+
+def test_noncoding_and_proximal_builds(spark, files):
+    from presencia.operators import build
+
+    contig = "".join(random.Random(1).choices("ACGT", k=40))
+    (files / "g.fna").write_text(f">accn|k1\n{contig[:25]}\n{contig[25:]}\n>accn|k2\nACGTACGT\n")
+    (files / "t.clstr").write_text(">Cluster 0\n0\t9nt, >f3... *\n>Cluster 1\n0\t4nt, >f4... *\n")
+    made = build.noncoding_pangenome(spark, [str(files / "g.gff")], [str(files / "g.fna")], str(files / "t.clstr"), "N")
+    assert got(made.genes) == [("N_T0", "g"), ("N_T1", "g")] and ("N_T1A0", "ACGT") in got(made.sequences)
+    headers = spark.createDataFrame([("f1", "X_C1A0"), ("f2", "X_C1A1")], "header string, allele string")
+    up = build.proximal_pangenome(spark, [str(files / "g.gff")], [str(files / "g.fna")], headers, "upstream", (-4, 3))
+    assert got(up.select("gene", "seq", "prox_id")) == sorted([("X_C1", contig[1:8], "X_C1U0"), ("X_C1", contig[13:20], "X_C1U1")])
+    coding = build.coding_nucleotide_pangenome(spark, [str(files / "g.gff")], [str(files / "g.fna")], str(files / "t.clstr"), "N", ("tRNA",))
+    assert got(coding.genes) == [("N_C0", "g"), ("N_C1", "g")]
+
+
+def test_sketch_distances(spark):
+    from presencia.sources import sketches
+
+    rnd = random.Random(5)
+    base = "".join(rnd.choice("ACGT") for _ in range(20_000))
+    near = "".join(c if rnd.random() > 0.02 else rnd.choice("ACGT") for c in base)
+    rc = base[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [("base", base[:9000]), ("base", base[9000:]), ("near", near), ("mirror", rc), ("far", "".join(rnd.choice("ACGT") for _ in range(20_000))), ("short", "ACGTN"), ("none", None)]
+    df = spark.createDataFrame(rows, "genome string, seq string")
+    d = {(r["genome1"], r["genome2"]): r["distance"] for r in sketches.distances(sketches.sketches(df)).collect()}
+    assert d["base", "mirror"] < 0.002 and 0.01 < d["base", "near"] < 0.025 and d.get(("base", "far"), 1) > 0.2
+
+
+def test_files_are_fetched_once_and_whole(tmp_path):
+    import io
+
+    from presencia.sources.fetch import fetch, genome_files
+
+    asked = []
+
+    def open_url(url):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError("no such file")
+        return io.BytesIO(url.encode())
+
+    wanted = genome_files(["1.1", "bad"], "ftp://host/{id}/{id}.{kind}", str(tmp_path))
+    assert fetch(wanted, open_url=open_url) == ["bad", "bad"] and (tmp_path / "gff" / "1.1.gff").read_text() == "ftp://host/1.1/1.1.gff"
+    assert fetch(wanted[:2], open_url=open_url) == [] and len(asked) == 4
+    fetch(wanted[:1], force=True, open_url=open_url)
+    assert len(asked) == 5 and not list(tmp_path.rglob("*.part"))
