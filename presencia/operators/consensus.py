@@ -13,14 +13,14 @@ from presencia.session import materialise
 MAX_LEAVES = 5000
 
 
-def top_phylon(h: DataFrame, model: str = "rank") -> DataFrame:
-    """``model, genome, phylon``: each genome's strongest phylon, the first of equal ones (and where all are 0)."""
-    return h.groupBy(F.col(model).alias("model"), "genome").agg(F.min_by("phylon", F.struct((-F.col("h")).alias("h"), "phylon")).alias("phylon"))
+def top_component(h: DataFrame, model: str = "rank") -> DataFrame:
+    """``model, genome, component``: each genome's strongest component, the first of equal ones (and where all are 0)."""
+    return h.groupBy(F.col(model).alias("model"), "genome").agg(F.min_by("component", F.struct((-F.col("h")).alias("h"), "component")).alias("component"))
 
 
 def label_classes(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Genomes that all models put together as one class: (class, model, phylon) and (class, genome)."""
-    words = labels.groupBy("genome").agg(F.array_sort(F.collect_list(F.struct("model", "phylon"))).alias("word"))
+    """Genomes that all models put together as one class: (class, model, component) and (class, genome)."""
+    words = labels.groupBy("genome").agg(F.array_sort(F.collect_list(F.struct("model", "component"))).alias("word"))
     classes = words.groupBy("word").agg(F.min("genome").alias("class"))
     members = words.join(classes, "word").select("class", "genome")
     return classes.select("class", F.inline("word")), members
@@ -33,8 +33,8 @@ def consensus(labels: DataFrame, n_models: int) -> DataFrame:
     """
     words, _ = label_classes(labels)
     words = materialise(words, "words")
-    a, b = (words.select("model", "phylon", F.col("class").alias(f"class_{i}")) for i in (1, 2))
-    met = a.join(b, ["model", "phylon"]).where("class_1 < class_2")
+    a, b = (words.select("model", "component", F.col("class").alias(f"class_{i}")) for i in (1, 2))
+    met = a.join(b, ["model", "component"]).where("class_1 < class_2")
     return met.groupBy("class_1", "class_2").agg((F.count(F.lit(1)) / n_models).alias("agreement"))
 
 
@@ -150,7 +150,7 @@ def tree(x: DataFrame, leaf: str, item: str) -> tuple[list[str], np.ndarray, Dat
     """Leaves, Ward links and ``cluster, leaf, size`` of a binary table by its leaves' item sets.
 
     Squared Euclidean distance between two sets is the size of their symmetric difference, from shared
-    items per pair; leaves are few (phylons), at most MAX_LEAVES.
+    items per pair; leaves are few (components), at most MAX_LEAVES.
     """
     x = materialise(x.select(F.col(leaf).alias("leaf"), F.col(item).alias("item")).distinct(), "tree")
     sizes = {r["leaf"]: r["n"] for r in x.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).orderBy("leaf").limit(MAX_LEAVES + 1).collect()}

@@ -1,6 +1,6 @@
-"""Which functions are over-represented among the genes of each phylon.
+"""Which functions are over-represented among the genes of each component.
 
-Weights are (gene, phylon, w), functions (gene, function); a gene is in a phylon above a cutoff of its weight.
+Weights are (gene, component, w), functions (gene, function); a gene is in a component above a cutoff of its weight.
 """
 
 from __future__ import annotations
@@ -21,24 +21,24 @@ def _log_factorials(n: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 
 
-def hypergeometric_tail(n_all: int, n_function: int, n_phylon: int, k: int) -> float:
-    """P(X >= k) for n_phylon draws from n_all with n_function marked; 1 for k <= 0, 0 beyond what is possible."""
-    if k <= max(0, n_phylon + n_function - n_all):
+def hypergeometric_tail(n_all: int, n_function: int, n_component: int, k: int) -> float:
+    """P(X >= k) for n_component draws from n_all with n_function marked; 1 for k <= 0, 0 beyond what is possible."""
+    if k <= max(0, n_component + n_function - n_all):
         return 1.0
-    top = min(n_function, n_phylon)
+    top = min(n_function, n_component)
     if k > top:
         return 0.0
-    f = _log_factorials(max(n_all, n_function, n_phylon))
+    f = _log_factorials(max(n_all, n_function, n_component))
     i = np.arange(k, top + 1)
-    rest = n_all - n_function - n_phylon + i
-    logs = f[n_function] - f[i] - f[n_function - i] + f[n_all - n_function] - f[n_phylon - i] - f[rest] - f[n_all] + f[n_phylon] + f[n_all - n_phylon]
+    rest = n_all - n_function - n_component + i
+    logs = f[n_function] - f[i] - f[n_function - i] + f[n_all - n_function] - f[n_component - i] - f[rest] - f[n_all] + f[n_component] + f[n_all - n_component]
     peak = logs.max()
     return float(min(1.0, np.exp(peak) * np.exp(logs - peak).sum()))
 
 
 @F.pandas_udf(T.DoubleType())
-def _tail(n_all: pd.Series, n_function: pd.Series, n_phylon: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_tail(*map(int, r)) for r in zip(n_all, n_function, n_phylon, k, strict=True)])
+def _tail(n_all: pd.Series, n_function: pd.Series, n_component: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([hypergeometric_tail(*map(int, r)) for r in zip(n_all, n_function, n_component, k, strict=True)])
 
 
 def exploded_functions(df: DataFrame, column: str = "go", delimiter: str = ", ") -> DataFrame:
@@ -52,29 +52,29 @@ def frequent_functions(functions: DataFrame, more_than: int = 3) -> DataFrame:
 
 
 def enrichment(weights: DataFrame, functions: DataFrame, products: DataFrame | None = None, cutoff: float = 0.0) -> DataFrame:
-    """``phylon, function, n_all, n_function, n_phylon, overlap, p_value, logp`` for every pair that shares a gene.
+    """``component, function, n_all, n_function, n_component, overlap, p_value, logp`` for every pair that shares a gene.
 
-    n_all: distinct genes with a function row; n_function: the function's rows, repeated ones counted as delivered; n_phylon:
-    the phylon's genes above the cutoff; overlap: distinct genes in both.  Pairs without a shared gene have p = 1 and no
+    n_all: distinct genes with a function row; n_function: the function's rows, repeated ones counted as delivered; n_component:
+    the component's genes above the cutoff; overlap: distinct genes in both.  Pairs without a shared gene have p = 1 and no
     row, so nothing is crossed.  With ``products`` (gene, product) the shared genes' products are added, joined by ``; `` in order
     of gene and product.  Null genes and functions do not count.
     """
     functions = functions.select("gene", "function").where("gene is not null")
-    inside = weights.where(F.col("w") > cutoff).select("gene", "phylon").distinct()
+    inside = weights.where(F.col("w") > cutoff).select("gene", "component").distinct()
     n_all = functions.agg(F.countDistinct("gene").alias("n")).first()["n"]
     listed = functions.where("function is not null")
     n_function = listed.groupBy("function").agg(F.count(F.lit(1)).alias("n_function"))
-    n_phylon = inside.groupBy("phylon").agg(F.count(F.lit(1)).alias("n_phylon"))
+    n_component = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n_component"))
     met = inside.join(listed.distinct(), "gene")
-    found = met.groupBy("phylon", "function").agg(F.count(F.lit(1)).alias("overlap")).join(n_function, "function").join(n_phylon, "phylon")
-    tail = _tail(F.lit(n_all), F.least("n_function", F.lit(n_all)), F.least("n_phylon", F.lit(n_all)), "overlap")
-    out = found.select("phylon", "function", F.lit(n_all).cast("bigint").alias("n_all"), "n_function", "n_phylon", "overlap", tail.alias("p_value"))
+    found = met.groupBy("component", "function").agg(F.count(F.lit(1)).alias("overlap")).join(n_function, "function").join(n_component, "component")
+    tail = _tail(F.lit(n_all), F.least("n_function", F.lit(n_all)), F.least("n_component", F.lit(n_all)), "overlap")
+    out = found.select("component", "function", F.lit(n_all).cast("bigint").alias("n_all"), "n_function", "n_component", "overlap", tail.alias("p_value"))
     out = out.withColumn("logp", -F.log10("p_value"))
     if products is None:
         return out
     named = met.join(products.select("gene", "product").where("product is not null"), "gene")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", "product"))), lambda s: s["product"]), "; ")
-    return out.join(named.groupBy("phylon", "function").agg(text.alias("products")), ["phylon", "function"], "left")
+    return out.join(named.groupBy("component", "function").agg(text.alias("products")), ["component", "function"], "left")
 
 
 def named_functions(found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -87,26 +87,26 @@ def significant(found: DataFrame, below: float = 0.05, leave_out: tuple[str, ...
     return found.where((F.col("p_value") < below) & ~F.col("function").isin(*leave_out))
 
 
-def phylon_by_function(found: DataFrame, functions: list[str], value: str = "p_value") -> DataFrame:
+def component_by_function(found: DataFrame, functions: list[str], value: str = "p_value") -> DataFrame:
     """A wide table of mean values, for export of chosen functions."""
-    return found.groupBy("phylon").pivot("function", functions).agg(F.avg(value))
+    return found.groupBy("component").pivot("function", functions).agg(F.avg(value))
 
 
-def phylon_words(weights: DataFrame, products: DataFrame, cutoff: float = 0.0) -> DataFrame:
-    """``phylon, word, n`` of the product texts of each phylon's genes."""
-    inside = weights.where(F.col("w") > cutoff).select("gene", "phylon").distinct()
+def component_words(weights: DataFrame, products: DataFrame, cutoff: float = 0.0) -> DataFrame:
+    """``component, word, n`` of the product texts of each component's genes."""
+    inside = weights.where(F.col("w") > cutoff).select("gene", "component").distinct()
     words = inside.join(products.select("gene", names.product_words(F.col("product")).alias("words")), "gene")
-    return words.select("phylon", F.explode("words").alias("word")).groupBy("phylon", "word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("component", F.explode("words").alias("word")).groupBy("component", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exclusive_genes(l_bin: DataFrame) -> DataFrame:
-    """``phylon, gene``: genes in exactly one phylon."""
-    one = l_bin.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.first("phylon").alias("phylon"))
-    return one.where("n = 1").select("phylon", "gene")
+    """``component, gene``: genes in exactly one component."""
+    one = l_bin.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.first("component").alias("component"))
+    return one.where("n = 1").select("component", "gene")
 
 
 def active_histogram(l_bin: DataFrame, genes: DataFrame) -> DataFrame:
-    """``n_active, n_genes, cumulative``: genes by their number of phylons, 0 included."""
+    """``n_active, n_genes, cumulative``: genes by their number of components, 0 included."""
     n = genes.select("gene").distinct().join(l_bin.groupBy("gene").agg(F.count(F.lit(1)).alias("n")), "gene", "left")
     counts = n.groupBy(F.coalesce("n", F.lit(0)).alias("n_active")).agg(F.count(F.lit(1)).alias("n_genes"))
     from pyspark.sql.window import Window
@@ -115,31 +115,31 @@ def active_histogram(l_bin: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def frequency_regression(freq: DataFrame, l_bin: DataFrame) -> DataFrame:
-    """``slope, intercept, r2`` of the genes' numbers of phylons on their frequencies."""
+    """``slope, intercept, r2`` of the genes' numbers of components on their frequencies."""
     n = freq.join(l_bin.groupBy("gene").agg(F.count(F.lit(1)).alias("n")), "gene", "left").select("freq", F.coalesce("n", F.lit(0)).alias("n"))
     return n.agg(F.regr_slope("n", "freq").alias("slope"), F.regr_intercept("n", "freq").alias("intercept"), F.regr_r2("n", "freq").alias("r2"))
 
 
-def gene_order(l_bin: DataFrame, genes: DataFrame, phylons: list) -> DataFrame:
-    """``gene, n_active, phylon_rank``, the sort key of a heat map: no phylon first, then single ones in the phylons' order, then more.
+def gene_order(l_bin: DataFrame, genes: DataFrame, components: list) -> DataFrame:
+    """``gene, n_active, component_rank``, the sort key of a heat map: no component first, then single ones in the components' order, then more.
 
-    Genes of several phylons sort by their whole set of phylons.
+    Genes of several components sort by their whole set of components.
     """
-    at = F.array_position(F.array(*[F.lit(p) for p in phylons]), F.col("phylon"))
+    at = F.array_position(F.array(*[F.lit(p) for p in components]), F.col("component"))
     sets = l_bin.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("n_active"), F.array_sort(F.collect_list(at)).alias("ranks"))
     rows = genes.select("gene").distinct().join(sets, "gene", "left")
-    return rows.select("gene", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce(F.array_join("ranks", ","), F.lit("")).alias("phylon_rank"))
+    return rows.select("gene", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce(F.array_join("ranks", ","), F.lit("")).alias("component_rank"))
 
 
-def strain_order(a_bin: DataFrame, genomes: DataFrame, phylons: list[str]) -> DataFrame:
-    """``genome, position``: genomes without a phylon, then by their first phylon in order with single ones before others.
+def strain_order(a_bin: DataFrame, genomes: DataFrame, components: list[str]) -> DataFrame:
+    """``genome, position``: genomes without a component, then by their first component in order with single ones before others.
 
-    Phylons whose names hold ``unchar`` come last.
+    Components whose names hold ``unchar`` come last.
     """
     from pyspark.sql.window import Window
 
-    order = [p for p in phylons if "unchar" not in str(p)] + [p for p in phylons if "unchar" in str(p)]
-    at = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("phylon"))
+    order = [p for p in components if "unchar" not in str(p)] + [p for p in components if "unchar" in str(p)]
+    at = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("component"))
     sets = a_bin.groupBy("genome").agg(F.min(at).alias("r"), F.count(F.lit(1)).alias("n"))
     rows = genomes.select("genome").distinct().join(sets, "genome", "left")
     key = [F.coalesce("r", F.lit(0)), (F.coalesce("n", F.lit(0)) > 1), F.col("genome")]
@@ -147,5 +147,5 @@ def strain_order(a_bin: DataFrame, genomes: DataFrame, phylons: list[str]) -> Da
 
 
 def members_by(a: DataFrame, threshold: float, labels: DataFrame, label: str) -> DataFrame:
-    """``phylon, label, n``: genomes at or above a threshold of affinity, counted by a label (null labels too)."""
-    return a.where(F.col("h") >= threshold).join(labels, "genome", "left").groupBy("phylon", label).agg(F.count(F.lit(1)).alias("n"))
+    """``component, label, n``: genomes at or above a threshold of affinity, counted by a label (null labels too)."""
+    return a.where(F.col("h") >= threshold).join(labels, "genome", "left").groupBy("component", label).agg(F.count(F.lit(1)).alias("n"))

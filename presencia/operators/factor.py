@@ -1,6 +1,6 @@
 """Factors of a presence table: fit, normalise, binarise, reconstruct, score, choose ranks.
 
-Weights are long: (rank, gene, phylon, w) and (rank, genome, phylon, h), phylons from 0.  A pair without a
+Weights are long: (rank, gene, component, w) and (rank, genome, component, h), components from 0.  A pair without a
 row in a binarised table is 0.  Presence is (gene, genome).
 """
 
@@ -31,7 +31,7 @@ def shape(p: DataFrame) -> tuple[int, int]:
 
 
 def factorise(p: DataFrame, ranks: list[int], max_iter: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(rank, gene, phylon, w) and (rank, genome, phylon, h) of each rank.
+    """(rank, gene, component, w) and (rank, genome, component, h) of each rank.
 
     Tables up to DENSE_CELLS are fitted whole, a task per rank, from a deterministic start; larger ones by
     distributed multiplicative updates.  Ranks must be positive; an empty table gives no rows.
@@ -54,14 +54,14 @@ def factorise(p: DataFrame, ranks: list[int], max_iter: int = 10_000) -> tuple[D
         x[gene, genome] = 1
         w, h, _ = nmf(x, rank, max_iter)
         w, h = w[:, (order := np.argsort(-w.sum(0) * h.sum(1), kind="stable"))], h[order]
-        side = lambda kind, keys, m: pd.DataFrame({"rank": rank, "kind": kind, "key": np.repeat(keys, rank), "phylon": np.tile(np.arange(rank), len(keys)), "x": m.reshape(-1)})
+        side = lambda kind, keys, m: pd.DataFrame({"rank": rank, "kind": kind, "key": np.repeat(keys, rank), "component": np.tile(np.arange(rank), len(keys)), "x": m.reshape(-1)})
         return pd.concat([side("w", g, w), side("h", s, h.T)])
 
     spread = p.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in sorted(set(ranks))])))
-    out = materialise(spread.groupBy("rank").applyInPandas(fit, "rank int, kind string, key string, phylon int, x double"), "factors")
+    out = materialise(spread.groupBy("rank").applyInPandas(fit, "rank int, kind string, key string, component int, x double"), "factors")
     return (
-        out.where("kind = 'w'").select("rank", F.col("key").alias("gene"), "phylon", F.col("x").alias("w")),
-        out.where("kind = 'h'").select("rank", F.col("key").alias("genome"), "phylon", F.col("x").alias("h")),
+        out.where("kind = 'w'").select("rank", F.col("key").alias("gene"), "component", F.col("x").alias("w")),
+        out.where("kind = 'h'").select("rank", F.col("key").alias("genome"), "component", F.col("x").alias("h")),
     )
 
 
@@ -101,24 +101,24 @@ def factorise_large(p: DataFrame, rank: int, iterations: int = 50, seed: int = 1
     for _ in range(iterations):
         h = step(h, w, "genome", "gene", genes)
         w = step(w, h, "gene", "genome", genomes)
-    long = lambda df, key, x: df.select(F.lit(rank).alias("rank"), key, F.posexplode(F.array(*cols)).alias("phylon", x))
+    long = lambda df, key, x: df.select(F.lit(rank).alias("rank"), key, F.posexplode(F.array(*cols)).alias("component", x))
     return long(w, "gene", "w"), long(h, "genome", "h")
 
 
 def normalised(w: DataFrame, h: DataFrame, prob: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """w / q and h * q with q the phylon's ``prob`` quantile of w; q = 0 leaves w at 0 and takes h to 0.
+    """w / q and h * q with q the component's ``prob`` quantile of w; q = 0 leaves w at 0 and takes h to 0.
 
-    The quantile is exact over the genes of one phylon, whose distinct weights its aggregation holds.
+    The quantile is exact over the genes of one component, whose distinct weights its aggregation holds.
     """
-    q = w.groupBy("rank", "phylon").agg(F.percentile("w", F.lit(prob)).alias("q"))  # a row per phylon
-    scaled = w.join(q, ["rank", "phylon"]).withColumn("w", F.when(F.col("q") > 0, F.col("w") / F.col("q")).otherwise(0.0))
-    return scaled.select("rank", "gene", "phylon", "w"), h.join(q, ["rank", "phylon"]).select("rank", "genome", "phylon", (F.col("h") * F.col("q")).alias("h"))
+    q = w.groupBy("rank", "component").agg(F.percentile("w", F.lit(prob)).alias("q"))  # a row per component
+    scaled = w.join(q, ["rank", "component"]).withColumn("w", F.when(F.col("q") > 0, F.col("w") / F.col("q")).otherwise(0.0))
+    return scaled.select("rank", "gene", "component", "w"), h.join(q, ["rank", "component"]).select("rank", "genome", "component", (F.col("h") * F.col("q")).alias("h"))
 
 
-def binarised(df: DataFrame, key: str, value: str, groups: tuple[str, ...] = ("rank", "phylon")) -> DataFrame:
-    """``rank, phylon, key, value, cluster, top``: optimal 3-means of each phylon's values; top is its highest cluster.
+def binarised(df: DataFrame, key: str, value: str, groups: tuple[str, ...] = ("rank", "component")) -> DataFrame:
+    """``rank, component, key, value, cluster, top``: optimal 3-means of each component's values; top is its highest cluster.
 
-    A task holds one phylon's values.  Null values are in no cluster and left out.
+    A task holds one component's values.  Null values are in no cluster and left out.
     """
     fields = [df.schema[g] for g in groups] + [df.schema[key], df.schema[value]]
     out = T.StructType([*fields, T.StructField("cluster", T.IntegerType()), T.StructField("top", T.BooleanType())])
@@ -130,14 +130,14 @@ def binarised(df: DataFrame, key: str, value: str, groups: tuple[str, ...] = ("r
     return df.where(F.col(value).isNotNull()).select(*groups, key, value).groupBy(*groups).applyInPandas(fit, out)
 
 
-def thresholds(marked: DataFrame, value: str, groups: tuple[str, ...] = ("rank", "phylon")) -> DataFrame:
-    """The least value still in the top cluster of each phylon."""
+def thresholds(marked: DataFrame, value: str, groups: tuple[str, ...] = ("rank", "component")) -> DataFrame:
+    """The least value still in the top cluster of each component."""
     return marked.where("top").groupBy(*groups).agg(F.min(value).alias("threshold"))
 
 
 def reconstruction(l_bin: DataFrame, a_bin: DataFrame) -> DataFrame:
-    """``rank, gene, genome, n``: the number of phylons that hold both, where there is one."""
-    joined = l_bin.select("rank", "phylon", "gene").join(a_bin.select("rank", "phylon", "genome"), ["rank", "phylon"])
+    """``rank, gene, genome, n``: the number of components that hold both, where there is one."""
+    joined = l_bin.select("rank", "component", "gene").join(a_bin.select("rank", "component", "genome"), ["rank", "component"])
     return joined.groupBy("rank", "gene", "genome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -288,14 +288,14 @@ def ranks_from_inertia(inertia: DataFrame, extra: list[int], shares: tuple[float
 
 
 def affinities(l_norm: DataFrame, p_new: DataFrame) -> DataFrame:
-    """``genome, phylon, affinity``: non-negative least squares of each genome's genes on the weights (gene, phylon, w).
+    """``genome, component, affinity``: non-negative least squares of each genome's genes on the weights (gene, component, w).
 
     The normal equations need only the weights' rank x rank product and, per genome, the sum of its genes' weights: one
     join and aggregation; the active-set solver then sees a vector per genome.  Genes without weights are
     left out; a genome without known genes gets zeros.
     """
-    n = int(l_norm.agg(F.max("phylon").alias("k")).first()["k"]) + 1
-    vectors = l_norm.groupBy("gene").agg(*[F.coalesce(F.sum(F.when(F.col("phylon") == k, F.col("w"))), F.lit(0.0)).alias(f"v{k}") for k in range(n)])
+    n = int(l_norm.agg(F.max("component").alias("k")).first()["k"]) + 1
+    vectors = l_norm.groupBy("gene").agg(*[F.coalesce(F.sum(F.when(F.col("component") == k, F.col("w"))), F.lit(0.0)).alias(f"v{k}") for k in range(n)])
     vectors = materialise(vectors, "weights")
     gram = _gram(vectors, n)
     genomes = p_new.select("genome").distinct()
@@ -306,7 +306,7 @@ def affinities(l_norm: DataFrame, p_new: DataFrame) -> DataFrame:
     def solve(cross: pd.Series) -> pd.Series:
         return cross.map(lambda c: nnls(gram, np.zeros(n) if c is None else np.asarray(c, float)).tolist())
 
-    return rows.select("genome", F.posexplode(solve("cross")).alias("phylon", "affinity"))
+    return rows.select("genome", F.posexplode(solve("cross")).alias("component", "affinity"))
 
 
 def nearest_vote(near: DataFrame, k: int = 5) -> DataFrame:

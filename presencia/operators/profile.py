@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,11 @@ def _long(df: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
     return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
+def _scan(spark: SparkSession, table: DataFrame, files: list[str]) -> DataFrame:
+    """Some files of a table, given by their (encoded) addresses."""
+    return spark.read.schema(table.schema).parquet(*map(unquote, files)) if files else table.limit(0)
+
+
 def value_counts(spark: SparkSession, path: str, keys: list[str], rules: list[Rule]) -> DataFrame:
     """Rows per key, column and value (null included): mergeable counts of the whole table.
 
@@ -73,8 +79,7 @@ def value_counts(spark: SparkSession, path: str, keys: list[str], rules: list[Ru
         skip = {r["path"] for r in resolved.toLocalIterator()}  # file names, of which the driver holds the listing already
     else:
         skip = set()
-    rest = [f for f in files if f not in skip]
-    scanned = spark.read.schema(table.schema).parquet(*rest) if rest else table.limit(0)
+    scanned = _scan(spark, table, [f for f in files if f not in skip])
     counts = _long(scanned, keys, rules).groupBy(*keys, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     if skip:
         kept = chunks.join(F.broadcast(resolved), "path")
@@ -175,7 +180,7 @@ def column_profile(spark: SparkSession, path: str, rules: list[Rule]) -> DataFra
     open_files = chunks.groupBy("path").agg(F.bool_and("enough").alias("ok")).where("not ok").select("path")
     rest = [r["path"] for r in open_files.toLocalIterator()]  # file names, of which the driver holds the listing already
     known = chunks.join(F.broadcast(open_files), "path", "left_anti")
-    counts = _long(spark.read.schema(table.schema).parquet(*rest) if rest else table.limit(0), [], rules).groupBy("column_name", "value").agg(
+    counts = _long(_scan(spark, table, rest), [], rules).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     counts = materialise(counts, "value_counts")

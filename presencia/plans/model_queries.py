@@ -1,6 +1,6 @@
 """Queries of factor models, their scores, consensus and enrichment.
 
-Where a model is only a means to test an operator that SQL can follow, phylons are taxa: a gene weighs in a taxon the share of
+Where a model is only a means to test an operator that SQL can follow, components are taxa: a gene weighs in a taxon the share of
 its genomes that have it, a genome its share of the taxon's frequent genes.
 """
 
@@ -20,24 +20,24 @@ R = Registry()
 RANKS = [3, 4, 5, 6]
 
 # weights: w(gene, taxon) = share of the taxon's genomes; h(genome, taxon) = the genome's share of the taxon's genes with w >= 0.4
-_W = f"""{P}, t AS (SELECT genome, split_part(genome, '.', 1) AS phylon FROM p GROUP BY genome), n AS (SELECT phylon, count(*) AS n FROM t GROUP BY phylon),
-w AS (SELECT 1 AS rank, gene, phylon, count(*) * 1.0::DOUBLE / any_value(n) AS w FROM p JOIN t USING (genome) JOIN n USING (phylon) GROUP BY gene, phylon),
-l AS (SELECT rank, gene, phylon FROM w WHERE w >= 0.4),
-ln AS (SELECT phylon, count(*) AS k FROM l GROUP BY phylon),
-h AS (SELECT 1 AS rank, genome, phylon, count(*) * 1.0::DOUBLE / any_value(k) AS h FROM p JOIN l USING (gene) JOIN ln USING (phylon) GROUP BY genome, phylon),
-a AS (SELECT rank, genome, phylon FROM h WHERE h >= 0.5)"""
+_W = f"""{P}, t AS (SELECT genome, split_part(genome, '.', 1) AS component FROM p GROUP BY genome), n AS (SELECT component, count(*) AS n FROM t GROUP BY component),
+w AS (SELECT 1 AS rank, gene, component, count(*) * 1.0::DOUBLE / any_value(n) AS w FROM p JOIN t USING (genome) JOIN n USING (component) GROUP BY gene, component),
+l AS (SELECT rank, gene, component FROM w WHERE w >= 0.4),
+ln AS (SELECT component, count(*) AS k FROM l GROUP BY component),
+h AS (SELECT 1 AS rank, genome, component, count(*) * 1.0::DOUBLE / any_value(k) AS h FROM p JOIN l USING (gene) JOIN ln USING (component) GROUP BY genome, component),
+a AS (SELECT rank, genome, component FROM h WHERE h >= 0.5)"""
 
 
 def taxon_weights(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rank, gene, phylon, w) and (rank, genome, phylon, h) of the model by taxa."""
-    p = p.withColumn("phylon", F.substring_index("genome", ".", 1))
-    n = p.select("genome", "phylon").distinct().groupBy("phylon").agg(F.count(F.lit(1)).alias("n"))
-    w = p.groupBy("gene", "phylon").agg(F.count(F.lit(1)).alias("c")).join(n, "phylon").select(F.lit(1).alias("rank"), "gene", "phylon", (F.col("c") / F.col("n")).alias("w"))
+    """(rank, gene, component, w) and (rank, genome, component, h) of the model by taxa."""
+    p = p.withColumn("component", F.substring_index("genome", ".", 1))
+    n = p.select("genome", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    w = p.groupBy("gene", "component").agg(F.count(F.lit(1)).alias("c")).join(n, "component").select(F.lit(1).alias("rank"), "gene", "component", (F.col("c") / F.col("n")).alias("w"))
     w = materialise(w, "weights")
-    frequent = w.where("w >= 0.4").select("gene", "phylon")
-    k = frequent.groupBy("phylon").agg(F.count(F.lit(1)).alias("k"))
-    h = p.select("gene", "genome").join(frequent, "gene").groupBy("genome", "phylon").agg(F.count(F.lit(1)).alias("c")).join(k, "phylon")
-    return w, materialise(h.select(F.lit(1).alias("rank"), "genome", "phylon", (F.col("c") / F.col("k")).alias("h")), "affinities")
+    frequent = w.where("w >= 0.4").select("gene", "component")
+    k = frequent.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    h = p.select("gene", "genome").join(frequent, "gene").groupBy("genome", "component").agg(F.count(F.lit(1)).alias("c")).join(k, "component")
+    return w, materialise(h.select(F.lit(1).alias("rank"), "genome", "component", (F.col("c") / F.col("k")).alias("h")), "affinities")
 
 
 def _binary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,7 +46,7 @@ def _binary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     return p, w.where("w >= 0.4"), h.where("h >= 0.5")
 
 
-@R.query("reconstruction", f"WITH {_W} SELECT rank, gene, genome, count(*) AS n FROM l JOIN a USING (rank, phylon) GROUP BY ALL")
+@R.query("reconstruction", f"WITH {_W} SELECT rank, gene, genome, count(*) AS n FROM l JOIN a USING (rank, component) GROUP BY ALL")
 def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     _, l_bin, a_bin = _binary(spark, sf)
     return factor.reconstruction(l_bin, a_bin)
@@ -54,7 +54,7 @@ def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "reconstruction_error",
-    f"WITH {_W}, r AS (SELECT gene, genome, count(*) AS n FROM l JOIN a USING (rank, phylon) GROUP BY ALL) SELECT 1 AS rank, gene, genome, (p.gene IS NOT NULL)::INT - coalesce(n, 0) AS error "
+    f"WITH {_W}, r AS (SELECT gene, genome, count(*) AS n FROM l JOIN a USING (rank, component) GROUP BY ALL) SELECT 1 AS rank, gene, genome, (p.gene IS NOT NULL)::INT - coalesce(n, 0) AS error "
     "FROM (SELECT gene, genome, max(n) AS n, max(i) AS i FROM (SELECT gene, genome, n, NULL AS i FROM r UNION ALL SELECT gene, genome, NULL, 1 FROM p) GROUP BY ALL) x LEFT JOIN p USING (gene, genome) "
     "WHERE (p.gene IS NOT NULL)::INT - coalesce(n, 0) <> 0",
 )
@@ -65,7 +65,7 @@ def reconstruction_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "reconstruction_metrics",
-    f"""WITH {_W}, r AS (SELECT DISTINCT gene, genome FROM l JOIN a USING (rank, phylon)),
+    f"""WITH {_W}, r AS (SELECT DISTINCT gene, genome FROM l JOIN a USING (rank, component)),
 c AS (SELECT (SELECT count(*) FROM r SEMI JOIN p USING (gene, genome))::DOUBLE AS tp, (SELECT count(*) FROM p ANTI JOIN r USING (gene, genome))::DOUBLE AS fn,
   (SELECT count(*) FROM r ANTI JOIN p USING (gene, genome))::DOUBLE AS fp, (SELECT count(DISTINCT gene) * count(DISTINCT genome) FROM p)::DOUBLE AS t, (SELECT count(DISTINCT gene) + count(DISTINCT genome) FROM p) AS gs),
 m AS (SELECT *, t - tp - fn - fp AS tn FROM c),
@@ -84,7 +84,7 @@ def reconstruction_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "normalised_weights",
-    f"WITH {_W}, q AS (SELECT phylon, quantile_cont(w, 0.99) AS q FROM w GROUP BY phylon) SELECT rank, gene, phylon, round(CASE WHEN q > 0 THEN w / q ELSE 0 END, 9) AS w FROM w JOIN q USING (phylon)",
+    f"WITH {_W}, q AS (SELECT component, quantile_cont(w, 0.99) AS q FROM w GROUP BY component) SELECT rank, gene, component, round(CASE WHEN q > 0 THEN w / q ELSE 0 END, 9) AS w FROM w JOIN q USING (component)",
 )
 def normalised_weights(spark: SparkSession, sf: str) -> DataFrame:
     w, h = taxon_weights(genes_by_genome(spark, sf))
@@ -93,7 +93,7 @@ def normalised_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "normalised_affinities",
-    f"WITH {_W}, q AS (SELECT phylon, quantile_cont(w, 0.99) AS q FROM w GROUP BY phylon) SELECT rank, genome, phylon, round(h * q, 9) AS h FROM h JOIN q USING (phylon)",
+    f"WITH {_W}, q AS (SELECT component, quantile_cont(w, 0.99) AS q FROM w GROUP BY component) SELECT rank, genome, component, round(h * q, 9) AS h FROM h JOIN q USING (component)",
 )
 def normalised_affinities(spark: SparkSession, sf: str) -> DataFrame:
     w, h = taxon_weights(genes_by_genome(spark, sf))
@@ -101,28 +101,28 @@ def normalised_affinities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # exact 3-means of each taxon's gene frequencies, by trying all pairs of cuts between distinct values
-_KMEANS = f"""{P}, f AS (SELECT split_part(genome, '.', 1) AS phylon, gene, count(*) AS x FROM p GROUP BY ALL),
-d AS (SELECT phylon, x, count(*) AS c FROM f GROUP BY ALL),
-s AS (SELECT phylon, x, row_number() OVER v AS i, sum(c) OVER v AS n, sum(c * x) OVER v AS s1, sum(c * x * x) OVER v AS s2 FROM d WINDOW v AS (PARTITION BY phylon ORDER BY x)),
-e AS (SELECT phylon, max(i) AS k, max(n) AS n, max(s1) AS s1, max(s2) AS s2 FROM s GROUP BY phylon),
-c AS (SELECT e.phylon, b.x AS top_above, row_number() OVER (PARTITION BY e.phylon ORDER BY round(
+_KMEANS = f"""{P}, f AS (SELECT split_part(genome, '.', 1) AS component, gene, count(*) AS x FROM p GROUP BY ALL),
+d AS (SELECT component, x, count(*) AS c FROM f GROUP BY ALL),
+s AS (SELECT component, x, row_number() OVER v AS i, sum(c) OVER v AS n, sum(c * x) OVER v AS s1, sum(c * x * x) OVER v AS s2 FROM d WINDOW v AS (PARTITION BY component ORDER BY x)),
+e AS (SELECT component, max(i) AS k, max(n) AS n, max(s1) AS s1, max(s2) AS s2 FROM s GROUP BY component),
+c AS (SELECT e.component, b.x AS top_above, row_number() OVER (PARTITION BY e.component ORDER BY round(
     (a.s2 - a.s1 * a.s1 * 1.0::DOUBLE / a.n) + ((b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) * 1.0::DOUBLE / (b.n - a.n)) + ((e.s2 - b.s2) - (e.s1 - b.s1) * (e.s1 - b.s1) * 1.0::DOUBLE / (e.n - b.n)), 6), b.x, a.x) AS r
-  FROM e JOIN s a USING (phylon) JOIN s b USING (phylon) WHERE a.i < b.i AND b.i < e.k)"""
+  FROM e JOIN s a USING (component) JOIN s b USING (component) WHERE a.i < b.i AND b.i < e.k)"""
 
 
 def _frequency_by_taxon(spark: SparkSession, sf: str) -> DataFrame:
-    p = genes_by_genome(spark, sf).withColumn("phylon", F.substring_index("genome", ".", 1))
-    return p.groupBy("phylon", "gene").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    p = genes_by_genome(spark, sf).withColumn("component", F.substring_index("genome", ".", 1))
+    return p.groupBy("component", "gene").agg(F.count(F.lit(1)).cast("double").alias("x"))
 
 
-@R.query("top_cluster", f"WITH {_KMEANS} SELECT f.phylon, gene, x::DOUBLE AS x, x > top_above AS top FROM f JOIN c ON c.phylon = f.phylon AND r = 1")
+@R.query("top_cluster", f"WITH {_KMEANS} SELECT f.component, gene, x::DOUBLE AS x, x > top_above AS top FROM f JOIN c ON c.component = f.component AND r = 1")
 def top_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    return factor.binarised(_frequency_by_taxon(spark, sf), "gene", "x", ("phylon",)).select("phylon", "gene", "x", "top")
+    return factor.binarised(_frequency_by_taxon(spark, sf), "gene", "x", ("component",)).select("component", "gene", "x", "top")
 
 
-@R.query("top_threshold", f"WITH {_KMEANS} SELECT f.phylon, min(x)::DOUBLE AS threshold FROM f JOIN c ON c.phylon = f.phylon AND r = 1 WHERE x > top_above GROUP BY f.phylon")
+@R.query("top_threshold", f"WITH {_KMEANS} SELECT f.component, min(x)::DOUBLE AS threshold FROM f JOIN c ON c.component = f.component AND r = 1 WHERE x > top_above GROUP BY f.component")
 def top_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return factor.thresholds(factor.binarised(_frequency_by_taxon(spark, sf), "gene", "x", ("phylon",)), "x", ("phylon",))
+    return factor.thresholds(factor.binarised(_frequency_by_taxon(spark, sf), "gene", "x", ("component",)), "x", ("component",))
 
 
 # two weights per gene, by closed form: its share of the first and of the second half of the loads
@@ -135,12 +135,12 @@ _PAIR = """g AS (SELECT cluster AS gene, count_if(load_no <= 5) * 1.0::DOUBLE /
 c AS (SELECT genome, sum(a) AS ca, sum(b) AS cb FROM p JOIN g USING (gene) GROUP BY genome),
 s AS (SELECT *, (ca * bb - cb * ab) / (aa * bb - ab * ab) AS x, (cb * aa - ca * ab) / (aa * bb - ab * ab) AS y FROM c, m),
 r AS (SELECT genome, CASE WHEN x >= 0 AND y >= 0 THEN x WHEN y < 0 THEN greatest(ca / aa, 0) ELSE 0 END AS x, CASE WHEN x >= 0 AND y >= 0 THEN y WHEN x < 0 THEN greatest(cb / bb, 0) ELSE 0 END AS y FROM s)
-SELECT genome, 0 AS phylon, round(x, 7) AS affinity FROM r UNION ALL SELECT genome, 1, round(y, 7) FROM r""",
+SELECT genome, 0 AS component, round(x, 7) AS affinity FROM r UNION ALL SELECT genome, 1, round(y, 7) FROM r""",
 )
 def affinities_of_two(spark: SparkSession, sf: str) -> DataFrame:
     share = lambda c: F.count_if(c) / F.count(F.lit(1))
     loads = table(spark, sf, "locus_map").where("cluster is not null").groupBy(F.col("cluster").alias("gene"))
-    weights = loads.agg(F.array(share(F.col("load_no") <= 5), share(F.col("load_no") > 5)).alias("v")).select("gene", F.posexplode("v").alias("phylon", "w"))
+    weights = loads.agg(F.array(share(F.col("load_no") <= 5), share(F.col("load_no") > 5)).alias("v")).select("gene", F.posexplode("v").alias("component", "w"))
     return factor.affinities(weights, genes_by_genome(spark, sf)).withColumn("affinity", F.round("affinity", 7))
 
 
@@ -231,16 +231,16 @@ def inertia_ranks(spark: SparkSession, sf: str) -> DataFrame:
 # --- consensus --------------------------------------------------------------------
 
 # three models by the row's number; in each a genome's label is the commonest last digit of its clusters
-_LABELS = """c AS (SELECT row_id % 3 AS model, genome_id AS genome, cluster[-1] AS phylon, count(*)::DOUBLE AS h FROM locus_map WHERE cluster IS NOT NULL AND genome_id IS NOT NULL GROUP BY ALL),
-l AS (SELECT model, genome, arg_min(phylon, (-h, phylon)) AS phylon FROM c GROUP BY model, genome),
-k AS (SELECT genome, string_agg(model::VARCHAR || phylon, ',' ORDER BY model) AS word FROM l GROUP BY genome),
+_LABELS = """c AS (SELECT row_id % 3 AS model, genome_id AS genome, cluster[-1] AS component, count(*)::DOUBLE AS h FROM locus_map WHERE cluster IS NOT NULL AND genome_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT model, genome, arg_min(component, (-h, component)) AS component FROM c GROUP BY model, genome),
+k AS (SELECT genome, string_agg(model::VARCHAR || component, ',' ORDER BY model) AS word FROM l GROUP BY genome),
 m AS (SELECT genome, min(genome) OVER (PARTITION BY word) AS class FROM k)"""
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "locus_map").where("cluster is not null and genome_id is not null").withColumn("model", F.col("row_id") % 3)
-    h = rows.groupBy("model", F.col("genome_id").alias("genome"), F.substring("cluster", -1, 1).alias("phylon")).agg(F.count(F.lit(1)).cast("double").alias("h"))
-    return consensus.top_phylon(h, "model")
+    h = rows.groupBy("model", F.col("genome_id").alias("genome"), F.substring("cluster", -1, 1).alias("component")).agg(F.count(F.lit(1)).cast("double").alias("h"))
+    return consensus.top_component(h, "model")
 
 
 @R.query("consensus_labels", f"WITH {_LABELS} SELECT * FROM l")
@@ -255,8 +255,8 @@ def consensus_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "consensus_agreement",
-    f"""WITH {_LABELS}, d AS (SELECT DISTINCT class, model, phylon FROM l JOIN m USING (genome))
-SELECT a.class AS class_1, b.class AS class_2, round(count(*) / 3.0, 9)::DOUBLE AS agreement FROM d a JOIN d b ON a.model = b.model AND a.phylon = b.phylon AND a.class < b.class GROUP BY ALL""",
+    f"""WITH {_LABELS}, d AS (SELECT DISTINCT class, model, component FROM l JOIN m USING (genome))
+SELECT a.class AS class_1, b.class AS class_2, round(count(*) / 3.0, 9)::DOUBLE AS agreement FROM d a JOIN d b ON a.model = b.model AND a.component = b.component AND a.class < b.class GROUP BY ALL""",
 )
 def consensus_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.consensus(_labels(spark, sf), 3).withColumn("agreement", F.round("agreement", 9))
@@ -264,7 +264,7 @@ def consensus_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "consensus_dispersion",
-    f"""WITH {_LABELS}, cc AS (SELECT a.genome AS g1, b.genome AS g2, count(*) AS n FROM l a JOIN l b ON a.model = b.model AND a.phylon = b.phylon AND a.genome <> b.genome GROUP BY ALL)
+    f"""WITH {_LABELS}, cc AS (SELECT a.genome AS g1, b.genome AS g2, count(*) AS n FROM l a JOIN l b ON a.model = b.model AND a.component = b.component AND a.genome <> b.genome GROUP BY ALL)
 SELECT round((power(n, 2) - coalesce((SELECT sum(1 - 4 * power(cc.n / 3.0::DOUBLE - 0.5, 2)) FROM cc), 0)) / power(n, 2), 8) AS dispersion FROM (SELECT count(*)::DOUBLE AS n FROM m)""",
 )
 def consensus_dispersion(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,11 +333,11 @@ def tree_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 _GO = "g AS (SELECT cluster AS gene, unnest(string_split(go, ', ')) AS function FROM cluster_to_go_functions WHERE cluster IS NOT NULL)"
 _ENRICHED = f"""{_W}, {_GO}, na AS (SELECT count(DISTINCT cluster) AS n_all FROM cluster_to_go_functions),
-i AS (SELECT DISTINCT gene, phylon FROM w WHERE w > 0.3), kf AS (SELECT function, count(*) AS n_function FROM g WHERE function IS NOT NULL GROUP BY function),
-m AS (SELECT phylon, count(*) AS n_phylon FROM i GROUP BY phylon), o AS (SELECT phylon, function, count(*) AS overlap FROM i JOIN (SELECT DISTINCT gene, function FROM g) USING (gene) GROUP BY ALL),
-z AS (SELECT o.*, n_all, n_function, n_phylon, least(n_function, n_all) AS f, least(n_phylon, n_all) AS q FROM o JOIN kf USING (function) JOIN m USING (phylon), na),
-y AS (SELECT phylon, function, n_all, n_function, n_phylon, overlap, unnest(range(overlap, least(f, q) + 1)) AS j, f, q FROM z),
-e AS (SELECT phylon, function, n_all, n_function, n_phylon, overlap, least(1, sum(CASE WHEN n_all - f - q + j >= 0 THEN exp(lgamma(f + 1) - lgamma(j + 1) - lgamma(f - j + 1)
+i AS (SELECT DISTINCT gene, component FROM w WHERE w > 0.3), kf AS (SELECT function, count(*) AS n_function FROM g WHERE function IS NOT NULL GROUP BY function),
+m AS (SELECT component, count(*) AS n_component FROM i GROUP BY component), o AS (SELECT component, function, count(*) AS overlap FROM i JOIN (SELECT DISTINCT gene, function FROM g) USING (gene) GROUP BY ALL),
+z AS (SELECT o.*, n_all, n_function, n_component, least(n_function, n_all) AS f, least(n_component, n_all) AS q FROM o JOIN kf USING (function) JOIN m USING (component), na),
+y AS (SELECT component, function, n_all, n_function, n_component, overlap, unnest(range(overlap, least(f, q) + 1)) AS j, f, q FROM z),
+e AS (SELECT component, function, n_all, n_function, n_component, overlap, least(1, sum(CASE WHEN n_all - f - q + j >= 0 THEN exp(lgamma(f + 1) - lgamma(j + 1) - lgamma(f - j + 1)
   + lgamma(n_all - f + 1) - lgamma(q - j + 1) - lgamma(n_all - f - q + j + 1) - lgamma(n_all + 1) + lgamma(q + 1) + lgamma(n_all - q + 1)) ELSE 0 END)) AS p_value FROM y GROUP BY ALL)"""
 
 
@@ -361,24 +361,24 @@ def frequent_functions(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.frequent_functions(_functions(spark, sf).where("gene is not null and function is not null"))
 
 
-@R.query("enrichment", f"WITH {_ENRICHED} SELECT phylon, function, n_all, n_function, n_phylon, overlap, round(p_value, 8) AS p_value FROM e")
+@R.query("enrichment", f"WITH {_ENRICHED} SELECT component, function, n_all, n_function, n_component, overlap, round(p_value, 8) AS p_value FROM e")
 def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return _enriched(spark, sf).withColumn("p_value", F.round("p_value", 8)).drop("logp")
 
 
-@R.query("significant_enrichment", f"WITH {_ENRICHED} SELECT phylon, function, round(p_value, 8) AS p_value, round(-log10(p_value), 6) AS logp FROM e WHERE p_value < 0.5 AND function <> 'SO:0001217'")
+@R.query("significant_enrichment", f"WITH {_ENRICHED} SELECT component, function, round(p_value, 8) AS p_value, round(-log10(p_value), 6) AS logp FROM e WHERE p_value < 0.5 AND function <> 'SO:0001217'")
 def significant_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.significant(_enriched(spark, sf), below=0.5).select("phylon", "function", F.round("p_value", 8).alias("p_value"), F.round("logp", 6).alias("logp"))
+    return enrich.significant(_enriched(spark, sf), below=0.5).select("component", "function", F.round("p_value", 8).alias("p_value"), F.round("logp", 6).alias("logp"))
 
 
-@R.query("exclusive_genes", f"WITH {_W} SELECT any_value(phylon) AS phylon, gene FROM l GROUP BY gene HAVING count(*) = 1")
+@R.query("exclusive_genes", f"WITH {_W} SELECT any_value(component) AS component, gene FROM l GROUP BY gene HAVING count(*) = 1")
 def exclusive_genes(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.exclusive_genes(_binary(spark, sf)[1])
 
 
 @R.query(
     "active_histogram",
-    f"WITH {_W}, c AS (SELECT gene, count(l.phylon) AS n_active FROM (SELECT DISTINCT gene FROM p) LEFT JOIN l USING (gene) GROUP BY gene) "
+    f"WITH {_W}, c AS (SELECT gene, count(l.component) AS n_active FROM (SELECT DISTINCT gene FROM p) LEFT JOIN l USING (gene) GROUP BY gene) "
     "SELECT n_active, count(*) AS n_genes, sum(count(*)) OVER (ORDER BY n_active)::BIGINT AS cumulative FROM c GROUP BY n_active",
 )
 def active_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,7 +388,7 @@ def active_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(
     "frequency_regression",
-    f"""WITH {_W}, f AS (SELECT gene, count(*) AS freq FROM p GROUP BY gene), c AS (SELECT gene, freq, count(l.phylon) AS n FROM f LEFT JOIN l USING (gene) GROUP BY gene, freq)
+    f"""WITH {_W}, f AS (SELECT gene, count(*) AS freq FROM p GROUP BY gene), c AS (SELECT gene, freq, count(l.component) AS n FROM f LEFT JOIN l USING (gene) GROUP BY gene, freq)
 SELECT round(regr_slope(n, freq), 9) AS slope, round(regr_intercept(n, freq), 9) AS intercept, round(regr_r2(n, freq), 9) AS r2 FROM c""",
 )
 def frequency_regression(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,43 +397,43 @@ def frequency_regression(spark: SparkSession, sf: str) -> DataFrame:
     return fit.select(*[F.round(c, 9).alias(c) for c in fit.columns])
 
 
-_ORDER = "ord AS (SELECT phylon, row_number() OVER (ORDER BY phylon)::INT AS r FROM (SELECT DISTINCT phylon FROM t))"
+_ORDER = "ord AS (SELECT component, row_number() OVER (ORDER BY component)::INT AS r FROM (SELECT DISTINCT component FROM t))"
 
 
 def _taxa(p: DataFrame) -> list[str]:
     """The taxa in order, a list that an array literal may hold."""
     rows = p.select(F.substring_index("genome", ".", 1).alias("taxon")).distinct().orderBy("taxon").limit(5001).collect()
     if len(rows) > 5000:
-        raise ValueError("more than 5000 phylons")
+        raise ValueError("more than 5000 components")
     return [r["taxon"] for r in rows]
 
 
 @R.query(
     "gene_order",
-    f"""WITH {_W}, {_ORDER} SELECT gene, count(l.phylon)::INT AS n_active, coalesce(string_agg(r::VARCHAR, ',' ORDER BY r), '') AS phylon_rank
-FROM (SELECT DISTINCT gene FROM p) LEFT JOIN l USING (gene) LEFT JOIN ord USING (phylon) GROUP BY gene""",
+    f"""WITH {_W}, {_ORDER} SELECT gene, count(l.component)::INT AS n_active, coalesce(string_agg(r::VARCHAR, ',' ORDER BY r), '') AS component_rank
+FROM (SELECT DISTINCT gene FROM p) LEFT JOIN l USING (gene) LEFT JOIN ord USING (component) GROUP BY gene""",
 )
 def gene_order(spark: SparkSession, sf: str) -> DataFrame:
     p, l_bin, _ = _binary(spark, sf)
-    phylons = _taxa(p)
-    return enrich.gene_order(l_bin, p, phylons)
+    components = _taxa(p)
+    return enrich.gene_order(l_bin, p, components)
 
 
 @R.query(
     "strain_order",
-    f"""WITH {_W}, {_ORDER}, s AS (SELECT genome, coalesce(min(r), 0) AS r, count(a.phylon) > 1 AS many FROM (SELECT DISTINCT genome FROM p) LEFT JOIN a USING (genome) LEFT JOIN ord USING (phylon) GROUP BY genome)
+    f"""WITH {_W}, {_ORDER}, s AS (SELECT genome, coalesce(min(r), 0) AS r, count(a.component) > 1 AS many FROM (SELECT DISTINCT genome FROM p) LEFT JOIN a USING (genome) LEFT JOIN ord USING (component) GROUP BY genome)
 SELECT genome, row_number() OVER (ORDER BY r, many, genome)::INT AS position FROM s""",
 )
 def strain_order(spark: SparkSession, sf: str) -> DataFrame:
     p, _, a_bin = _binary(spark, sf)
-    phylons = _taxa(p)
-    return enrich.strain_order(a_bin, p, phylons)
+    components = _taxa(p)
+    return enrich.strain_order(a_bin, p, components)
 
 
 @R.query(
     "members_by_status",
     f"""WITH {_W}, s AS (SELECT genome_id AS genome, arg_max(genome_status, row_id) AS status FROM genome_summary WHERE genome_status IS NOT NULL GROUP BY 1)
-SELECT phylon, status, count(*) AS n FROM h LEFT JOIN s USING (genome) WHERE h >= 0.6 GROUP BY ALL""",
+SELECT component, status, count(*) AS n FROM h LEFT JOIN s USING (genome) WHERE h >= 0.6 GROUP BY ALL""",
 )
 def members_by_status(spark: SparkSession, sf: str) -> DataFrame:
     _, h = taxon_weights(genes_by_genome(spark, sf))
@@ -441,13 +441,13 @@ def members_by_status(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.members_by(h, 0.6, status, "status")
 
 
-@R.query("phylon_words", f"WITH {_W}, a2 AS (SELECT cluster AS gene, product FROM locus_map m JOIN annotations a ON a.locus_tag = m.gene_id WHERE cluster IS NOT NULL), i AS (SELECT DISTINCT gene, phylon FROM w WHERE w > 0.4), "
-    "y AS (SELECT phylon, unnest(string_split_regex(" + "".join("replace(" for _ in enrich.names.PRODUCT_STOPS) + "lower(product)" + "".join(f", '{s}', '')" for s in enrich.names.PRODUCT_STOPS)
-    + ", '\\s+')) AS word FROM i JOIN a2 USING (gene)) SELECT phylon, word, count(*) AS n FROM y WHERE word <> '' GROUP BY ALL")
-def phylon_words(spark: SparkSession, sf: str) -> DataFrame:
+@R.query("component_words", f"WITH {_W}, a2 AS (SELECT cluster AS gene, product FROM locus_map m JOIN annotations a ON a.locus_tag = m.gene_id WHERE cluster IS NOT NULL), i AS (SELECT DISTINCT gene, component FROM w WHERE w > 0.4), "
+    "y AS (SELECT component, unnest(string_split_regex(" + "".join("replace(" for _ in enrich.names.PRODUCT_STOPS) + "lower(product)" + "".join(f", '{s}', '')" for s in enrich.names.PRODUCT_STOPS)
+    + ", '\\s+')) AS word FROM i JOIN a2 USING (gene)) SELECT component, word, count(*) AS n FROM y WHERE word <> '' GROUP BY ALL")
+def component_words(spark: SparkSession, sf: str) -> DataFrame:
     w, _ = taxon_weights(genes_by_genome(spark, sf))
     loci = table(spark, sf, "locus_map").where("cluster is not null").select(F.col("cluster").alias("gene"), F.col("gene_id").alias("locus_tag"))
-    return enrich.phylon_words(w, loci.join(table(spark, sf, "annotations").select("locus_tag", "product"), "locus_tag"), 0.4)
+    return enrich.component_words(w, loci.join(table(spark, sf, "annotations").select("locus_tag", "product"), "locus_tag"), 0.4)
 
 
 # --- maps -------------------------------------------------------------------------

@@ -185,18 +185,18 @@ def variations(spark: SparkSession, sf: str) -> DataFrame:
     return sy.variations(_anchored(spark, sf))
 
 
-# phylons of strains: regions with more than a fifth of a segment's customers; of genes: the region's nations
+# components of strains: regions with more than a fifth of a segment's customers; of genes: the region's nations
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_mktsegment").alias("genome"), F.col("n_regionkey").alias("phylon"))
-    counts = rows.groupBy("genome", "phylon").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(counts.groupBy("genome").agg(F.sum("n").alias("all")), "genome").where("n * 5 > all").select("genome", "phylon")
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_mktsegment").alias("genome"), F.col("n_regionkey").alias("component"))
+    counts = rows.groupBy("genome", "component").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(counts.groupBy("genome").agg(F.sum("n").alias("all")), "genome").where("n * 5 > all").select("genome", "component")
 
 
-_GROUPS = f"""{_V}, z AS (SELECT strain, 1 + (strain > 'C')::INT + (strain > 'G')::INT AS strain_group FROM v), c AS (SELECT c_mktsegment AS genome, n_regionkey AS phylon, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
-a AS (SELECT genome, phylon FROM c JOIN (SELECT genome, sum(n) AS t FROM c GROUP BY genome) USING (genome) WHERE n * 5 > t),
-g AS (SELECT phylon, strain_group, count(*) AS n FROM a JOIN z ON strain = genome GROUP BY ALL)"""
+_GROUPS = f"""{_V}, z AS (SELECT strain, 1 + (strain > 'C')::INT + (strain > 'G')::INT AS strain_group FROM v), c AS (SELECT c_mktsegment AS genome, n_regionkey AS component, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+a AS (SELECT genome, component FROM c JOIN (SELECT genome, sum(n) AS t FROM c GROUP BY genome) USING (genome) WHERE n * 5 > t),
+g AS (SELECT component, strain_group, count(*) AS n FROM a JOIN z ON strain = genome GROUP BY ALL)"""
 
 
 def _grouped(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,17 +209,17 @@ def group_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sy.group_counts(_grouped(spark, sf), _members(spark, sf))
 
 
-@R.query("full_matches", f"WITH {_GROUPS} SELECT phylon, strain_group, g.n FROM g JOIN (SELECT strain_group, count(*) AS s FROM z GROUP BY strain_group) USING (strain_group) WHERE g.n = s")
+@R.query("full_matches", f"WITH {_GROUPS} SELECT component, strain_group, g.n FROM g JOIN (SELECT strain_group, count(*) AS s FROM z GROUP BY strain_group) USING (strain_group) WHERE g.n = s")
 def full_matches(spark: SparkSession, sf: str) -> DataFrame:
     groups = _grouped(spark, sf)
     return sy.full_matches(sy.group_counts(groups, _members(spark, sf)), groups)
 
 
 @R.query(
-    "phylon_places",
-    f"WITH {_PLACES}, c AS (SELECT c_mktsegment AS genome, n_regionkey AS phylon, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), a AS (SELECT genome FROM c JOIN (SELECT genome, sum(n) AS t FROM c GROUP BY genome) USING (genome) WHERE n * 5 > t AND phylon = 2) "
+    "component_places",
+    f"WITH {_PLACES}, c AS (SELECT c_mktsegment AS genome, n_regionkey AS component, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), a AS (SELECT genome FROM c JOIN (SELECT genome, sum(n) AS t FROM c GROUP BY genome) USING (genome) WHERE n * 5 > t AND component = 2) "
     "SELECT strain, gene, prev, next FROM p1 SEMI JOIN a ON genome = strain SEMI JOIN (SELECT n_name FROM nation WHERE n_regionkey = 2) ON n_name = gene",
 )
-def phylon_places(spark: SparkSession, sf: str) -> DataFrame:
-    l_bin = table(spark, sf, "nation").select(F.col("n_name").alias("gene"), F.col("n_regionkey").alias("phylon"))
-    return sy.of_phylon(_places(spark, sf), l_bin, _members(spark, sf), 2).select("strain", "gene", "prev", "next")
+def component_places(spark: SparkSession, sf: str) -> DataFrame:
+    l_bin = table(spark, sf, "nation").select(F.col("n_name").alias("gene"), F.col("n_regionkey").alias("component"))
+    return sy.of_component(_places(spark, sf), l_bin, _members(spark, sf), 2).select("strain", "gene", "prev", "next")

@@ -223,6 +223,7 @@ def _findings(df):
 @pytest.mark.parametrize("layout", ["mixed", "by_load", "constant_chunks"])
 def test_load_findings_from_footers_or_scans(spark, tmp_path, layout):
     df = _catalogue(3)
+    (tmp_path := tmp_path / "a folder").mkdir()
     if layout == "mixed":
         _write(df.sample(frac=1, random_state=1), tmp_path / "part-0.parquet", row_group_size=97)
     else:
@@ -231,7 +232,7 @@ def test_load_findings_from_footers_or_scans(spark, tmp_path, layout):
             _write(g, tmp_path / f"part-{i}.parquet", compression=["snappy", "zstd", "none"][i % 3])
     found = profile.load_findings(spark, str(tmp_path), "feed", "load_no", RULES)
     assert got(found) == _findings(df)
-    scanned = [f for f in profile.value_counts(spark, str(tmp_path), ["feed", "load_no"], RULES).inputFiles() if str(tmp_path) in f]
+    scanned = [f for f in profile.value_counts(spark, str(tmp_path), ["feed", "load_no"], RULES).inputFiles() if "a%20folder" in f]
     held = [f for f in tmp_path.iterdir() if f.suffix == ".parquet"]
     if layout == "constant_chunks":  # rows without a feed or load have no single key value
         assert len(scanned) <= sum(g["feed"].isna().any() or g["load_no"].isna().any() for _, g in df.groupby(keys, dropna=False)) < len(held)

@@ -249,14 +249,14 @@ def test_planted_factors_are_found_and_scored(spark):
     assert tuple(factor.best_rank(scores, "aic", lowest=True).first()) == (2, 3, 4)
     assert [r["rank"] for r in factor.ranks_around(scores, "aic", 1).orderBy("rank").collect()] == [2, 3, 4]
     assert factor.reconstruction_error(p, factor.reconstruction(l_bin.where("rank = 3"), a_bin.where("rank = 3")), [3]).count() == 0
-    blocks = l_bin.where("rank = 3").groupBy("phylon").agg(F.countDistinct(F.substring("gene", 1, 2)).alias("b"), F.count("*").alias("n"))
+    blocks = l_bin.where("rank = 3").groupBy("component").agg(F.countDistinct(F.substring("gene", 1, 2)).alias("b"), F.count("*").alias("n"))
     assert got(blocks.select("b", "n")) == [(1, 30)] * 3
 
 
 def test_distributed_factors_fit_as_well(spark):
     p = planted(spark, 8, 5)
     w, h = factor.factorise_large(p, 3, 60)
-    made = w.join(h, ["rank", "phylon"]).groupBy("gene", "genome").agg(F.sum(F.col("w") * F.col("h")).alias("x"))
+    made = w.join(h, ["rank", "component"]).groupBy("gene", "genome").agg(F.sum(F.col("w") * F.col("h")).alias("x"))
     real = made.join(p.withColumn("one", F.lit(1)), ["gene", "genome"], "left").select(F.pow(F.col("x") - F.coalesce("one", F.lit(0)), 2).alias("e"))
     assert real.agg(F.sum("e")).first()[0] < 0.05 * 120
     assert w.where("w < 0").count() == 0
@@ -275,9 +275,9 @@ def test_rank_lists(spark):
 
 def test_affinities_of_known_genomes(spark):
     rows = [("a", 0, 0.5), ("a", 1, 0.3), ("b", 0, 0.2), ("b", 1, 0.7)]
-    l = spark.createDataFrame(rows, "gene string, phylon int, w double")
+    l = spark.createDataFrame(rows, "gene string, component int, w double")
     p = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("new", "z"), ("a", "z2"), ("b", "z2")], "gene string, genome string")
-    out = {(r["genome"], r["phylon"]): r["affinity"] for r in factor.affinities(l, p).collect()}
+    out = {(r["genome"], r["component"]): r["affinity"] for r in factor.affinities(l, p).collect()}
     assert out["x", 0] == pytest.approx(0.5 / 0.29) and out["x", 1] == 0 and out["y", 1] == pytest.approx(0.7 / 0.58) and out["z", 0] == 0
     full = np.linalg.solve([[0.5, 0.3], [0.2, 0.7]], [1, 1])
     assert [out["z2", k] for k in (0, 1)] == pytest.approx(full.tolist())
@@ -286,14 +286,14 @@ def test_affinities_of_known_genomes(spark):
 def test_scores_of_arriving_genomes(spark, tmp_path):
     from presencia.streaming.affinity import score_arrivals
 
-    l = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0)], "gene string, phylon int, w double")
+    l = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0)], "gene string, component int, w double")
     p = spark.createDataFrame([("a", "x"), ("b", "y")], "gene string, genome string")
     for g in ("x", "y"):
         p.where(F.col("genome") == g).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     score_arrivals(stream, l, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert got(out.select("genome", "phylon", "affinity")) == [("x", 0, 1.0), ("x", 1, 0.0), ("y", 0, 0.0), ("y", 1, 1.0)]
+    assert got(out.select("genome", "component", "affinity")) == [("x", 0, 1.0), ("x", 1, 0.0), ("y", 0, 0.0), ("y", 1, 1.0)]
     assert out.select("batch").distinct().count() == 2
 
 
@@ -324,13 +324,13 @@ def test_distance_clusters(spark):
 def test_tree_splits_as_by_sets(spark):
     rnd = random.Random(2)
     sets = {p: {f"g{i}" for i in range(40) if rnd.random() < 0.5} | {"all"} for p in range(5)}
-    x = spark.createDataFrame([(p, g) for p, s in sets.items() for g in s], "phylon int, gene string")
-    ids, links, clusters = consensus.tree(x, "phylon", "gene")
+    x = spark.createDataFrame([(p, g) for p, s in sets.items() for g in s], "component int, gene string")
+    ids, links, clusters = consensus.tree(x, "component", "gene")
     leaves = {}
     for r in clusters.collect():
         leaves.setdefault(r["cluster"], set()).add(r["leaf"])
     assert len(leaves) == 9 and leaves[8] == set(sets)
-    sizes = {r["cluster"]: tuple(r)[1:] for r in consensus.split_sizes(consensus.split_items(x, "phylon", "gene", clusters)).collect()}
+    sizes = {r["cluster"]: tuple(r)[1:] for r in consensus.split_sizes(consensus.split_items(x, "component", "gene", clusters)).collect()}
     for c, members in leaves.items():
         inside, outside = [sets[m] for m in members], [s for p, s in sets.items() if p not in members]
         total, every, other = set().union(*inside), set.intersection(*inside), set().union(*outside)
@@ -341,16 +341,16 @@ def test_tree_splits_as_by_sets(spark):
 
 
 def test_enrichment_with_products(spark):
-    w = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.8), ("c", 1, 0.0), ("c", 2, 0.7)], "gene string, phylon int, w double")
+    w = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.8), ("c", 1, 0.0), ("c", 2, 0.7)], "gene string, component int, w double")
     f = enrich.exploded_functions(spark.createDataFrame([("a", "F, G"), ("b", "F"), ("c", None), ("d", "F"), (None, "F")], "gene string, go string")).withColumnRenamed("go", "function")
     products = spark.createDataFrame([("b", "kinase"), ("a", "pump"), ("a", None)], "gene string, product string")
-    out = {(r["phylon"], r["function"]): r for r in enrich.enrichment(w, f, products).collect()}
+    out = {(r["component"], r["function"]): r for r in enrich.enrichment(w, f, products).collect()}
     assert set(out) == {(1, "F"), (1, "G")}
     r = out[1, "F"]
-    assert (r["n_all"], r["n_function"], r["n_phylon"], r["overlap"], r["products"]) == (4, 3, 2, 2, "pump; kinase") and r["p_value"] == pytest.approx(0.5)
+    assert (r["n_all"], r["n_function"], r["n_component"], r["overlap"], r["products"]) == (4, 3, 2, 2, "pump; kinase") and r["p_value"] == pytest.approx(0.5)
     named = enrich.named_functions(enrich.enrichment(w, f), spark.createDataFrame([("F", "folding")], "function string, name string"))
     assert got(named.select("function", "name")) == [("F", "folding"), ("G", "G")]
-    assert got(enrich.phylon_by_function(enrich.enrichment(w, f), ["F", "G"]).select("phylon")) == [(1,)]
+    assert got(enrich.component_by_function(enrich.enrichment(w, f), ["F", "G"]).select("component")) == [(1,)]
 
 
 # --- order ------------------------------------------------------------------------
@@ -384,37 +384,18 @@ def test_anchors_and_places(spark):
     assert got(synteny.missing_anchor_pairs(synteny.gene_places(start), 3)) == [("s", "1-2")]
 
 
-def test_kinds_of_variation():
-    assert [synteny._variation(x) for x in ([1, 2, 3], [1, 3, 2, 4], [2, 3, 1], [5, 7, 9])] == ["no variation", "inversion", "translocation", "no variation"]
+KINDS = {
+    (1, 2, 3): "no variation", (5, 7, 9): "no variation", (1, 3, 2, 4): "inversion", (3, 2, 1): "inversion", (2, 3, 1): "translocation", (3, 1, 2): "others",
+    (2, 1, 5, 3, 4): "inversion", (3, 1, 2, 5, 4): "inversion", (4, 1, 2, 3): "others", (2, 3, 4, 1): "translocation", (5, 1, 2, 3, 4, 7, 6): "inversion", (1,): "no variation",
+}
 
 
-def _reference_variation(numbers):
-    ordered = sorted(numbers)
-    if numbers == ordered:
-        return "no variation"
-    done = set()
-    for i in range(len(numbers)):
-        if i in done or numbers[i] == ordered[i]:
-            continue
-        a, b, at = [], [], i
-        while at not in done:
-            done.add(at)
-            a.append(numbers[at])
-            b.append(ordered[at])
-            at = numbers.index(ordered[at])
-        if a == b[::-1]:
-            return "inversion"
-        if sorted(a) != b:
-            return "translocation"
-    return "others"
-
-
-def test_variations_of_all_small_orders(spark):
-    import itertools
-
-    rows = [(f"{i}", [{"gene": None, "anchor": a} for a in p]) for i, p in enumerate(itertools.permutations(range(1, 6)))]
+def test_kinds_of_variation(spark):
+    rows = [(str(i), [{"gene": None, "anchor": a} for a in p]) for i, p in enumerate(KINDS)] + [("repeated", [{"gene": None, "anchor": a} for a in (1, 1, 2)]), ("none", [])]
     df = spark.createDataFrame(rows, f"strain string, items array<{synteny.ITEM}>")
-    assert {r["strain"]: r["variation"] for r in synteny.variations(df).collect()} == {s: _reference_variation([x["anchor"] for x in p]) for s, p in rows}
+    found = {r["strain"]: r["variation"] for r in synteny.variations(df).collect()}
+    assert found == {str(i): kind for i, kind in enumerate(KINDS.values())} | {"repeated": "no variation"}
+    assert synteny.cycles([3, 2, 1, 5, 4]) == [[3, 1], [5, 4]]
 
 
 def test_nearest_vote_breaks_ties_by_the_nearer(spark):
