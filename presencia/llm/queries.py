@@ -73,6 +73,20 @@ def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
     return similar.similar_classes(table(spark, sf, "locus_map"), "genome_id", "cluster").withColumnRenamed("record", "genome_id")
 
 
+# --- texts in SQL ---------------------------------------------------------------
+
+
+def _looks_sql(text: str) -> str:
+    """The canonical form in SQL: the rules of TESTDATA over fixed characters, then NFC."""
+    wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
+    spaces = [(s, " ") for s in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"]
+    letters = [(o, lat) for latin, other in (looks.LATIN_FOR_CYRILLIC, looks.LATIN_FOR_GREEK) for lat, o in zip(latin, other, strict=True)]
+    pairs = [*wide, *spaces, *letters, ("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
+    old, new = ("".join(p[i] for p in pairs).replace("'", "''") for i in (0, 1))
+    invisible = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+    return f"nfc_normalize(translate(regexp_replace({text}, '[{invisible}]', '', 'g'), '{old}', '{new}'))"
+
+
 # --- leaked passages --------------------------------------------------------------
 
 
@@ -80,7 +94,15 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
 
 
-@R.query("p8_found")
+def _grams_sql(name: str, key: str) -> str:
+    """Runs of 12 words of a table's texts: case and the differences of problem 10 removed."""
+    pairs = {o.lower(): lat.lower() for latin, other in (looks.LATIN_FOR_CYRILLIC, looks.LATIN_FOR_GREEK) for lat, o in zip(latin, other, strict=True)}
+    folded = f"translate(replace(lower({_looks_sql('text')}), 'ß', 'ss'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
+    words = f"SELECT {key}, regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+') AS v FROM {name} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(v) - 10), lambda i: array_to_string(v[i:i + 11], ' '))) AS gram FROM ({words})"
+
+
+@R.query("p8_found", f"SELECT DISTINCT item_id, doc_id FROM ({_grams_sql('eval_items', 'item_id')}) JOIN ({_grams_sql('documents', 'doc_id')}) USING (gram)")
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     found = _leaks(spark, sf)
     return found.where(leaks.leaked(found)).select("item_id", "doc_id")
@@ -113,17 +135,6 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 # --- look-alikes ------------------------------------------------------------------
 
 
-def _looks_sql(text: str) -> str:
-    """The canonical form in SQL: the rules of TESTDATA over fixed characters, then NFC."""
-    wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
-    spaces = [(s, " ") for s in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"]
-    letters = [(o, lat) for latin, other in (looks.LATIN_FOR_CYRILLIC, looks.LATIN_FOR_GREEK) for lat, o in zip(latin, other, strict=True)]
-    pairs = [*wide, *spaces, *letters, ("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
-    old, new = ("".join(p[i] for p in pairs).replace("'", "''") for i in (0, 1))
-    invisible = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
-    return f"nfc_normalize(translate(regexp_replace({text}, '[{invisible}]', '', 'g'), '{old}', '{new}'))"
-
-
 _CANON = f"WITH d AS (SELECT doc_id, text, md5({_looks_sql('text')}) AS c FROM documents WHERE text IS NOT NULL AND text <> '')"
 
 
