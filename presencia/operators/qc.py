@@ -26,7 +26,7 @@ def by_species(summary: DataFrame, pattern: str) -> DataFrame:
 
 
 def _quantile(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """Exact interpolated quantiles of one column: a row that the driver may hold."""
+    """Interpolated quantiles of one column, exact for numbers of up to six decimals: a row that the driver may hold."""
     scaled = df.select(F.lit(0).alias("all"), F.round(F.col(column) * SCALE).cast("bigint").alias("x")).where("x is not null")
     row = exact_quantiles(scaled, ["all"], "x", probs).first()
     return [q / SCALE for q in row["quantiles"]] if row else [None] * len(probs)
@@ -137,7 +137,7 @@ def by_quality(
     return Funnel(rows, stage_counts(left, "ord", "stage", "left"), cutoffs)
 
 
-def low_outliers(df: DataFrame, key: str, column: str, threshold: float = 3.0) -> DataFrame:
+def low_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
     """``df`` with ``outlier``: a modified z-score 0.6745 |x - median| / MAD above the threshold, on the low side only.
 
     A MAD of 0 counts as 1e-10; a null value is no outlier.
@@ -151,7 +151,7 @@ def low_outliers(df: DataFrame, key: str, column: str, threshold: float = 3.0) -
     return df.withColumn("outlier", F.coalesce((score > threshold) & (F.col(column) < middle), F.lit(False)))
 
 
-def without_low_outliers(df: DataFrame, key: str, column: str, threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def without_low_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """:func:`low_outliers` removed again and again until there are none: (kept, removed with its ``round``).
 
     Each round only lowers the number of rows, and moves the cut upwards, so rounds are few.
@@ -159,7 +159,7 @@ def without_low_outliers(df: DataFrame, key: str, column: str, threshold: float
     kept, removed, turn = df, None, 0
     while True:
         turn += 1
-        marked = materialise(low_outliers(kept, key, column, threshold), "outliers")
+        marked = materialise(low_outliers(kept, column, threshold), "outliers")
         out = marked.where("outlier").drop("outlier").withColumn("round", F.lit(turn))
         removed = out if removed is None else removed.unionByName(out)
         kept = marked.where("not outlier").drop("outlier")

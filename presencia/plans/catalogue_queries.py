@@ -99,12 +99,12 @@ SELECT row_id, coalesce(gc_content < m AND 0.6745 * abs(gc_content - m) / CASE W
 
 @R.query("qc_low_outliers", _MAD)
 def qc_low_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.low_outliers(_catalogue(spark, sf), "row_id", "gc_content", 2.0).select("row_id", "outlier")
+    return qc.low_outliers(_catalogue(spark, sf), "gc_content", 2.0).select("row_id", "outlier")
 
 
 @R.query("qc_without_low_outliers")
 def qc_without_low_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    kept, removed = qc.without_low_outliers(_catalogue(spark, sf).where("checkm_completeness is not null"), "row_id", "checkm_completeness", 3.0)
+    kept, removed = qc.without_low_outliers(_catalogue(spark, sf).where("checkm_completeness is not null"), "checkm_completeness", 3.0)
     return kept.select("row_id", F.lit(0).alias("round")).unionByName(removed.select("row_id", "round"))
 
 

@@ -182,7 +182,7 @@ def test_quality_bounds_and_nulls(spark):
 
 def test_low_outliers_go_until_none_is_left(spark):
     values = [10.0, 10.1, 9.9, 10.2, 9.8, 10.0, 3.0, 0.0, 30.0]
-    kept, removed = qc.without_low_outliers(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double"), "i", "v")
+    kept, removed = qc.without_low_outliers(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double"), "v")
     x, out = np.array(values), []
     while True:
         m = np.median(x)
