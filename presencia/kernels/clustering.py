@@ -141,6 +141,14 @@ def elbow_index(values: np.ndarray) -> int:
     return int(np.argmin(scaled - np.linspace(0, 1, len(y)))) if len(y) > 1 else 0
 
 
+def distances(x: np.ndarray) -> np.ndarray:
+    """Euclidean distances between all rows, made for so many rows at a time that differences of long vectors stay in 32 MB."""
+    out, step = np.zeros((len(x), len(x))), max(1, 4_000_000 // max(x.size, 1))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.sqrt(((x[i : i + step, None, :] - x[None, :, :]) ** 2).sum(-1))
+    return out
+
+
 def hdbscan(points: np.ndarray, min_cluster_size: int, min_samples: int) -> tuple[np.ndarray, float]:
     """Density clustering: labels (-1 is noise) and the relative validity on the spanning tree.
 
@@ -152,7 +160,7 @@ def hdbscan(points: np.ndarray, min_cluster_size: int, min_samples: int) -> tupl
     n = len(x)
     if n < 2:
         return np.full(n, -1), -1.0
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
+    d = distances(x)
     core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
     reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
     # Prim's algorithm
@@ -243,7 +251,7 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     x, names = np.asarray(points, float), np.unique(labels)
     if len(names) < 2:
         return -1.0
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
+    d = distances(x)
     sums = np.stack([d[:, labels == c].sum(1) for c in names], 1)
     counts = np.array([(labels == c).sum() for c in names])
     own = np.searchsorted(names, labels)

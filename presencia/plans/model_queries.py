@@ -460,6 +460,11 @@ def genome_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("density_models")
 def density_models(spark: SparkSession, sf: str) -> DataFrame:
-    """The grid of density models on the vectors of the embeddings table."""
-    points = table(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
-    return embed.density_models(points, "vec_id", [f"e{i}" for i in range(8)]).drop("labels")
+    """The grid of density models on the whole vectors of the embeddings table."""
+    rows = table(spark, sf, "embeddings")
+    widths = rows.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if widths["least"] != widths["most"]:
+        raise ValueError("vectors of different widths")
+    columns = [f"e{i}" for i in range(widths["most"] or 0)]
+    points = rows.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
+    return embed.density_models(points, "vec_id", columns).drop("labels")

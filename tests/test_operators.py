@@ -434,6 +434,21 @@ def test_maps_and_density_clusters(spark):
     assert embed.neighbours((1000, 500)) == 5 and embed.neighbours((10, 10)) == 2
 
 
+def test_density_models_use_whole_vectors(spark, tmp_path):
+    from presencia.plans.model_queries import density_models
+
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(0, 0.1, (80, 64))
+    x[:40, 40:] += 5  # groups that differ only in the last elements
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["min_cluster_size"], r["min_samples"]): r["silhouette"] for r in density_models(spark, str(tmp_path)).collect()}
+    assert len(got) == 25 and got[(28, 5)] > 0.9
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "other/embeddings.parquet"))
+    with pytest.raises(ValueError):
+        density_models(spark, str(tmp_path / "other"))
+
+
 def test_leading_inertias_as_by_the_whole_decomposition(spark):
     rnd = random.Random(7)
     p = spark.createDataFrame([(f"g{i}", f"s{j}") for i in range(60) for j in range(12) if rnd.random() < [0.9, 0.2][(i % 3 == 0) == (j < 5)] or j == 11], "gene string, genome string")
