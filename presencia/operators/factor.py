@@ -16,12 +16,14 @@ from pyspark.sql.window import Window
 from presencia.kernels.clustering import kmeans_1d
 from presencia.kernels.factor import mca_inertia, nmf, nnls
 from presencia.operators.embed import MAX_POINTS, gram
-from presencia.session import materialise
+from presencia.session import discard, materialise
 
 #: Cells (genes x genomes) of a table that one task may hold densely, 128 MB; larger ones are factorised distributed.
 DENSE_CELLS = 16_000_000
 #: Rows (genomes or genes times the rank) of a factor that an iteration may broadcast.
 MAX_FACTOR = 2_000_000
+#: Vectors of a subspace iteration beside those asked for; they make the asked ones settle sooner.
+EXTRA = 8
 
 
 def shape(p: DataFrame) -> tuple[int, int]:
@@ -34,13 +36,13 @@ def factorise(p: DataFrame, ranks: list[int], max_iter: int = 10_000) -> tuple[D
     """(rank, gene, component, w) and (rank, genome, component, h) of each rank.
 
     Tables up to DENSE_CELLS are fitted whole, a task per rank, from a deterministic start; larger ones by
-    distributed multiplicative updates.  Ranks must be positive; an empty table gives no rows.
+    the same fit distributed (:func:`factorise_large`).  Ranks must be positive; an empty table gives no rows.
     """
     if not ranks or min(ranks) < 1 or max_iter < 1:
         raise ValueError("ranks and iterations must be positive")
     genes, genomes = shape(p)
     if genes * genomes > DENSE_CELLS:
-        parts = [factorise_large(p, r, min(max_iter, 100)) for r in ranks]
+        parts = [factorise_large(p, r, max_iter) for r in ranks]
         w, h = parts[0]
         for a, b in parts[1:]:
             w, h = w.unionByName(a), h.unionByName(b)
@@ -76,33 +78,135 @@ def _gram(df: DataFrame, rank: int) -> np.ndarray:
     return np.array(df.agg(F.array(*cells).alias("g")).first()["g"], float).reshape(rank, rank)
 
 
-def factorise_large(p: DataFrame, rank: int, iterations: int = 50, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Multiplicative updates (Lee and Seung 2001) with both factors as tables, for any size.
+def _small(df: DataFrame, values: int) -> DataFrame:
+    return F.broadcast(df) if values <= MAX_FACTOR else df
 
-    An iteration joins the presence with one factor and sums vectors per row of the other, combined map-side; the
-    rank x rank products are one-row aggregates.  The smaller factor is broadcast if it is under MAX_FACTOR values.
-    Factors are written between iterations, so lineage stays short.
+
+def _crossed(p: DataFrame, other: DataFrame, key: str, by: str, width: int, n_other: int) -> DataFrame:
+    """(key, x0 ..): the sums of the other side's vectors over the present cells of each row."""
+    vectors = other.select(by, *[f"v{k}" for k in range(width)])
+    return p.join(_small(vectors, n_other * width), by).groupBy(key).agg(*[F.sum(f"v{k}").alias(f"x{k}") for k in range(width)])
+
+
+def _mixed(df: DataFrame, key: str, name: str, m: np.ndarray) -> DataFrame:
+    """Rows of the vectors ``name``0 .. times the matrix, as v0 .."""
+    cell = lambda j: sum((F.col(f"{name}{i}") * float(m[i, j]) for i in range(len(m))), F.lit(0.0)).alias(f"v{j}")
+    return df.select(key, *[cell(j) for j in range(m.shape[1])])
+
+
+def settled(gram: np.ndarray, image: np.ndarray, k: int, tol: float) -> bool:
+    """Whether the ``k`` leading Ritz values of a basis Q under B have residuals of at most ``tol`` of the first.
+
+    gram is Q'BQ and image (BQ)'(BQ); a residual bounds the distance to an eigenvalue.
+    """
+    values, vectors = np.linalg.eigh(gram)
+    left = np.einsum("ij,ik,kj->j", vectors, image, vectors) - values**2
+    return bool((left[::-1][:k] <= (tol * values[-1]) ** 2).all())
+
+
+def _start(p: DataFrame, rank: int, genes: int, genomes: int, seed: int, turns: int = 100, tol: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """The start of :func:`presencia.kernels.factor.nndsvd`, its singular pairs by subspace iteration with EXTRA more vectors."""
+    width = min(rank + EXTRA, genes, genomes)
+    v, gram = materialise(_vectors(p, "genome", width, seed), "start"), None
+    for turn in range(turns + 1):
+        image = _gram(v, width)
+        if turn == turns or (gram is not None and settled(gram, image, min(rank, width), tol)):
+            turns = turn
+        values, vectors = np.linalg.eigh(image)
+        turned = np.where(values > 1e-14 * values[-1], vectors / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        old, v = v, materialise(_mixed(v, "genome", "v", turned), "start")
+        discard(old)
+        u = materialise(_mixed(_crossed(p, v, "gene", "genome", width, genomes), "gene", "x", np.eye(width)), "start")
+        gram = _gram(u, width)
+        if turn == turns:
+            break
+        old, v = v, materialise(_mixed(_crossed(p, u, "genome", "gene", width, genes), "genome", "x", np.eye(width)), "start")
+        discard(old)
+        discard(u)
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    good = [k for k in range(min(rank, width)) if values[k] > 1e-14 * values[0]]
+    sigma = np.sqrt(values[good])
+    a, b = _mixed(u, "gene", "v", vectors[:, good] / sigma), _mixed(v, "genome", "v", vectors[:, good])
+    norms = {}
+    for side, df in (("a", a), ("b", b)):
+        parts = [F.sum(F.pow(F.greatest(F.lit(float(sign)) * F.col(f"v{k}"), F.lit(0.0)), F.lit(2.0))) for k in range(len(good)) for sign in (1, -1)]
+        norms[side] = np.sqrt(np.array(df.agg(F.array(*parts).alias("n")).first()["n"], float).reshape(-1, 2))
+    small = 1e-6 * p.count() / (genes * genomes)
+
+    def made(df: DataFrame, key: str, side: str) -> DataFrame:
+        out = []
+        for k in range(rank):
+            if k >= len(good):
+                out.append(F.lit(small).alias(f"v{k}"))
+                continue
+            each = norms["a"][k] * norms["b"][k]
+            at = int(np.argmax(each))
+            if k == 0:
+                value = F.abs(F.col("v0")) * float(np.sqrt(sigma[0]))
+            elif each[at]:
+                value = F.greatest(F.lit(1.0 - 2 * at) * F.col(f"v{k}"), F.lit(0.0)) * float(np.sqrt(sigma[k] * each[at]) / norms[side][k][at])
+            else:
+                value = F.lit(small)
+            out.append(value.alias(f"v{k}"))
+        return materialise(df.select(key, *out), "factor")
+
+    w, h = made(a, "gene", "a"), made(b, "genome", "b")
+    discard(u)
+    discard(v)
+    return w, h
+
+
+def factorise_large(p: DataFrame, rank: int, iterations: int = 10_000, seed: int = 1, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """The fit of :func:`presencia.kernels.factor.nmf` with both factors as tables, for any size.
+
+    Start, coordinate descent and order of components are as there: given the other factor, a row's descent needs only
+    its sums over present cells and the rank x rank product, so a half iteration joins the presence with one factor, sums
+    vectors per row of the other, combined map-side, and descends row by row.  It stops when the projected gradient falls
+    to ``tol`` of its first value or to rounding (1e-12 of the sums), or after ``iterations``.  The smaller factor is broadcast if it is
+    under MAX_FACTOR values.  Factors are written between half iterations, so lineage stays short, and dropped when replaced.
     """
     cols = [f"v{k}" for k in range(rank)]
-    p = materialise(p.select("gene", "genome"), "presence")
-    w, h = _vectors(p, "gene", rank, seed), _vectors(p, "genome", rank, seed + 1)
+    p = materialise(p.select("gene", "genome").distinct(), "presence")
     genes, genomes = shape(p)
-    small = lambda df, n: F.broadcast(df) if n * rank <= MAX_FACTOR else df
-
-    def step(own: DataFrame, other: DataFrame, key: str, by: str, n_other: int) -> DataFrame:
+    long = lambda df, key, x, order: df.select(F.lit(rank).alias("rank"), key, F.posexplode(F.array(*[cols[k] for k in order])).alias("component", x))
+    if not genes:
+        none = [F.lit(0.0).alias(c) for c in cols]
+        return long(p.select("gene", *none), "gene", "w", range(rank)), long(p.select("genome", *none), "genome", "h", range(rank))
+    w, h = _start(p, rank, genes, genomes, seed)
+
+    def step(own: DataFrame, other: DataFrame, key: str, by: str, n_other: int) -> tuple[DataFrame, float, float]:
+        """The new factor, its projected gradient and the size of its sums."""
         gram = _gram(other, rank)
-        cross = p.join(small(other, n_other), by).groupBy(key).agg(*[F.sum(c).alias(f"x{c}") for c in cols])
-        new = []
-        for k, c in enumerate(cols):
-            below = sum((F.col(d) * float(gram[i, k]) for i, d in enumerate(cols)), F.lit(0.0))
-            new.append((F.col(c) * F.col(f"x{c}") / F.greatest(below, F.lit(1e-12))).alias(c))
-        return materialise(own.join(cross, key).select(key, *new), "factor")
 
+        def descend(batches):
+            for rows in batches:
+                a, cross = rows[cols].to_numpy(float), rows[[f"x{k}" for k in range(rank)]].to_numpy(float)
+                moved = np.zeros(len(a))
+                for k in range(rank):
+                    grad = a @ gram[:, k] - cross[:, k]
+                    moved += np.abs(np.where(a[:, k] == 0, np.minimum(grad, 0), grad))
+                    if gram[k, k] > 0:
+                        a[:, k] = np.maximum(a[:, k] - grad / gram[k, k], 0)
+                yield pd.DataFrame({key: rows[key], **{c: a[:, k] for k, c in enumerate(cols)}, "moved": moved, "sums": cross.sum(1)})
+
+        rows = own.select(key, *cols).join(_crossed(p, other, key, by, rank, n_other), key)
+        made = materialise(rows.mapInPandas(descend, f"{key} string, {', '.join(f'{c} double' for c in cols)}, moved double, sums double"), "factor")
+        r = made.agg(F.sum("moved").alias("moved"), F.sum("sums").alias("sums")).first()
+        discard(own)
+        return made, r["moved"], r["sums"]
+
+    first = None
     for _ in range(iterations):
-        h = step(h, w, "genome", "gene", genes)
-        w = step(w, h, "gene", "genome", genomes)
-    long = lambda df, key, x: df.select(F.lit(rank).alias("rank"), key, F.posexplode(F.array(*cols)).alias("component", x))
-    return long(w, "gene", "w"), long(h, "genome", "h")
+        w, moved_w, sums_w = step(w, h, "gene", "genome", genomes)
+        h, moved_h, sums_h = step(h, w, "genome", "gene", genes)
+        moved = moved_w + moved_h
+        first = moved if first is None else first
+        if moved <= max(tol * first, 1e-12 * (sums_w + sums_h)):
+            break
+    total = lambda df: np.array(df.agg(F.array(*[F.sum(c) for c in cols]).alias("t")).first()["t"], float)
+    order = [int(k) for k in np.argsort(-total(w) * total(h), kind="stable")]
+    return long(w, "gene", "w", order), long(h, "genome", "h", order)
 
 
 def normalised(w: DataFrame, h: DataFrame, prob: float = 0.99) -> tuple[DataFrame, DataFrame]:

@@ -47,6 +47,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of what :func:`materialise` returned, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for work that is long for its bytes: dealt anew only if it has fewer partitions than there are cores.
 

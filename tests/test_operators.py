@@ -262,6 +262,30 @@ def test_distributed_factors_fit_as_well(spark):
     assert w.where("w < 0").count() == 0
 
 
+def test_large_tables_get_the_same_fit(spark, monkeypatch):
+    rnd = random.Random(3)
+    cells = [(f"g{i:02d}", f"s{j:02d}") for i in range(40) for j in range(25) if rnd.random() < (0.85 if i % 3 == j % 3 and (i + j) % 7 else 0.15)]
+    p = spark.createDataFrame(cells, "gene string, genome string")
+    whole = [sorted(map(tuple, f.collect())) for f in factor.factorise(p, [3], 150)]
+    monkeypatch.setattr(factor, "DENSE_CELLS", 0)
+    w, h = factor.factorise(p, [3], 150)
+    for a, b in zip(whole, (w, h), strict=True):
+        b = sorted(map(tuple, b.collect()))
+        assert [r[:3] for r in a] == [r[:3] for r in b]
+        assert [r[3] for r in a] == pytest.approx([r[3] for r in b], abs=2e-3)
+    sizes = w.groupBy("component").agg(F.sum("w").alias("w")).join(h.groupBy("component").agg(F.sum("h").alias("h")), "component").orderBy("component")
+    sizes = [r["w"] * r["h"] for r in sizes.collect()]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_large_tables_get_all_iterations_asked(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(factor, "DENSE_CELLS", 0)
+    monkeypatch.setattr(factor, "factorise_large", lambda p, rank, iterations: asked.append(iterations) or (p, p))
+    factor.factorise(planted(spark, 2, 2), [2], 500)
+    assert asked == [500]
+
+
 def test_rank_lists(spark):
     assert factor.refined_ranks(2, 10, 12, [2, 4, 10]) == [6, 8, 11]
     assert factor.refined_ranks(None, 3, None, []) == []
