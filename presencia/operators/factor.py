@@ -338,17 +338,18 @@ def mca(p: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame(table, "component int, inertia double, share double, cumulative double")
 
 
-def mca_leading(p: DataFrame, k: int = 10, iterations: int = 12, seed: int = 1) -> DataFrame:
+def mca_leading(p: DataFrame, k: int = 10, iterations: int = 200, seed: int = 1, tol: float = 1e-5) -> DataFrame:
     """``component, inertia`` of the ``k`` leading components for any number of genomes, by subspace iteration.
 
     The standardised residuals S of the indicator table are never made: S v and S'u are sums over present cells plus
     terms of the margins, so an iteration is two joins with map-side-combined sums; k x k products are one-row
-    aggregates.  Components whose inertias nearly agree may not have settled; more iterations separate them.
+    aggregates.  EXTRA more vectors are carried along.  It stops when the residuals of the ``k`` leading components are at
+    most ``tol`` of the first inertia (the inertias' own errors are far smaller), or after ``iterations``.
     """
     p = materialise(p.select("gene", "genome").distinct(), "presence")
     m, n = shape(p)
-    k = min(k, n)
-    if not k:
+    asked, k = min(k, n), min(k + EXTRA, n)
+    if not asked:
         return p.sparkSession.createDataFrame([], "component int, inertia double")
     cols = range(k)
     start = [(F.xxhash64(F.lit(seed), "genome", F.lit(x)) % 1000 / 1000.0).alias(x) for x in [f"a{i}" for i in cols] + [f"b{i}" for i in cols]]
@@ -359,9 +360,13 @@ def mca_leading(p: DataFrame, k: int = 10, iterations: int = 12, seed: int = 1)
         cells = [F.sum(sum((F.col(f"{s}{i}") * F.col(f"{s}{j}") for s in parts), F.lit(0.0))) for i in cols for j in cols]
         return np.array(rows.agg(F.array(*cells).alias("g")).first()["g"], float).reshape(k, k)
 
+    gram = None
     for turn in range(iterations + 1):
+        image = product(v, ("a", "b"))
+        if gram is not None and settled(gram, image, asked, tol):
+            break
         # an orthonormal basis of the current vectors
-        values, vectors = np.linalg.eigh(product(v, ("a", "b")))
+        values, vectors = np.linalg.eigh(image)
         turned = vectors / np.sqrt(np.maximum(values, 1e-18))
         mixed = lambda s, j: sum((F.col(f"{s}{i}") * float(turned[i, j]) for i in cols), F.lit(0.0)).alias(f"{s}{j}")  # noqa: E731,B023
         v = materialise(v.select("genome", "y", "o", *[mixed(s, j) for s in "ab" for j in cols]), "basis")
@@ -371,6 +376,7 @@ def mca_leading(p: DataFrame, k: int = 10, iterations: int = 12, seed: int = 1)
         diff = v.select("genome", *[(x - z).alias(f"d{i}") for i, (x, z) in enumerate(zip(alpha, beta, strict=True))])
         u = p.join(diff, "genome").groupBy("gene").agg(*[(m**0.5 * ((F.sum(f"d{i}") + margin["b"][i]) / (m * n) - margin["k"][i])).alias(f"u{i}") for i in cols])
         u = materialise(u, "genes")
+        gram = product(u, ("u",))
         if turn == iterations:
             break
         total = u.agg(F.array(*[F.sum(f"u{i}") for i in cols]).alias("t")).first()["t"]
@@ -378,7 +384,7 @@ def mca_leading(p: DataFrame, k: int = 10, iterations: int = 12, seed: int = 1)
         back = lambda own, mass, i: per(m**0.5 * (own / (m * n) - F.col(mass) * total[i] / m), mass)  # noqa: E731,B023
         made = [back(F.col(f"s{i}"), "y", i).alias(f"a{i}") for i in cols] + [back(total[i] - F.col(f"s{i}"), "o", i).alias(f"b{i}") for i in cols]
         v = materialise(v.select("genome", "y", "o").join(sums, "genome").select("genome", "y", "o", *made), "vectors")
-    inertia = np.linalg.eigvalsh(product(u, ("u",)))[::-1]
+    inertia = np.linalg.eigvalsh(gram)[::-1][:asked]
     return p.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(inertia)], "component int, inertia double")
 
 

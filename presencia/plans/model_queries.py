@@ -208,8 +208,8 @@ def factor_best_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("factor_large")
 def factor_large(spark: SparkSession, sf: str) -> DataFrame:
-    """The distributed fit, three components."""
-    return factor.factorise_large(_accessory(spark, sf), 3, 5)[1]
+    """The distributed fit, three components, to its tolerance."""
+    return factor.factorise_large(_accessory(spark, sf), 3)[1]
 
 
 @R.query("inertia")
@@ -219,8 +219,8 @@ def inertia(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("leading_inertia")
 def leading_inertia(spark: SparkSession, sf: str) -> DataFrame:
-    """The two leading components by the distributed way."""
-    return factor.mca_leading(genes_by_genome(spark, sf), 2, 4)
+    """The two leading components by the distributed way, to its tolerance."""
+    return factor.mca_leading(genes_by_genome(spark, sf), 2)
 
 
 @R.query("inertia_ranks")

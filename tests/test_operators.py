@@ -489,6 +489,24 @@ def test_leading_inertias_as_by_the_whole_decomposition(spark):
     assert whole[:4] == pytest.approx((s[:4] ** 2).tolist(), rel=1e-6)
 
 
+def test_large_model_queries_are_whole_fits(spark, tmp_path):
+    from presencia.plans import model_queries as mq
+
+    def written(name, cells):
+        rows = [(f"C{i:02d}A1", f"g.{j:02d}") for i, j in cells]
+        spark.createDataFrame(rows, "cluster string, genome_id string").write.parquet(str(tmp_path / name / "locus_map.parquet"))
+        return str(tmp_path / name)
+
+    rnd = random.Random(9)
+    noisy = written("noisy", [(i, j) for i in range(40) for j in range(20) if rnd.random() < (0.6 if (i < 20) == (j < 10) else 0.3)])
+    lead = [r["inertia"] for r in mq.leading_inertia(spark, noisy).orderBy("component").collect()]
+    whole = [r["inertia"] for r in mq.inertia(spark, noisy).orderBy("component").limit(2).collect()]
+    assert lead == pytest.approx(whole, rel=1e-6)
+    blocks = written("blocks", [(i, j) for i in range(24) for j in range(12) if (i > 11) + (i > 19) == (j > 4) + (j > 8)])
+    h = mq.factor_large(spark, blocks).groupBy("genome").agg(F.collect_list("h").alias("h")).collect()
+    assert len(h) == 12 and all(sorted(r["h"])[1] < 1e-6 * max(r["h"]) for r in h)
+
+
 # --- builds, sketches, files ------------------------------------------------------
 
 
