@@ -394,6 +394,51 @@ def ranks_from_inertia(inertia: DataFrame, extra: list[int], shares: tuple[float
     return inertia.agg(first.alias("r")).select(F.explode(F.array_sort(F.array_distinct(F.filter("r", lambda x: x.isNotNull())))).alias("rank"))
 
 
+def bi_modal(df: DataFrame, value: str, tol: float = 1e-3, max_iter: int = 100) -> DataFrame:
+    """``component, weight, mean, deviation`` of a mixture of two normals fitted to a column, by rising mean.
+
+    Expectation maximisation from the groups of 2-means (from a cut at the mean), until the mean log likelihood moves by less than
+    ``tol``; variances are raised by 1e-6.  Values are counted once, a step is a one-row aggregate over the distinct
+    ones.  Nulls and NaN are left out; fewer than two distinct values raise.
+    """
+    x = F.col(value).cast("double")
+    counts = materialise(df.select(x.alias("x")).where("x is not null and not isnan(x)").groupBy("x").agg(F.count(F.lit(1)).alias("c")), "values")
+    r = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m")).first()
+    if r["d"] < 2:
+        raise ValueError("fewer than two distinct values")
+    n, middle = r["n"], r["m"]
+    y = F.col("x") - F.lit(middle)
+
+    def sums(high: Column, like: Column) -> tuple[np.ndarray, float]:
+        """Weight, sum and sum of squares of both components, where ``high`` is the upper one's part; the mean of ``like``."""
+        parts = [F.sum(F.col("c") * p * F.pow(y, F.lit(float(k)))) for p in (1 - high, high) for k in range(3)]
+        out = counts.agg(F.array(*parts, F.sum(F.col("c") * like)).alias("s")).first()["s"]
+        return np.array(out[:6], float).reshape(2, 3), out[6] / n
+
+    cut, new = None, 0.0
+    while new != cut:  # 2-means lowers its cost with each new cut, so it ends
+        cut = new
+        s, _ = sums(F.when(y > F.lit(cut), 1.0).otherwise(0.0), F.lit(0.0))
+        new = float((s[:, 1] / s[:, 0]).mean())
+    before = -np.inf
+    for _ in range(max_iter):
+        size = s[:, 0] + 1e-15
+        mean = s[:, 1] / size
+        var = np.maximum(s[:, 2] / size - mean**2, 0) + 1e-6
+        low, high = (F.lit(float(np.log(size[k] / n) - np.log(2 * np.pi * var[k]) / 2)) - F.pow(y - F.lit(float(mean[k])), F.lit(2.0)) / float(2 * var[k]) for k in (0, 1))
+        top = F.greatest(low, high)
+        like = top + F.log(F.exp(low - top) + F.exp(high - top))
+        s, mean_like = sums(F.exp(high - like), like)
+        if abs(mean_like - before) < tol:
+            break
+        before = mean_like
+    size = s[:, 0] + 1e-15
+    mean = s[:, 1] / size
+    deviation = np.sqrt(np.maximum(s[:, 2] / size - mean**2, 0) + 1e-6)
+    rows = [(i, float(size[k] / n), float(mean[k] + middle), float(deviation[k])) for i, k in enumerate(np.argsort(mean))]
+    return df.sparkSession.createDataFrame(rows, "component int, weight double, mean double, deviation double")
+
+
 # --- affinities of new genomes ----------------------------------------------------
 
 

@@ -228,6 +228,12 @@ def inertia_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return factor.ranks_from_inertia(factor.mca(genes_by_genome(spark, sf)), [5])
 
 
+@R.query("frequency_modes")
+def frequency_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """The two normals of the genes' frequencies."""
+    return factor.bi_modal(pr.gene_frequency(genes_by_genome(spark, sf)), "freq")
+
+
 # --- consensus --------------------------------------------------------------------
 
 # three models by the row's number; in each a genome's label is the commonest last digit of its clusters

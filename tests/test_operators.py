@@ -507,6 +507,17 @@ def test_large_model_queries_are_whole_fits(spark, tmp_path):
     assert len(h) == 12 and all(sorted(r["h"])[1] < 1e-6 * max(r["h"]) for r in h)
 
 
+def test_two_normals_of_a_column(spark):
+    rnd = np.random.default_rng(2)
+    x = np.concatenate([rnd.normal(5, 1, 600), rnd.normal(20, 3, 400)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    low, high = factor.bi_modal(df, "x").orderBy("component").collect()
+    assert (low["mean"], low["deviation"], low["weight"]) == pytest.approx((x[:600].mean(), x[:600].std(), 0.6), rel=0.03)
+    assert (high["mean"], high["deviation"], high["weight"]) == pytest.approx((x[600:].mean(), x[600:].std(), 0.4), rel=0.03)
+    with pytest.raises(ValueError):
+        factor.bi_modal(df.where("x > 1e9"), "x")
+
+
 # --- builds, sketches, files ------------------------------------------------------
 
 
