@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from presencia.operators.skew import salted_lookup
 from presencia.session import materialise
 
 #: Characters of an unquoted value, as the inside of a character class.
@@ -34,23 +36,21 @@ def skeleton(field: Column) -> Column:
 def resolve(skel: str) -> list[tuple[int, int, bool]]:
     """The rule of one skeleton: (first piece from 1, pieces, quoted) of each value.
 
-    A double quote opens a stretch that ends at the next one that is not doubled.
-    One that never closes is a separator like any other.
+    A double quote opens a stretch that ends at the next one that is not doubled.  If there is none, it ends at the
+    first quote of the last doubled pair, and without such a pair the quote is a separator like any other.
     """
     rule, i, n = [], 0, len(skel)
     while i < n:
         if skel[i] == "a":
             rule.append((i + 1, 1, False))
         elif skel[i] == '"':
-            j = i + 1
-            while j < n and (skel[j] != '"' or skel[j + 1 : j + 2] == '"'):
-                j += 2 if skel[j] == '"' else 1
-            if j < n:
-                rule.append((i + 2, j - i - 1, True))
-                i = j
-            elif '"' not in skel[i + 1 :]:
-                rule += [(k + 1, 1, False) for k in range(i + 1, n) if skel[k] == "a"]
-                break
+            pair, j = -1, skel.find('"', i + 1)
+            while j >= 0 and skel[j + 1 : j + 2] == '"':
+                pair, j = j, skel.find('"', j + 2)
+            end = j if j >= 0 else pair
+            if end >= 0:
+                rule.append((i + 2, end - i - 1, True))
+                i = end
         i += 1
     return rule
 
@@ -69,18 +69,16 @@ def _values(pieces: Column, rule: Column) -> Column:
     )
 
 
-def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULES) -> DataFrame:
+def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULES, max_chars: int = MAX_RULE_CHARS) -> DataFrame:
     """``keep`` columns with ``pos`` (from 1) and ``val``, one row per value of ``field``.
 
     Null and empty fields, and fields of separators only, give no rows; repeated
-    values are kept; an empty quoted stretch is an empty value; an unclosed quote
-    separates.  Columns beyond ``keep`` and ``field`` are not read.
-
-    Scale: the skeletons are counted with map-side combining; the rules of the most
-    frequent ones (at most MAX_RULES, of MAX_RULE_CHARS characters in all) are
-    broadcast, so a skeleton that most rows share never meets a shuffle.  Only if
-    there are more do the rows of the rest, rare by construction, join their
-    rules by a shuffle.
+    values are kept; an empty quoted stretch is an empty value; an unclosed quote is
+    read as :func:`resolve` says.  Columns beyond ``keep`` and ``field`` are not read.
+
+    Scale: the skeletons are counted with map-side combining; if their rules exceed MAX_RULES or
+    MAX_RULE_CHARS, the most frequent ones within both are broadcast, long ones too, and the rows of the rest
+    join their rules by a shuffle in which hot skeletons are dealt over sub-keys.
     """
     rows = df.where(F.col(field).isNotNull() & (F.col(field) != "")).select(
         F.struct(*keep).alias("_keep"), F.col(field).alias("_field"), skeleton(F.col(field)).alias("_skel")
@@ -88,15 +86,17 @@ def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULE
     counts = rows.groupBy("_skel").agg(F.count(F.lit(1)).alias("_n"))
     rules = materialise(counts.select("_skel", "_n", _resolved("_skel").alias("_rule")), "rules")
     size = rules.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_skel")).alias("c")).first()
-    if size["n"] <= max_rules and (size["c"] or 0) <= MAX_RULE_CHARS:
+    if size["n"] <= max_rules and (size["c"] or 0) <= max_chars:
         ruled = rows.join(F.broadcast(rules.drop("_n")), "_skel")
     else:
-        width = MAX_RULE_CHARS // max_rules
-        often = rules.where(F.length("_skel") <= width).orderBy(F.desc("_n"), "_skel").limit(max_rules)
-        often = materialise(often.drop("_n"), "rules_often")
-        rest = rules.drop("_n").join(F.broadcast(often.select("_skel")), "_skel", "left_anti")
+        first = rules.select(F.md5("_skel").alias("_id"), "_n", F.length("_skel").alias("_len")).orderBy(F.desc("_n"), "_id").limit(max_rules)
+        upto = F.sum("_len").over(Window.orderBy(F.desc("_n"), "_id"))  # of at most MAX_RULES rows
+        first = first.withColumn("_c", upto).where(F.col("_c") <= max_chars).select("_id")
+        often = materialise(rules.withColumn("_id", F.md5("_skel")).join(F.broadcast(first), "_id", "left_semi").drop("_id", "_n"), "rules_often")
+        rest = materialise(rules.join(F.broadcast(often.select("_skel")), "_skel", "left_anti"), "rules_rest")
+        others = rows.join(F.broadcast(often.select("_skel")), "_skel", "left_anti")
         ruled = rows.join(F.broadcast(often), "_skel").unionByName(
-            rows.join(F.broadcast(often.select("_skel")), "_skel", "left_anti").join(rest, "_skel")
+            salted_lookup(others, rest, ["_skel"], "_n", F.col("_field"), stored=True).drop("_n")
         )
     pieces = F.regexp_extract_all("_field", F.lit(f"[{ORDINARY}]+|[^{ORDINARY}]"), F.lit(0))
     return (

@@ -27,9 +27,10 @@ def by_species(summary: DataFrame, pattern: str) -> DataFrame:
 
 def _quantile(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Interpolated quantiles of one column, exact for numbers of up to six decimals: a row that the driver may hold."""
-    scaled = df.select(F.lit(0).alias("all"), F.round(F.col(column) * SCALE).cast("bigint").alias("x")).where("x is not null")
+    scale = 1 if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long") else SCALE
+    scaled = df.select(F.lit(0).alias("all"), F.round(F.col(column) * scale).cast("bigint").alias("x")).where("x is not null")
     row = exact_quantiles(scaled, ["all"], "x", probs).first()
-    return [q / SCALE for q in row["quantiles"]] if row else [None] * len(probs)
+    return [q / scale for q in row["quantiles"]] if row else [None] * len(probs)
 
 
 def within_contig_outliers(df: DataFrame, column: str = "contigs") -> DataFrame:

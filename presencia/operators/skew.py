@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot above total / HOT_SHARE rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 200
-#: ... and never below this many rows, where splitting costs more than it saves.
-HOT_ROWS = 100_000
+from presencia.session import materialise
 
+#: Rows of one key that one task may join; keys with more are dealt over sub-keys, at any size of the tables.
+HOT_ROWS = 200_000
+#: Hot keys are told to all tasks by the bucket of their hash: at most this many rows of two numbers are broadcast.
+BUCKETS = 1 << 18
 
-def hot_threshold(total: int) -> int:
-    """Rows above which a key is split: at most HOT_SHARE keys can exceed it."""
-    return max(HOT_ROWS, total // HOT_SHARE)
 
-
-def salted_lookup(big: DataFrame, small: DataFrame, on: list[str], n: str, spread: Column, hot_rows: int | None = None) -> DataFrame:
+def salted_lookup(
+    big: DataFrame, small: DataFrame, on: list[str], n: str, spread: Column, hot_rows: int | None = None, stored: bool = False
+) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row per key) without a hot task.
 
-    ``small`` holds in column ``n`` how many rows of ``big`` each key has.  Rows
-    of keys with more than the threshold are dealt by ``spread`` over
-    ``ceil(n / threshold)`` sub-keys and the key's single row is repeated for each.  The
-    list of hot keys is bounded by HOT_SHARE rows whatever the data, hence broadcast;
-    all else is left to an ordinary equi join (AQE may still convert it).
+    ``small`` holds in column ``n`` how many rows of ``big`` each key has (or a bound of it).  A key
+    with more than HOT_ROWS of them is dealt by ``spread`` over ``ceil(n / HOT_ROWS)`` sub-keys, and
+    its single row is repeated for each, so a task meets at most HOT_ROWS rows of a key however large
+    the tables are.  Both sides find the number of sub-keys by the bucket of the key's hash: BUCKETS rows at most
+    are broadcast, also where more keys are hot, and a key that shares its bucket with a hot one is only
+    repeated more often than it needs.  Without hot keys this is an ordinary equi join.
 
-    Null keys match nothing; empty inputs give an empty result.  Columns other
-    than ``on`` must not clash between the sides.
+    ``small`` is written once unless it is ``stored`` already, since it is read twice.  Null keys match nothing; empty
+    inputs give an empty result.  Columns other than ``on`` must not clash between the sides.
     """
-    if hot_rows is None:
-        total = small.agg(F.sum(n).alias("t")).first()["t"] or 0
-        hot_rows = hot_threshold(int(total))
-    parts = F.ceil(F.col(n) / F.lit(hot_rows)).cast("int")
-    hot = small.where(F.col(n) > hot_rows).select(*on, parts.alias("_parts"))
-    tagged = big.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
-    ).drop("_parts")
-    repeated = small.withColumn(
-        "_salt", F.explode(F.when(F.col(n) > hot_rows, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
-    )
-    return tagged.join(repeated, [*on, "_salt"]).drop("_salt")
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    small = small if stored else materialise(small, "lookup")
+    bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int")
+    hot = small.where(F.col(n) > hot_rows).groupBy(bucket.alias("_bucket")).agg(F.max(F.ceil(F.col(n) / hot_rows)).cast("int").alias("_parts"))
+    if not hot.head(1):
+        return big.join(small, on)
+    hot = F.broadcast(materialise(hot, "hot_buckets"))
+    sides = [side.withColumn("_bucket", bucket).join(hot, "_bucket", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))) for side in (big, small)]
+    dealt = sides[0].withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts", "_bucket")
+    repeated = sides[1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_bucket")
+    return dealt.join(repeated, [*on, "_salt"]).drop("_salt")

@@ -188,7 +188,7 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT cluster FROM locus_map WHERE cluster IS NOT NULL GROUP BY cluster HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM locus_map)",
 )
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.heavy_keys(_clusters(spark, sf), 0.02).select("cluster")
+    return quantiles.heavy_keys(table(spark, sf, "locus_map"), "cluster", 0.02).select("cluster")
 
 
 @R.query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import statistics
 from datetime import datetime, timedelta
 
@@ -33,9 +34,28 @@ def test_salted_lookup_splits_hot_keys_without_loss(spark):
     assert skew.salted_lookup(big.limit(0), small.limit(0), ["k"], "n", F.col("v")).count() == 0
 
 
-def test_number_of_hot_keys_is_bounded():
-    assert skew.hot_threshold(10) == skew.HOT_ROWS
-    assert skew.hot_threshold(10**12) * skew.HOT_SHARE == 10**12
+def test_salted_lookup_with_more_hot_keys_than_buckets(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 3)
+    big = spark.range(400).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.count("*").alias("n"))
+    joined = skew.salted_lookup(big, small, ["k"], "n", F.col("v"), hot_rows=5)
+    assert got(joined) == sorted(((i % 20, i, 20) for i in range(400)), key=repr)
+
+
+def test_a_hot_key_makes_no_long_task(spark):
+    n = 400_000  # 200,000 keys, and one with a tenth of the rows
+    big = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.lit(0)).otherwise(1 + F.col("id") % 200_000).alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.salted_lookup(big, small, ["k"], "n", F.col("v"), hot_rows=1000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == n
+    assert max(sizes) <= 2 * statistics.median(sizes)
 
 
 # --- references -------------------------------------------------------------------
@@ -56,7 +76,7 @@ def _brute(children, parents):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_orphans_as_by_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(references, "MERGE_ROWS", 4)
+    monkeypatch.setattr(references, "BIN_ROWS", 10)
     rnd = random.Random(seed)
     day = lambda: None if rnd.random() < 0.03 else T0 + timedelta(days=rnd.randrange(40))
     keys = ["hot"] * 6 + [f"k{i}" for i in range(30)] + [None]
@@ -87,45 +107,21 @@ def test_orphans_of_empty_tables(spark):
 
 FIELDS = [
     (1, "GO:1, GO:2;GO:2"), (2, None), (3, ""), (4, " ;, "), (5, '"a ""b"" c",d'), (6, '""'), (7, 'x"y z"w'), (8, "open \"a b c"), (9, '"a" "b'), (10, "a，b\tc\nd"),
-    (11, "['GO:1', 'GO:2']"), (12, "é a-b_c.d"), (13, "x," * 5000), (14, '"' + "long " * 4000 + '"'), (14, "a"), (15, '"""'), (16, '"a"""b'),
+    (11, "['GO:1', 'GO:2']"), (12, "é a-b_c.d"), (13, "x," * 5000), (14, '"' + "long " * 4000 + '"'), (14, "a"), (15, '"""'), (16, '"a"""b'), (17, '"a""a'), (18, '"a""b""c d'), (19, '""""'), (20, '"" "'),
 ]
 
 
 def _unpacked(field):
-    out, i = [], 0
-    ordinary = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789:._-")
-    while i < len(field or ""):
-        if field[i] == '"':
-            j, text = i + 1, ""
-            while j < len(field):
-                if field[j] == '"' and field[j + 1 : j + 2] == '"':
-                    text += '"'
-                    j += 2
-                elif field[j] == '"':
-                    break
-                else:
-                    text += field[j]
-                    j += 1
-            if j < len(field):
-                out.append(text)
-                i = j + 1
-                continue
-        if field[i] in ordinary:
-            j = i
-            while j < len(field) and field[j] in ordinary:
-                j += 1
-            out.append(field[i:j])
-            i = j
-        else:
-            i += 1
-    return out
-
-
-@pytest.mark.parametrize("max_rules", [1000, 3])
-def test_unpack_as_by_a_plain_reader(spark, max_rules):
+    found = re.findall(r'"(?:[^"]|"")*"|[A-Za-z0-9:._-]+', field or "")
+    return [v[1:-1].replace('""', '"') if v[0] == '"' else v for v in found]
+
+
+@pytest.mark.parametrize(("max_rules", "max_chars"), [(1000, 10**6), (3, 10**6), (1000, 20), (0, 0)])
+def test_unpack_as_by_a_plain_reader(spark, monkeypatch, max_rules, max_chars):
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
     df = spark.createDataFrame(FIELDS, "id int, f string").withColumns({"pos": F.lit("x"), "_skel": F.lit("y")})
     want = sorted(((i, p, v) for i, f in FIELDS for p, v in enumerate(_unpacked(f), 1)), key=repr)
-    assert got(packed.unpack(df, "f", ["id"], max_rules)) == want
+    assert got(packed.unpack(df, "f", ["id"], max_rules, max_chars)) == want
 
 
 def test_unpack_random_fields_and_empty_table(spark):
@@ -168,12 +164,20 @@ def test_quantiles_by_weight_and_of_nothing(spark):
     assert r == {"a": 1.0, "b": statistics.median([2, 2, 4, 4])}
     empty = quantiles.exact_quantiles(df.limit(0), ["k"], "v", [0.5])
     assert empty.count() == 0
-    assert quantiles.heavy_keys(empty, 0.02).count() == 0
-
-
-def test_heavy_keys_at_exactly_the_share(spark):
-    df = spark.createDataFrame([("a", 2), ("b", 1)] + [(None, 97)], "k string, n_rows long")
-    assert got(quantiles.heavy_keys(df, 0.02).select("k")) == [("a",)]
+    assert quantiles.heavy_keys(df.limit(0), "k", 0.02).count() == 0
+
+
+@pytest.mark.parametrize(("few", "bins"), [(4096, 1024), (5, 256)])
+def test_heavy_keys_at_exactly_the_share(spark, monkeypatch, few, bins):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    rows = [("a",)] * 2 + [("b",)] + [(None,)] * 97
+    df = spark.createDataFrame(rows, "k string").withColumn("code", F.lit(1))
+    assert got(quantiles.heavy_keys(df, "k", 0.02)) == [("a", 2)]
+    assert got(quantiles.heavy_keys(df, "k", 1.0)) == []
+    many = spark.range(1000).select(F.when(F.col("id") < 300, F.col("id") % 10).otherwise(F.col("id")).cast("string").alias("k"))
+    assert got(quantiles.heavy_keys(many, "k", 0.03)) == [(str(k), 30) for k in range(10)]
+    assert got(quantiles.heavy_keys(many.where("k = '1'"), "k", 1.0)) == [("1", 30)]
 
 
 # --- profiles ---------------------------------------------------------------------
