@@ -99,8 +99,9 @@ def unpack(df: DataFrame, field: str, keep: list[str], max_rules: int = MAX_RULE
             salted_lookup(others, rest, ["_skel"], "_n", F.col("_field"), stored=True).drop("_n")
         )
     pieces = F.regexp_extract_all("_field", F.lit(f"[{ORDINARY}]+|[^{ORDINARY}]"), F.lit(0))
+    # pieces as a column of their own, or the lambda would cut the field anew for each value
     return (
-        ruled.where(F.size("_rule") > 0)
-        .select("_keep", F.posexplode(_values(pieces, F.col("_rule"))).alias("_p", "_val"))
+        ruled.where(F.size("_rule") > 0).select("_keep", "_rule", pieces.alias("_pieces"))
+        .select("_keep", F.posexplode(_values(F.col("_pieces"), F.col("_rule"))).alias("_p", "_val"))
         .select("_keep.*", (F.col("_p") + 1).alias("pos"), F.col("_val").alias("val"))
     )
