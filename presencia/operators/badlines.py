@@ -1,15 +1,18 @@
 """Delimited lines that fail to parse, set apart with the reason while the rest loads.
 
-Blocks of lines go through a columnar parser.  A block that does not come out
-whole and valid is bisected until the bad lines stand alone; only those are
-read character by character to name the reason.
+Blocks of lines go through a columnar parser.  A block with lines that it cannot take is
+bisected until these stand alone, by running counts of what columnar checks find, so that no part is parsed in
+vain; the rest of the block is parsed at once, and lines with invalid values fall out of it
+by a mask.  Only the lines set apart are read character by character to name the reason.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 
 #: Lines that are parsed at once, and their size in characters at most.
 BLOCK, BLOCK_CHARS = 2048, 4 << 20
+#: Lines that are read strictly at once if the parser fails on them.
+STRICT = 32
 BIGINT_MAX = (1 << 63) - 1
 
 
@@ -49,6 +54,7 @@ FIELD = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'
 INTEGER = r"^(?:0*[0-9]{1,18})?$"
 PERCENT = r"^(?:0*[0-9]{1,2}(?:\.[0-9]+)?|0*100(?:\.0+)?)?$"
 NUMBER = r"^-?[0-9]+(?:\.[0-9]+)?$"
+_PERCENT = re.compile(PERCENT[1:-1])
 
 
 def diagnose(line: str | None, layout: Layout) -> tuple[str | None, list[str]]:
@@ -85,7 +91,7 @@ def diagnose(line: str | None, layout: Layout) -> tuple[str | None, list[str]]:
         if (x := named[f]) and not (x.isascii() and x.isdigit() and int_within(x)):
             return "invalid_value", fields
     for f in layout.percents:
-        if named[f] and not pc.match_substring_regex(pa.scalar(named[f]), PERCENT).as_py():
+        if not _PERCENT.fullmatch(named[f]):
             return "invalid_value", fields
     return None, fields
 
@@ -111,52 +117,88 @@ def _typed(columns: list[pa.Array], layout: Layout) -> list[pa.Array]:
     return out
 
 
-def _bulk(lines: pa.Array, layout: Layout) -> list[pa.Array] | None:
-    """All lines of a block as text columns, or None unless every line is certainly valid."""
-    if pc.any(pc.equal(lines, "")).as_py():  # the parser would make a row of them
-        return None
+def _parseable(lines: pa.Array, layout: Layout) -> np.ndarray:
+    """Which lines the columnar parser reads as they are meant: whole fields, as many as there should be, on one line."""
+    tabs = pc.equal(pc.count_substring(lines, "\t"), len(layout.fields) - 1)
     quoted = pc.match_substring(lines, '"')
     if pc.any(quoted).as_py():
         whole = pc.match_substring_regex(lines.filter(quoted), f"^{FIELD}(?:\t{FIELD}){{{len(layout.fields) - 1}}}$")
-        if not pc.all(whole).as_py():
-            return None
-    data = pa.py_buffer(("\n".join(lines.to_pylist()) + "\n").encode())
+        tabs = pc.replace_with_mask(tabs, quoted, whole)
+    broken = pc.match_substring_regex(lines, "[\n\r\x00]")
+    return np.asarray(pc.and_not(tabs, broken))
+
+
+def _isolate(failed: np.ndarray, lo: int, hi: int) -> Iterator[int]:
+    """The failing lines of lo..hi by bisection; ``failed[i]`` is how many of the first i lines fail."""
+    if failed[lo] == failed[hi]:
+        return
+    if hi - lo == 1:
+        yield lo
+        return
+    mid = (lo + hi) // 2
+    yield from _isolate(failed, lo, mid)
+    yield from _isolate(failed, mid, hi)
+
+
+def _bulk(lines: pa.Array, layout: Layout) -> list[pa.Array] | None:
+    """The lines as text columns, or None if the parser fails all the same."""
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
     try:
         table = pacsv.read_csv(
             pa.BufferReader(data),
-            read_options=pacsv.ReadOptions(column_names=list(layout.fields), use_threads=False, block_size=len(data) + 1),
+            read_options=pacsv.ReadOptions(column_names=list(layout.fields), use_threads=False, block_size=data.size + 1),
             parse_options=pacsv.ParseOptions(delimiter="\t", quote_char='"', double_quote=True, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(layout.fields, pa.string()), strings_can_be_null=False, check_utf8=False),
         )
     except pa.ArrowInvalid:
         return None
-    if table.num_rows != len(lines):
-        return None
+    return [c.combine_chunks() for c in table.columns] if table.num_rows == len(lines) else None
+
+
+def _valid(columns: list[pa.Array], layout: Layout) -> np.ndarray:
+    """Which rows certainly hold valid values."""
+    ok = np.ones(len(columns[0]), bool)
     for names, pattern in ((layout.integers, INTEGER), (layout.percents, PERCENT)):
         for name in names:
-            if not pc.all(pc.match_substring_regex(table[name], pattern)).as_py():
-                return None
-    return [table[f].combine_chunks() if isinstance(table[f], pa.ChunkedArray) else table[f] for f in layout.fields]
+            ok &= np.asarray(pc.match_substring_regex(columns[layout.fields.index(name)], pattern))
+    return ok
+
+
+def _strict(ids: pa.Array, lines: pa.Array, layout: Layout, schema: pa.Schema) -> pa.RecordBatch:
+    """Lines set apart, each with its reason, or typed if it is valid though the fast path could not tell."""
+    read = [diagnose(x, layout) for x in lines.to_pylist()]
+    reasons = pa.array([r for r, _ in read], pa.string())
+    fields = [f if r is None else [""] * len(layout.fields) for r, f in read]
+    values = _typed([pa.array([f[k] for f in fields], pa.string()) for k in range(len(layout.fields))], layout)
+    return pa.RecordBatch.from_arrays([ids, reasons, *values], schema=schema)
 
 
 def _parse(ids: pa.Array, lines: pa.Array, layout: Layout, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of valid lines; bad lines alone."""
+    """The lines of a block: valid ones typed, the others with their reasons."""
     if not len(lines):
         return
-    columns = None if lines.null_count else _bulk(lines, layout)
+    texts = pc.fill_null(lines, "")
+    failed = np.concatenate([[0], np.cumsum(~_parseable(texts, layout))])
+    apart = np.zeros(len(lines), bool)
+    apart[list(_isolate(failed, 0, len(lines)))] = True
+    rest = np.flatnonzero(~apart)
+    columns = _bulk(texts.take(pa.array(rest)), layout) if len(rest) else None
     if columns is not None:
-        yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.string()), *_typed(columns, layout)], schema=schema)
-    elif len(lines) > 1:
-        half = len(lines) // 2
-        yield from _parse(ids[:half], lines[:half], layout, schema)
-        yield from _parse(ids[half:], lines[half:], layout, schema)
+        valid = _valid(columns, layout)
+        apart[rest[~valid]] = True
+        kept = pa.array(valid)
+        held = ids.take(pa.array(rest[valid]))
+        typed = _typed([c.filter(kept) for c in columns], layout)
+        yield pa.RecordBatch.from_arrays([held, pa.nulls(len(held), pa.string()), *typed], schema=schema)
+    elif len(rest) > STRICT:  # the parser does not do as the checks said
+        half = len(rest) // 2
+        for part in (rest[:half], rest[half:]):
+            yield from _parse(ids.take(pa.array(part)), lines.take(pa.array(part)), layout, schema)
     else:
-        reason, fields = diagnose(lines[0].as_py(), layout)
-        if reason is None:  # valid, though the fast path could not tell
-            values = _typed([pa.array([x], pa.string()) for x in fields], layout)
-        else:
-            values = [pa.nulls(1, schema.field(f).type) for f in layout.fields]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([reason], pa.string()), *values], schema=schema)
+        apart[rest] = True
+    if apart.any():
+        alone = pa.array(np.flatnonzero(apart))
+        yield _strict(ids.take(alone), lines.take(alone), layout, schema)
 
 
 def read_lines(df: DataFrame, line_id: str, line: str, layout: Layout) -> DataFrame:
@@ -185,7 +227,7 @@ def read_lines(df: DataFrame, line_id: str, line: str, layout: Layout) -> DataFr
                     start, chars = i, 0
                 chars += size
             ready += _parse(ids[start:], lines[start:], layout, schema)
-            yield from pa.Table.from_batches(ready, schema=schema).combine_chunks().to_batches()
+            yield from pa.Table.from_batches(ready, schema=schema).combine_chunks().to_batches()  # in the order of the parts
 
     return df.select(F.col(line_id).cast("bigint"), F.col(line).cast("string")).mapInArrow(run, out)
 

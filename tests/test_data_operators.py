@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import statistics
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presencia.operators import badlines, packed, profile, quantiles, references, skew
 
@@ -316,3 +318,40 @@ def test_bulk_and_strict_reading_agree(spark):
         rows.append((i, "\t".join(fields)))
     out = badlines.read_lines(spark.createDataFrame(rows, "line_id long, line string"), "line_id", "line", badlines.CATALOGUE)
     assert {r["line_id"]: r["reason"] for r in out.collect()} == {i: badlines.diagnose(x, badlines.CATALOGUE)[0] for i, x in rows}
+
+
+def _arrow_schema():
+    kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
+    return pa.schema([(f.name, kinds[f.dataType]) for f in badlines.CATALOGUE.schema("id").fields])
+
+
+def test_few_blocks_are_parsed_and_faster_than_strictly(monkeypatch):
+    rnd, calls, bulk = random.Random(3), [], badlines._bulk
+    monkeypatch.setattr(badlines, "_bulk", lambda *a: calls.append(1) or bulk(*a))
+    bad = ['"x', "\t", "-7"]
+    rows = [GOOD if rnd.random() > 0.09 else GOOD.replace("100", rnd.choice(bad)) for _ in range(6000)]
+    schema = _arrow_schema()
+    ids, lines = pa.array(range(6000)), pa.array(rows)
+    took = []
+    for _ in range(3):
+        calls.clear()
+        began = time.perf_counter()
+        batches = [b for i in range(0, 6000, badlines.BLOCK) for b in badlines._parse(ids[i : i + badlines.BLOCK], lines[i : i + badlines.BLOCK], badlines.CATALOGUE, schema)]
+        took.append(time.perf_counter() - began)
+    began = time.perf_counter()
+    strict = badlines._strict(ids, lines, badlines.CATALOGUE, schema)
+    assert min(took) < time.perf_counter() - began
+    assert len(calls) == 3
+    key = lambda t: t.sort_by("id").to_pylist()
+    assert key(pa.Table.from_batches(batches)) == key(pa.Table.from_batches([strict]))
+
+
+def test_blocks_are_bisected_where_the_parser_fails(monkeypatch):
+    bulk = badlines._bulk
+    monkeypatch.setattr(badlines, "STRICT", 2)
+    monkeypatch.setattr(badlines, "_bulk", lambda lines, layout: None if "7.7" in "".join(lines.to_pylist()) else bulk(lines, layout))
+    rows = [GOOD.replace("1.1", f"{i}.7") for i in range(50)]
+    schema = _arrow_schema()
+    out = pa.Table.from_batches(list(badlines._parse(pa.array(range(50)), pa.array(rows), badlines.CATALOGUE, schema)))
+    assert out.sort_by("id")["genome_id"].to_pylist() == [f"{i}.7" for i in range(50)]
+    assert out["reason"].null_count == 50
