@@ -1,31 +1,38 @@
-"""Column-level data quality: profiles of columns, and of each load against the one before."""
+"""Column-level data quality: profiles of columns, and of each load against the one before.
+
+What footers and dictionaries of the files say is taken from them, chunk by chunk (a column of a row
+group); only the chunks that leave something open are read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presencia.operators.quantiles import exact_quantiles
 from presencia.session import materialise
-from presencia.sources.parquet_pages import column_chunks
+from presencia.sources.parquet_pages import chunk_counts, column_chunks
+
+#: Sets of columns that are scanned each for itself at most.
+SCANS = 16
+#: Medians of DOUBLE columns are taken on numbers scaled by this.
+SCALE = 1_000_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What a column may hold: a number's range, or the allowed texts; and its limits between loads."""
+    """What a column may hold: a number's range (in days or microseconds for dates and times), or the allowed texts."""
 
     column: str
-    low: int | None = None
-    high: int | None = None
+    low: float | None = None
+    high: float | None = None
     allowed: tuple[str, ...] = ()
 
-    @property
-    def numeric(self) -> bool:
-        return not self.allowed
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -37,79 +44,150 @@ class Limits:
     distance: float = 0.193
 
 
-def _violates(rules: list[Rule], value: Column) -> Column:
-    """Whether a non-null value, as text, breaks the rule of the row's ``column_name``."""
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_NUMBERS = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def profiled(schema: T.StructType) -> dict[str, str]:
+    """The columns that can be profiled, and which of l, d and t holds their values; binary and nested ones cannot."""
+    kind = lambda t: "l" if isinstance(t, _INTEGERS) else "d" if isinstance(t, _NUMBERS) else "t" if isinstance(t, T.StringType) else ""
+    return {f.name: kind(f.dataType) for f in schema if kind(f.dataType)}
+
+
+def _violates(rules: Iterable[Rule], value: Column) -> Column:
+    """Whether a non-null value (l, d, t) breaks the rule of the row's ``column_name``; NaN breaks every range."""
     out = F.lit(False)
     for r in rules:
-        bad = ~value.cast("bigint").between(r.low, r.high) if r.numeric else ~value.isin(*r.allowed)
-        out = F.when(F.col("column_name") == r.column, bad).otherwise(out)
+        number = F.coalesce(value["l"].cast("double"), value["d"])
+        bad = F.lit(False)
+        if r.allowed:
+            bad = ~value["t"].isin(*r.allowed)
+        else:
+            for x, below in ((r.low, True), (r.high, False)):
+                if x is not None:
+                    whole = F.when(value["l"].isNotNull(), value["l"] < x if below else value["l"] > x)
+                    bad = bad | F.coalesce(whole, F.isnan(number) | (number < x if below else number > x))
+        out = F.when(F.col("column_name") == r.column, F.coalesce(bad, F.lit(False))).otherwise(out)
     return out
 
 
-def _long(df: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("string").alias("value")) for r in rules])
-    return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+def _value() -> Column:
+    return F.struct("l", "d", "t")
 
 
-def _scan(spark: SparkSession, table: DataFrame, files: list[str]) -> DataFrame:
-    """Some files of a table, given by their (encoded) addresses."""
-    return spark.read.schema(table.schema).parquet(*map(unquote, files)) if files else table.limit(0)
+def _there() -> Column:
+    return F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull(), F.lit(False))
 
 
-def value_counts(spark: SparkSession, path: str, keys: list[str], rules: list[Rule]) -> DataFrame:
-    """Rows per key, column and value (null included): mergeable counts of the whole table.
+def _one(column: str) -> Column:
+    """The single value of a chunk, (l, d, t) of nulls if all are null, and null if there may be several."""
+    nothing = F.expr("named_struct('l', cast(null as bigint), 'd', cast(null as double), 't', cast(null as string))")
+    return F.when(F.col("candidates_exact") & (F.size(column) <= 1), F.coalesce(F.get(column, F.lit(0)), nothing))
 
-    A file is resolved from its footer and dictionaries if in each of its row groups
-    every key has one value and every profiled column one value beside
-    nulls, whose number is known; only the other files are scanned.
-    """
-    table = spark.read.parquet(path)
-    files = table.inputFiles()
-    columns = [r.column for r in rules]
-    if files:
-        chunks = materialise(column_chunks(spark, files, keys + columns), "chunks")
-        one = F.coalesce(
-            F.when(F.col("candidates_exact") & (F.size("candidates") <= 1), F.coalesce(F.get("candidates", F.lit(0)), F.lit("")))
-            .when(F.col("lo") == F.col("hi"), F.col("lo"))
-            .when(F.col("nulls") == F.col("n_rows"), F.lit("")),
-        )
-        known = F.col("nulls").isNotNull() & one.isNotNull() & (~F.col("column_name").isin(*keys) | (F.col("nulls") == 0))
-        chunks = chunks.withColumn("one", one).withColumn("known", known)
-        resolved = chunks.groupBy("path").agg(F.bool_and("known").alias("ok")).where("ok").select("path")
-        skip = {r["path"] for r in resolved.toLocalIterator()}  # file names, of which the driver holds the listing already
+
+def _stored(column: str, kind: T.DataType) -> dict[str, Column]:
+    """A column of a scan as (l, d, t)."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, T.TimestampNTZType):  # from its parts, so that no session time zone comes in
+        seconds = (F.unix_date(c.cast("date")) * F.lit(86400).cast("bigint") + F.hour(c) * 3600 + F.minute(c) * 60) * 1_000_000
+        value = seconds + (F.expr(f"extract(second from `{column}`)") * 1_000_000).cast("bigint")
+    elif isinstance(kind, T.TimestampType):
+        value = F.unix_micros(c)
+    elif isinstance(kind, T.DateType):
+        value = F.unix_date(c).cast("bigint")
     else:
-        skip = set()
-    scanned = _scan(spark, table, [f for f in files if f not in skip])
-    counts = _long(scanned, keys, rules).groupBy(*keys, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    if skip:
-        kept = chunks.join(F.broadcast(resolved), "path")
-        of_key = kept.where(F.col("column_name").isin(*keys)).groupBy("path", "row_group")
-        key_values = of_key.agg(*[F.max(F.when(F.col("column_name") == k, F.col("one"))).cast(table.schema[k].dataType).alias(k) for k in keys])
-        known = kept.where(F.col("column_name").isin(*columns)).join(key_values, ["path", "row_group"]).select(
-            *keys, "column_name",
-            F.explode(F.array(F.struct(F.col("one").alias("value"), (F.col("n_rows") - F.col("nulls")).alias("n")),
-                              F.struct(F.lit(None).cast("string").alias("value"), F.col("nulls").alias("n")))).alias("c"),
-        ).select(*keys, "column_name", "c.*").where("n > 0")
-        counts = counts.unionByName(known).groupBy(*keys, "column_name", "value").agg(F.sum("n").alias("n"))
+        value = c.cast("bigint" if isinstance(kind, _INTEGERS) else "double" if isinstance(kind, _NUMBERS) else "string")
+    of = profiled(T.StructType([T.StructField("c", kind)]))["c"]
+    return {of: value}
+
+
+def _scanned(files: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows by key, column and value of a scan: one pass, an aggregation over a grouping set for each column."""
+    counted = files.groupingSets([[F.col(k) for k in keys] + [F.col(c)] for c in columns], *keys, *columns).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(columns)]
+    )
+    name, value = F.lit(None).cast("string"), {x: F.lit(None).cast(t) for x, t in (("l", "bigint"), ("d", "double"), ("t", "string"))}
+    for i, c in enumerate(columns):
+        here = F.col(f"_g{i}") == 0
+        name = F.when(here, F.lit(c)).otherwise(name)
+        for x, v in _stored(c, files.schema[c].dataType).items():
+            value[x] = F.when(here, v).otherwise(value[x])
+    return counted.select(*keys, name.alias("column_name"), *[v.alias(x) for x, v in value.items()], F.col("_n").alias("n"))
+
+
+def open_counts(spark: SparkSession, table: DataFrame, keys: list[str], chunks: DataFrame) -> DataFrame:
+    """Rows by ``keys``, ``column_name`` and value of the ``open`` chunks alone; counts are to be summed.
+
+    Files whose row groups all leave the same columns open are scanned for these columns; of the others, single chunks are
+    read.  At most SCANS sets of columns get a scan, the commonest.  The driver holds the names of files, as it does for
+    any scan.
+    """
+    opened = chunks.where("open")
+    groups = chunks.groupBy("path", "row_group").agg(F.array_sort(F.collect_list(F.when(F.col("open"), F.col("column_name")))).alias("columns"))
+    whole = groups.groupBy("path").agg(F.max("columns").alias("columns"), F.min("columns").alias("least")).where("columns = least and size(columns) > 0")
+    sets = whole.groupBy("columns").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "columns").limit(SCANS)
+    out, taken = [], {}
+    for r in whole.join(F.broadcast(sets.select("columns")), "columns", "left_semi").toLocalIterator():
+        taken.setdefault(tuple(r["columns"]), []).append(r["path"])
+    for columns, files in taken.items():
+        scan = spark.read.schema(table.schema).parquet(*map(unquote, files))
+        out.append(_scanned(scan.select(*keys, *columns), keys, list(columns)))
+    paths = [(f,) for files in taken.values() for f in files]
+    rest = opened.join(spark.createDataFrame(paths, "path string"), "path", "left_anti") if paths else opened
+    if not paths or rest.head(1):
+        out.append(chunk_counts(rest, table, keys))
+    counts = out[0]
+    for more in out[1:]:
+        counts = counts.unionByName(more)
     return counts
 
 
+def counted_chunks(spark: SparkSession, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The chunks of the profiled columns, with ``open`` where a chunk's counts by key and value must be read.
+
+    They are known if in its row group every key has one value and no null, and the chunk one value beside nulls
+    whose number is known.  ``one`` is that value, and each key has a column of its own with its (l, d, t).
+    """
+    chunks = column_chunks(spark, table.inputFiles(), [*keys, *columns])
+    chunks = materialise(chunks.withColumn("one", _one("candidates")), "chunks")
+    of_key = chunks.where(F.col("column_name").isin(*keys) & F.col("one").isNotNull() & (F.col("nulls") == 0))
+    single = of_key.groupBy("path", "row_group").agg(
+        *[F.max(F.when(F.col("column_name") == k, F.col("one"))).alias(f"_{k}") for k in keys], F.count(F.lit(1)).alias("_single")
+    )
+    held = chunks.where(F.col("column_name").isin(*columns)).join(single, ["path", "row_group"], "left")
+    known = F.col("nulls").isNotNull() & F.col("one").isNotNull() & (F.col("_single") == len(keys))
+    return held.withColumn("open", ~F.coalesce(known, F.lit(False))).drop("_single")
+
+
+def value_counts(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows ``n`` per key, ``column_name`` and value (null included): mergeable counts of the whole table, from open chunks alone."""
+    table = spark.read.parquet(path)
+    chunks = materialise(counted_chunks(spark, table, keys, columns), "counted_chunks")
+    counts = open_counts(spark, table, keys, chunks)
+    key = lambda k: F.coalesce(F.col(f"_{k}.l").cast("string"), F.col(f"_{k}.t")).cast(table.schema[k].dataType).alias(k)
+    parts = F.array(
+        F.struct(F.col("one").alias("v"), (F.col("n_rows") - F.col("nulls")).alias("n")),
+        F.struct(F.lit(None).cast("struct<l:bigint,d:double,t:string>").alias("v"), F.col("nulls").alias("n")),
+    )
+    known = chunks.where("not open").select(*[key(k) for k in keys], "column_name", F.explode(parts).alias("c")).where("c.n > 0")
+    known = known.select(*keys, "column_name", "c.v.l", "c.v.d", "c.v.t", "c.n")
+    return counts.unionByName(known).groupBy(*keys, "column_name", "l", "d", "t").agg(F.sum("n").alias("n"))
+
+
 def load_profile(counts: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
-    """Per key and column: rows, nulls, distinct values, extrema, violations and median, from value counts."""
-    there = F.col("value").isNotNull()
-    numeric = [r.column for r in rules if r.numeric]
-    number = F.when(F.col("column_name").isin(*numeric), F.col("value").cast("bigint"))
+    """Per key and column: rows, nulls, distinct values, violations, and extrema and median of numbers, from value counts."""
     basic = counts.groupBy(*keys, "column_name").agg(
         F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0).cast("bigint")).alias("n_nulls"),
-        F.count(F.when(there, 1)).alias("n_distinct"),
-        F.coalesce(F.sum(F.when(there & _violates(rules, F.col("value")), F.col("n"))), F.lit(0).cast("bigint")).alias("n_violations"),
+        F.coalesce(F.sum(F.when(~_there(), F.col("n"))), F.lit(0).cast("bigint")).alias("n_nulls"),
+        F.count(F.when(_there(), 1)).alias("n_distinct"),
+        F.coalesce(F.sum(F.when(_there() & _violates(rules, _value()), F.col("n"))), F.lit(0).cast("bigint")).alias("n_violations"),
+        F.max(F.col("d").isNotNull()).alias("scaled"),
     )
-    middle = exact_quantiles(
-        counts.where(there & F.col("column_name").isin(*numeric)).withColumn("number", number),
-        [*keys, "column_name"], "number", [0.5], weight="n",
-    ).select(*keys, "column_name", "lo", "hi", F.get("quantiles", F.lit(0)).alias("median"))
-    return basic.join(middle, [*keys, "column_name"], "left")
+    number = F.coalesce(F.col("l"), F.when(~F.isnan("d"), F.round(F.col("d") * SCALE).cast("bigint")))
+    middle = exact_quantiles(counts.withColumn("number", number).where("number is not null"), [*keys, "column_name"], "number", [0.5], weight="n")
+    middle = middle.select(*keys, "column_name", "lo", "hi", F.get("quantiles", F.lit(0)).alias("median"))
+    by = F.when(F.col("scaled"), F.lit(float(SCALE))).otherwise(F.lit(1.0))
+    return basic.join(middle, [*keys, "column_name"], "left").withColumns({c: F.col(c) / by for c in ("lo", "hi", "median")}).drop("scaled")
 
 
 def load_findings(spark: SparkSession, path: str, feed: str, load: str, rules: list[Rule], limits: Limits = Limits()) -> DataFrame:
@@ -117,19 +195,23 @@ def load_findings(spark: SparkSession, path: str, feed: str, load: str, rules: l
 
     Returns ``feed, load_no, column_name, finding``.  Rows without feed or load
     belong to no load; a load without the one before has only findings of its own;
-    shares and medians of a load without non-null values give no finding.
+    shares and medians of a load without non-null values give no finding.  Medians of DOUBLE columns
+    are taken to six decimals, without NaN.
     """
     keys = [feed, load]
-    counts = materialise(value_counts(spark, path, keys, rules).where(F.col(feed).isNotNull() & F.col(load).isNotNull()), "value_counts")
+    counts = materialise(
+        value_counts(spark, path, keys, [r.column for r in rules]).where(F.col(feed).isNotNull() & F.col(load).isNotNull()), "value_counts"
+    )
     now = materialise(load_profile(counts, keys, rules).withColumn("n_there", F.expr("n_rows - n_nulls")), "profile")
     before = now.select(
         feed, (F.col(load) + 1).alias(load), "column_name", *[F.col(c).alias(f"b_{c}") for c in ("n_rows", "n_nulls", "n_there", "median")]
     )
-    texts = [r.column for r in rules if not r.numeric]
+    kinds = profiled(spark.read.parquet(path).schema)
+    texts = [r.column for r in rules if kinds[r.column] == "t"]
     share = (
-        counts.where(F.col("value").isNotNull() & F.col("column_name").isin(*texts))
+        counts.where("t is not null")
         .join(now.select(*keys, "column_name", "n_there"), [*keys, "column_name"])
-        .select(*keys, "column_name", "value", (F.col("n") / F.col("n_there")).alias("share"))
+        .select(*keys, "column_name", F.col("t").alias("value"), (F.col("n") / F.col("n_there")).alias("share"))
     )
     signed = share.select(*keys, "column_name", "value", "share").unionByName(
         share.select(feed, (F.col(load) + 1).alias(load), "column_name", "value", (-F.col("share")).alias("share"))
@@ -154,49 +236,58 @@ def load_findings(spark: SparkSession, path: str, feed: str, load: str, rules: l
     return both.select(F.col(feed).alias("feed"), F.col(load).alias("load_no"), "column_name", listed.alias("finding"))
 
 
-def column_profile(spark: SparkSession, path: str, rules: list[Rule]) -> DataFrame:
+def profile_chunks(spark: SparkSession, table: DataFrame, columns: list[str], rules: list[Rule]) -> DataFrame:
+    """The chunks of columns, with ``open`` where nulls, distinct values or violations are not known without reading.
+
+    Violations are known from exact candidates if none or all of them break the rule, and else
+    from integers' extrema if these lie within the rule or wholly outside.
+    """
+    chunks = column_chunks(spark, table.inputFiles(), columns)
+    there = F.col("n_rows") - F.col("nulls")
+    wrong = F.size(F.filter("candidates", lambda v: _violates(rules, v)))
+    known = F.when(there == 0, 0).when(F.col("candidates_exact") & (wrong == 0), 0).when(F.col("candidates_exact") & (wrong == F.size("candidates")), there)
+    for r in rules:
+        if not r.allowed:
+            here = F.col("column_name") == r.column
+            low, high = (F.lit(x).cast("double") for x in (r.low, r.high))
+            within = F.coalesce(F.col("lo") >= low, low.isNull()) & F.coalesce(F.col("hi") <= high, high.isNull())
+            outside = F.coalesce(F.col("hi") < low, F.lit(False)) | F.coalesce(F.col("lo") > high, F.lit(False))
+            known = known.when(here & F.col("lo").isNotNull() & within, 0).when(here & F.col("lo").isNotNull() & outside, there)
+    chunks = chunks.withColumn("violations", known.cast("bigint"))
+    return chunks.withColumn("open", ~F.coalesce(F.col("nulls").isNotNull() & F.col("candidates_exact") & F.col("violations").isNotNull(), F.lit(False)))
+
+
+def column_profile(spark: SparkSession, path: str, rules: list[Rule], columns: list[str] | None = None) -> DataFrame:
     """Per column: ``n_rows, n_nulls, n_distinct, lo, hi, n_violations`` over the whole table.
 
-    Numbers' nulls, extrema and violations are taken from the footer of each file whose
-    row groups state them (a range within the rule has no violation); distinct values from
-    dictionaries.  Only files whose chunks leave something open, such as the
-    number of violating rows, are scanned, and only their profiled columns.
-    ``lo`` and ``hi`` are null for texts.  An empty table gives one row per column with zeros.
+    ``columns`` are those of the rules if not given; a column without a rule has no violations.  ``lo`` and ``hi`` are DOUBLE, of
+    numbers without NaN, days of dates and microseconds of times, and null for texts.  An empty table gives one row per
+    column with zeros.  Binary and nested columns cannot be profiled; decimals go as DOUBLE.
+
+    Scale: footers and dictionaries are read in tasks over files; of the data only the open chunks (:func:`profile_chunks`)
+    are read, as scans of whole files or as single chunks (:func:`open_counts`), and counted before anything is shuffled.
     """
     table = spark.read.parquet(path)
-    columns = [r.column for r in rules]
-    files = table.inputFiles()
-    chunks = column_chunks(spark, files, columns)
-    clean = F.lit(False)
-    for r in rules:
-        fits = (
-            (F.col("lo").cast("bigint") >= r.low) & (F.col("hi").cast("bigint") <= r.high) if r.numeric
-            else F.forall("candidates", lambda x: x.isin(*r.allowed))
-        )
-        clean = F.when(F.col("column_name") == r.column, F.coalesce(fits, F.col("nulls") == F.col("n_rows"))).otherwise(clean)
-    numeric = [r.column for r in rules if r.numeric]
-    enough = F.col("nulls").isNotNull() & F.col("candidates_exact") & clean
-    chunks = materialise(chunks.withColumn("enough", F.coalesce(enough, F.lit(False))), "chunks")
-    open_files = chunks.groupBy("path").agg(F.bool_and("enough").alias("ok")).where("not ok").select("path")
-    rest = [r["path"] for r in open_files.toLocalIterator()]  # file names, of which the driver holds the listing already
-    known = chunks.join(F.broadcast(open_files), "path", "left_anti")
-    counts = _long(_scan(spark, table, rest), [], rules).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    counts = materialise(counts, "value_counts")
-    there = F.col("value").isNotNull()
+    columns = [r.column for r in rules] if columns is None else columns
+    kinds = profiled(table.schema)
+    if missing := [c for c in columns if c not in kinds]:
+        raise ValueError(f"no profile can be made of {missing}")
+    chunks = materialise(profile_chunks(spark, table, columns, rules), "chunks")
+    counts = materialise(open_counts(spark, table, [], chunks).groupBy("column_name", "l", "d", "t").agg(F.sum("n").alias("n")), "value_counts")
+    known = chunks.where("not open")
+    zero = F.lit(0).cast("bigint")
     totals = counts.select(
-        "column_name", F.col("n").alias("n_rows"), F.when(there, 0).otherwise(F.col("n")).alias("n_nulls"),
-        F.when(there & _violates(rules, F.col("value")), F.col("n")).otherwise(0).alias("n_violations"),
-    ).unionByName(known.select("column_name", "n_rows", F.col("nulls").alias("n_nulls"), F.lit(0).cast("bigint").alias("n_violations")))
-    distinct = counts.where(there).select("column_name", "value").unionByName(
-        known.select("column_name", F.explode("candidates").alias("value"))
-    ).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
-    number = F.when(F.col("column_name").isin(*numeric), F.col("value").cast("bigint"))
+        "column_name", F.col("n").alias("n_rows"), F.when(_there(), zero).otherwise(F.col("n")).alias("n_nulls"),
+        F.when(_there() & _violates(rules, _value()), F.col("n")).otherwise(zero).alias("n_violations"),
+    ).unionByName(known.select("column_name", "n_rows", F.col("nulls").alias("n_nulls"), F.col("violations").alias("n_violations")))
+    distinct = counts.where(_there()).select("column_name", "l", "d", "t").unionByName(
+        known.select("column_name", F.inline("candidates"))
+    ).distinct()
+    number = F.coalesce(F.col("l").cast("double"), F.when(~F.isnan("d"), F.col("d")))
     named = spark.createDataFrame([(c,) for c in columns], "column_name string")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    filled = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return (
         named.join(totals.groupBy("column_name").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_nulls", "n_violations")]), "column_name", "left")
-        .join(distinct.groupBy("column_name").agg(F.count("one").alias("n_distinct"), F.min(number).alias("lo"), F.max(number).alias("hi")), "column_name", "left")
-        .select("column_name", zero("n_rows"), zero("n_nulls"), zero("n_distinct"), "lo", "hi", zero("n_violations"))
+        .join(distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"), F.min(number).alias("lo"), F.max(number).alias("hi")), "column_name", "left")
+        .select("column_name", filled("n_rows"), filled("n_nulls"), filled("n_distinct"), "lo", "hi", filled("n_violations"))
     )

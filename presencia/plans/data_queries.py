@@ -135,7 +135,31 @@ SELECT 'genome_status', count(*), count(*) - count(genome_status), count(DISTINC
 """,
 )
 def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.column_profile(spark, f"{sf}/genome_summary.parquet", RULES)
+    found = profile.column_profile(spark, f"{sf}/genome_summary.parquet", RULES)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("lo", "hi")})
+
+
+_EVERY = {
+    **dict.fromkeys(("row_id", "load_no", "genome_length", "patric_cds", "contigs", "contig_l50", "contig_n50"), "{c}::DOUBLE"),
+    **dict.fromkeys(("checkm_contamination", "checkm_completeness", "gc_content"), "{c}"),
+    **dict.fromkeys(("feed", "genome_id", "genome_name", "genome_status", "taxon_id"), "NULL::DOUBLE"),
+    "loaded_at": "epoch_us({c})::DOUBLE",
+}
+_BREAKS = {"contigs": "contigs NOT BETWEEN 1 AND 5000", "patric_cds": "patric_cds NOT BETWEEN 1 AND 20000", "genome_status": "genome_status NOT IN ('Complete', 'WGS', 'Plasmid')"}
+
+
+@R.query(
+    "p3_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, "
+        f"min({x.format(c=c)}) AS lo, max({x.format(c=c)}) AS hi, count_if({_BREAKS.get(c, 'false')})::BIGINT AS n_violations FROM genome_summary"
+        for c, x in _EVERY.items()
+    ),
+)
+def p3_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of the catalogue: numbers, texts and times."""
+    path = f"{sf}/genome_summary.parquet"
+    return profile.column_profile(spark, path, RULES, list(profile.profiled(spark.read.parquet(path).schema)))
 
 
 # --- lines ------------------------------------------------------------------------

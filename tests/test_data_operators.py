@@ -6,7 +6,8 @@ import random
 import re
 import statistics
 import time
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -238,12 +239,58 @@ def test_load_findings_from_footers_or_scans(spark, tmp_path, layout):
             _write(g, tmp_path / f"part-{i}.parquet", compression=["snappy", "zstd", "none"][i % 3])
     found = profile.load_findings(spark, str(tmp_path), "feed", "load_no", RULES)
     assert got(found) == _findings(df)
-    scanned = [f for f in profile.value_counts(spark, str(tmp_path), ["feed", "load_no"], RULES).inputFiles() if "a%20folder" in f]
-    held = [f for f in tmp_path.iterdir() if f.suffix == ".parquet"]
+    table = spark.read.parquet(str(tmp_path))
+    opened = profile.counted_chunks(spark, table, ["feed", "load_no"], ["size", "state"]).where("open")
+    if layout == "mixed":
+        assert opened.count() == 2 * len(range(0, len(df), 97))
     if layout == "constant_chunks":  # rows without a feed or load have no single key value
-        assert len(scanned) <= sum(g["feed"].isna().any() or g["load_no"].isna().any() for _, g in df.groupby(keys, dropna=False)) < len(held)
-    else:
-        assert scanned
+        assert opened.select("path").distinct().count() <= sum(g["feed"].isna().any() or g["load_no"].isna().any() for _, g in df.groupby(keys, dropna=False))
+
+
+def test_only_open_chunks_are_read(spark, tmp_path):
+    schema = pa.schema([("feed", pa.string()), ("load_no", pa.int32()), ("size", pa.int64()), ("state", pa.string())])
+    groups = [("a", 1, [5] * 400, ["ok", "new"] * 200), ("a", 2, [5, 500] * 200, ["ok"] * 400), ("a", 2, [700] * 400, ["bad"] * 400)]
+    with pq.ParquetWriter(tmp_path / "x.parquet", schema) as w:
+        for feed, load, sizes, states in groups:
+            w.write_table(pa.table({"feed": [feed] * 400, "load_no": [load] * 400, "size": sizes, "state": states}, schema))
+    table = spark.read.parquet(str(tmp_path))
+    chunks = profile.profile_chunks(spark, table, ["size", "state"], RULES)
+    opened = chunks.where("open").select("row_group", "column_name", "bytes").collect()
+    assert [tuple(r)[:2] for r in opened] == [(1, "size")]  # sizes in and out of range: how many is not known
+    meta = pq.ParquetFile(tmp_path / "x.parquet").metadata
+    assert opened[0]["bytes"] == meta.row_group(1).column(2).total_compressed_size
+    assert chunks.agg(F.sum("bytes")).first()[0] == sum(meta.row_group(g).column(c).total_compressed_size for g in range(3) for c in (2, 3))
+    out = {r["column_name"]: tuple(r)[1:] for r in profile.column_profile(spark, str(tmp_path), RULES).collect()}
+    assert out == {"size": (1200, 0, 3, 5.0, 700.0, 600), "state": (1200, 0, 3, None, None, 400)}
+    held = profile.counted_chunks(spark, table, ["feed", "load_no"], ["size", "state"]).where("open")
+    assert got(held.select("row_group", "column_name")) == [(0, "state"), (1, "size")]
+    assert ("a", 2, "size", "shift") in got(profile.load_findings(spark, str(tmp_path), "feed", "load_no", RULES))
+
+
+@pytest.mark.parametrize("dictionary", [True, False])
+def test_columns_of_every_type(spark, tmp_path, dictionary):
+    day, nan = date(2024, 2, 1), float("nan")
+    cols = {
+        "x": pa.array([0.0, -0.0, 2.5, None, nan, nan], pa.float64()), "f": pa.array([0.5, None, 1.5, 0.5, 0.5, 0.5], pa.float32()),
+        "b": pa.array([True, False, None, True, True, True]), "d": pa.array([day, None, day, day, day, day + timedelta(3)]),
+        "t": pa.array([T0, None, T0, T0, T0 + timedelta(1), T0], pa.timestamp("us")), "ms": pa.array([T0, None] * 3, pa.timestamp("ms")),
+        "n": pa.array([None] * 6, pa.int32()), "l": pa.array([1 << 60, -5, 3, 3, None, 3]), "s": pa.array(["", "é", None, "é", "x" * 9000, "a"]),
+        "m": pa.array([Decimal("1.50"), None, Decimal("2.25"), None, None, None]), "raw": pa.array([b"1"] * 6), "many": pa.array([[1]] * 6),
+    }
+    pq.write_table(pa.table(cols), tmp_path / "x.parquet", use_dictionary=dictionary, row_group_size=4)
+    named = list(profile.profiled(spark.read.parquet(str(tmp_path)).schema))
+    assert named == [c for c in cols if c not in ("raw", "many")]
+    rules = [profile.Rule("x", 0, 2), profile.Rule("l", low=0), profile.Rule("s", allowed=("a", "é"))]
+    out = {r["column_name"]: tuple(r)[1:] for r in profile.column_profile(spark, str(tmp_path), rules, named).collect()}
+    micros = int(T0.replace(tzinfo=timezone.utc).timestamp()) * 10**6
+    days = (day - date(1970, 1, 1)).days
+    assert out == {
+        "x": (6, 1, 3, 0.0, 2.5, 3), "f": (6, 1, 2, 0.5, 1.5, 0), "b": (6, 1, 2, 0.0, 1.0, 0), "d": (6, 1, 2, days, days + 3, 0),
+        "t": (6, 1, 2, micros, micros + 86400 * 10**6, 0), "ms": (6, 3, 1, micros, micros, 0), "n": (6, 6, 0, None, None, 0),
+        "l": (6, 1, 3, -5.0, float(1 << 60), 1), "s": (6, 1, 4, None, None, 2), "m": (6, 4, 2, 1.5, 2.25, 0),
+    }
+    with pytest.raises(ValueError, match="raw"):
+        profile.column_profile(spark, str(tmp_path), [], ["raw"])
 
 
 @pytest.mark.parametrize("layout", ["mixed", "clean"])
@@ -274,8 +321,9 @@ def test_dictionaries_are_read_without_data_pages(spark, tmp_path):
     df.to_parquet(tmp_path / "a.parquet", row_group_size=1000, use_dictionary=["s", "n"])
     rows = column_chunks(spark, [f"file://{tmp_path}/a.parquet"], ["s", "n", "u"]).collect()
     by = {(r["row_group"], r["column_name"]): r for r in rows}
-    assert set(by[0, "s"]["candidates"]) == {"a", "b", "é" * 300} and by[0, "s"]["candidates_exact"] and by[0, "s"]["nulls"] == 250
-    assert set(by[1, "n"]["candidates"]) == {"3", "-7"} and (by[1, "n"]["lo"], by[1, "n"]["hi"]) == ("-7", "3")
+    values = lambda g, c, x: {v[x] for v in by[g, c]["candidates"]}
+    assert values(0, "s", "t") == {"a", "b", "é" * 300} and by[0, "s"]["candidates_exact"] and by[0, "s"]["nulls"] == 250
+    assert values(1, "n", "l") == {3, -7} and (by[1, "n"]["lo"], by[1, "n"]["hi"]) == (-7, 3)
     assert by[0, "u"]["candidates"] is None and not by[0, "u"]["candidates_exact"]
 
 
