@@ -18,18 +18,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presencia.llm.looks import LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK, canonical
+from presencia.llm.looks import SAME_SHAPE, canonical
+from presencia.operators.skew import salted_lookup
 from presencia.session import materialise, spread
 
 #: Words in a window, and the positions that each mask looks at.
 SPAN = 12
 MASKS = ((0, 1, 3, 4, 6, 8, 9, 11), (0, 2, 3, 5, 7, 8, 10, 11))
-#: Size of the bitmap, 8 MB whatever the number of test items.
-BITMAP_BITS = 1 << 26
-#: Words kept on either side of a hit; words of a kept passage; words that its pieces share.
-CONTEXT, PASSAGE, SHARED = 64, 1024, 128
-#: Distinct seeds that are broadcast at most (16 MB); more are joined by a shuffle, over DEAL sub-keys.
-MAX_SEEDS, DEAL = 1_000_000, 16
+#: Bits of the bitmap for each distinct seed, and its least and greatest size (128 MB): with more seeds it only lets more windows through.
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 30
+#: Words kept on either side of a hit, and least words of a kept passage.
+CONTEXT, PASSAGE = 64, 1024
+#: Distinct seeds that are broadcast at most (16 MB); more are joined by a shuffle.
+MAX_SEEDS = 1_000_000
+#: Passages of one item that one task verifies.
+HOT_PASSAGES = 20_000
 #: Score of an equal and of a substituted word in a tolerant overlap.
 EQUAL, SUBSTITUTED = 1, -3
 
@@ -38,13 +41,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 @cache
 def _folds() -> dict[str, str]:
-    """Small letters whose capitals have a Latin letter's shape, as that letter: words compare without case."""
-    return {
-        low: latin.lower()
-        for latins, others in (LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK)
-        for latin, other in zip(latins, others, strict=True)
-        if len(low := other.casefold()) == 1
-    }
+    """Small letters that have another letter's shape, or whose capitals have, as that letter: words compare without case."""
+    pairs = [p for forms in SAME_SHAPE for p in zip(*forms, strict=True)]
+    small = {other: form for form, other in pairs if other.casefold() == other}
+    return {low: form.lower() for form, other in pairs if len(low := other.casefold()) == 1 and low != form.lower()} | small
 
 
 @cache
@@ -90,8 +90,13 @@ def seeds(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.uint64(BITMAP_BITS - 1)
+def bitmap_bits(n_seeds: int) -> int:
+    """The size of the bitmap for a number of seeds: a power of two within fixed bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n_seeds) * BITS_PER_SEED - 1).bit_length()))
+
+
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    size = np.uint64(bits - 1)
     return h & size, (h >> np.uint64(32)) & size
 
 
@@ -105,8 +110,9 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _passages(hit: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """Stretches of words around the hit windows, cut so that each cut keeps SHARED words on both sides."""
+def _passages(hit: np.ndarray, n: int, longest: int) -> Iterator[tuple[int, int]]:
+    """Stretches of words around the hit windows, in pieces that share the ``longest`` item's words with the next, so each overlap lies in one."""
+    size, shared = max(PASSAGE, 4 * longest), longest + SPAN
     start = end = -1
     spans = []
     for at in hit.tolist():
@@ -120,13 +126,13 @@ def _passages(hit: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     if start >= 0:
         spans.append((start, end))
     for lo, hi in spans:
-        while hi - lo > PASSAGE:
-            yield lo, lo + PASSAGE
-            lo += PASSAGE - SHARED
+        while hi - lo > size:
+            yield lo, lo + size
+            lo += size - shared
         yield lo, hi
 
 
-def _scan(bitmap):
+def _scan(bitmap, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         out: list[tuple] = []
@@ -146,13 +152,13 @@ def _scan(bitmap):
                 if len(hashes) < SPAN:
                     continue
                 found = seeds(hashes)
-                one, two = _probes(found)
+                one, two = _probes(found, len(bits) * 8)
                 there = ((bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 there &= ((bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 at = np.flatnonzero(there.any(axis=0))
                 if not len(at):
                     continue
-                for lo, hi in _passages(at, len(hashes)):
+                for lo, hi in _passages(at, len(hashes), longest):
                     inside = there[:, lo : hi - SPAN + 1]
                     hits = np.unique(found[:, lo : hi - SPAN + 1][inside])
                     if len(hits):
@@ -211,39 +217,43 @@ def leaks(corpus: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_
     ``equal_words`` is the longest run of consecutive words equal in both (all of at least
     SPAN are found; shorter ones only beside a hit); ``overlap_words`` and
     ``substitutions`` describe the best overlap in which equal words count EQUAL and
-    substituted ones SUBSTITUTED; a run longer than PASSAGE counts up to a piece's length.  Null and
+    substituted ones SUBSTITUTED.  Null and
     empty texts, and items or documents of fewer than SPAN words, share nothing; repeated
     ids give a row for each pair of ids.
 
-    Scale: one map-only pass over the corpus with a bitmap of fixed size; only passages
-    around hits are kept; seeds are broadcast only up to MAX_SEEDS.
+    Scale: one map-only pass over the corpus with a bitmap of a size by the seeds, within fixed bounds; only passages
+    around hits are kept, in pieces of a few times the longest item; seeds are broadcast only up to MAX_SEEDS.  Hits of a common seed and
+    passages of a common item are dealt over sub-keys.
     """
     known = materialise(
         items.select(F.col(item_id).cast("bigint"), F.col(item_text)).mapInArrow(_item_words, "item_id bigint, item_words array<bigint>, seeds array<bigint>"),
         "items",
     )
-    seeded = known.select("item_id", F.explode("seeds").alias("seed")).distinct()
-    probe = F.explode(F.array(F.col("seed").bitwiseAND(BITMAP_BITS - 1), F.shiftrightunsigned("seed", 32).bitwiseAND(BITMAP_BITS - 1)))
+    seeded = materialise(known.select("item_id", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    n_seeds = seeded.count()
+    longest = known.agg(F.max(F.size("item_words")).alias("n")).first()["n"] or 0
+    size = bitmap_bits(n_seeds)
+    probe = F.explode(F.array(F.col("seed").bitwiseAND(size - 1), F.shiftrightunsigned("seed", 32).bitwiseAND(size - 1)))
     bits = seeded.select(probe.alias("bit"))
     pieces = bits.groupBy(F.expr("bit div 32768").alias("piece")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for r in pieces.toLocalIterator():  # at most BITMAP_BITS / 8 bytes in all
+    bitmap = bytearray(size // 8)
+    for r in pieces.toLocalIterator():  # at most MOST_BITS / 8 bytes in all
         bitmap[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = r["bits"]
     spark = corpus.sparkSession
     shown = spark.sparkContext.broadcast(bytes(bitmap))
     passages = materialise(
         spread(corpus.select(F.col(doc_id).cast("bigint"), F.col(doc_text)))
-        .mapInArrow(_scan(shown), "doc_id bigint, start int, doc_words array<bigint>, hits array<bigint>"),
+        .mapInArrow(_scan(shown, longest), "doc_id bigint, start int, doc_words array<bigint>, hits array<bigint>"),
         "passages",
     )
     hits = passages.select("doc_id", "start", F.explode("hits").alias("seed"))
-    if seeded.count() <= MAX_SEEDS:
+    if n_seeds <= MAX_SEEDS:
         met = hits.join(F.broadcast(seeded), "seed")
     else:
-        dealt = hits.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start"), F.lit(DEAL)).cast("int"))
-        met = dealt.join(seeded.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))), ["seed", "deal"])
-    pairs = met.select("doc_id", "start", "item_id").distinct()
-    both = pairs.join(passages.select("doc_id", "start", "doc_words"), ["doc_id", "start"]).join(known.select("item_id", "item_words"), "item_id")
+        met = salted_lookup(hits, seeded.join(hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed"), ["seed"], "n", F.struct("doc_id", "start"))
+    pairs = materialise(met.select("doc_id", "start", "item_id").distinct(), "pairs")
+    held = known.join(pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id").select("item_id", "item_words", "n")
+    both = salted_lookup(pairs.join(passages.select("doc_id", "start", "doc_words"), ["doc_id", "start"]), held, ["item_id"], "n", F.struct("doc_id", "start"), hot_rows=HOT_PASSAGES)
     verified = both.select("item_id", "doc_id", "doc_words", "item_words").mapInArrow(
         _verify, "item_id bigint, doc_id bigint, equal_words int, overlap_words int, substitutions int"
     )

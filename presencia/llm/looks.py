@@ -2,7 +2,7 @@
 
 Canonical form: invisible characters dropped, every kind of space a space, full- and
 half-width forms at their usual width, Greek and Cyrillic letters of a Latin
-letter's shape as that letter, and the whole composed (NFC).  Only *unstable
+letter's shape as that letter, Cyrillic ones of a Greek letter's shape as that one, and the whole composed (NFC).  Only *unstable
 segments*, found by normalization quick-check properties, are rewritten: each with the
 character before it as context, spliced back between the unchanged parts.
 """
@@ -22,9 +22,12 @@ from pyspark.sql import types as T
 from presencia.operators.skew import salted_lookup
 from presencia.session import materialise, spread
 
-# Letters of the same shape, Latin and Cyrillic, Latin and Greek.
-LATIN_FOR_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxy", "АВСЕНІЈКМОРЅТХУасеіјорѕху")
-LATIN_FOR_GREEK = ("ABEZHIKMNOPTYXov", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον")
+# Letters of the same shape in two alphabets: Latin and Cyrillic, Latin and Greek, Greek and Cyrillic (or the micro sign)
+# where neither has a Latin twin.  Letters of phonetic notation have none here.
+LATIN_FOR_CYRILLIC = ("ABCEGHIIJKMOPQSTVWXYYÆƏƐƟƷacdehijlopqsvwxyyæəɛɵʒ", "АВСЕԌНІӀЈКМОРԚЅТѴԜХУҮӔӘԐӨӠасԁеһіјӏорԛѕѵԝхуүӕәԑөӡ")
+LATIN_FOR_GREEK = ("ABCEFHIJKMMNOPTXYZÞcjopvþ", "ΑΒϹΕϜΗΙͿΚΜϺΝΟΡΤΧΥΖϷϲϳορνϸ")
+GREEK_FOR_CYRILLIC = ("ΓΠΦΨκφψμ", "ГПФѰкфѱµ")
+SAME_SHAPE = (LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK, GREEK_FOR_CYRILLIC)
 # Invisible characters that are not of the category of format characters.
 INVISIBLE_TOO = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 # Format characters that are seen (signs around or before numbers).
@@ -44,8 +47,8 @@ def replacements() -> dict[int, str]:
             table[cp] = " "
         elif (0xFF00 <= cp <= 0xFFEF) and unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
             table[cp] = "".join(chr(int(x, 16)) for x in unicodedata.decomposition(ch).split()[1:])
-    for latin, other in (LATIN_FOR_CYRILLIC, LATIN_FOR_GREEK):
-        table |= {ord(o): lat for lat, o in zip(latin, other, strict=True)}
+    for form, other in SAME_SHAPE:
+        table |= {ord(o): f for f, o in zip(form, other, strict=True)}
     return table
 
 
@@ -75,7 +78,7 @@ def _unstable(astral: bool) -> re.Pattern[str]:
             points.add(cp)
         elif unicodedata.category(ch) in ("Mn", "Mc") and unicodedata.normalize("NFD", ch) == ch:
             points.add(cp)
-    # precomposed letters whose base has a Latin twin
+    # precomposed letters whose base has a twin
     for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
         parts = unicodedata.normalize("NFD", chr(cp))
         if ord(parts[0]) in replacements():

@@ -76,12 +76,30 @@ def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
 # --- texts in SQL ---------------------------------------------------------------
 
 
+# Letters by the one that they look like, as stored, and by the one that their small forms go by where case does not matter.
+# Written out here for themselves, so that the SQL does not follow the operator's table.
+_LOOK = {
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІӀΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟ", "P": "РΡ",
+    "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УҮΥ", "Z": "Ζ", "Æ": "Ӕ", "Ə": "Ә", "Ɛ": "Ԑ", "Ɵ": "Ө", "Ʒ": "Ӡ", "Þ": "Ϸ",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
+    "æ": "ӕ", "ə": "ә", "ɛ": "ԑ", "ɵ": "ө", "ʒ": "ӡ", "þ": "ϸ", "Γ": "Г", "Π": "П", "Φ": "Ф", "Ψ": "Ѱ", "κ": "к", "φ": "ф", "ψ": "ѱ", "μ": "µ",
+}
+_SMALL = {
+    "a": "аα", "b": "вβ", "c": "сϲ", "d": "ԁ", "e": "еε", "f": "ϝ", "g": "ԍ", "h": "нηһ", "i": "іι", "j": "јϳ", "k": "кκ", "l": "ӏ", "m": "мμϻ", "o": "оο", "p": "рρ",
+    "q": "ԛ", "s": "ѕ", "t": "тτ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уүυ", "z": "ζ", "æ": "ӕ", "ə": "ә", "ɛ": "ԑ", "ɵ": "ө", "ʒ": "ӡ", "þ": "ϸ",
+    "γ": "г", "π": "п", "φ": "ф", "ψ": "ѱ",
+}
+
+
+def _translation(table: dict[str, str]) -> list[tuple[str, str]]:
+    return [(other, form) for form, others in table.items() for other in others]
+
+
 def _looks_sql(text: str) -> str:
     """The canonical form in SQL: the rules of TESTDATA over fixed characters, then NFC."""
     wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
     spaces = [(s, " ") for s in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"]
-    letters = [(o, lat) for latin, other in (looks.LATIN_FOR_CYRILLIC, looks.LATIN_FOR_GREEK) for lat, o in zip(latin, other, strict=True)]
-    pairs = [*wide, *spaces, *letters, ("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
+    pairs = [*wide, *spaces, *_translation(_LOOK), ("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
     old, new = ("".join(p[i] for p in pairs).replace("'", "''") for i in (0, 1))
     invisible = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
     return f"nfc_normalize(translate(regexp_replace({text}, '[{invisible}]', '', 'g'), '{old}', '{new}'))"
@@ -96,7 +114,7 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _grams_sql(name: str, key: str) -> str:
     """Runs of 12 words of a table's texts: case and the differences of problem 10 removed."""
-    pairs = {o.lower(): lat.lower() for latin, other in (looks.LATIN_FOR_CYRILLIC, looks.LATIN_FOR_GREEK) for lat, o in zip(latin, other, strict=True)}
+    pairs = dict(_translation(_SMALL))
     folded = f"translate(replace(lower({_looks_sql('text')}), 'ß', 'ss'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
     words = f"SELECT {key}, regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+') AS v FROM {name} WHERE text IS NOT NULL"
     return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(v) - 10), lambda i: array_to_string(v[i:i + 11], ' '))) AS gram FROM ({words})"
@@ -108,6 +126,14 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(leaks.leaked(found)).select("item_id", "doc_id")
 
 
+@R.query("p8_contained", f"SELECT DISTINCT item_id, doc_id FROM ({_grams_sql('eval_items', 'item_id')}) JOIN ({_grams_sql('documents', 'doc_id')}) USING (gram)")
+def p8_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs whose best overlap scores at least their longest equal run: all pairs of ``p8_found`` must be among them."""
+    score = f"{leaks.EQUAL} * (overlap_words - substitutions) + ({leaks.SUBSTITUTED}) * substitutions"
+    found = _leaks(spark, sf)
+    return found.where(leaks.leaked(found)).where(f"overlap_words >= 12 and substitutions >= 0 and {score} >= equal_words").select("item_id", "doc_id")
+
+
 @R.query("p8_overlaps")
 def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps of at least 12 words of which some may be substituted."""
@@ -127,6 +153,24 @@ def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).documents
 
 
+@R.query(
+    "p9_kept",
+    """WITH d AS (SELECT source, count(*) AS n_docs FROM documents WHERE source IS NOT NULL AND text <> '' GROUP BY source)
+SELECT coalesce(d.source, t.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(n_docs > 0 AND target_share > 0 AND max_repeats > 0, false) AS takes_part,
+       true AS share_met, true AS repeats_kept, true AS tokens_add_up FROM d FULL JOIN mix_targets t ON d.source = t.source""",
+)
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What every mixture must keep: shares within a percentage point, repeats, tokens, and which sources take part."""
+    made = _mixture(spark, sf)
+    docs = made.documents.groupBy("source").agg(F.max("copies").alias("most"), F.count(F.lit(1)).alias("used"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
+    rows = made.shares.join(docs, "source", "left")
+    return rows.select(
+        "source", "n_docs", (F.col("wanted_share") > 0).alias("takes_part"), (F.abs(F.col("actual_share") - F.col("wanted_share")) < 0.01).alias("share_met"),
+        (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(0))).alias("repeats_kept"),
+        ((F.coalesce("tokens", F.lit(0)) == F.col("used_tokens")) & (F.coalesce("used", F.lit(0)) <= F.col("n_docs"))).alias("tokens_add_up"),
+    )
+
+
 @R.query("p9_shares")
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).shares

@@ -16,6 +16,8 @@ from presencia.session import materialise
 BANDS, ROWS = 256, 14
 #: Sets in a bucket above which it is split by prefix items; sets that one task pairs at once.
 HOT_BUCKET, PART_SETS = 1000, 1000
+#: Records of one set, and links of one set, that one task joins at once.
+PART_RECORDS, PART_LINKS = 2000, 2000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,9 +97,10 @@ def _prefix_split(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 def similar_sets(df: DataFrame, record: str, item: str, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct sets with |common| / |union| >= num / den, and the records of each set.
 
-    Returns (``set_1 < set_2, common, size_1, size_2``) and (``set, record``): equal sets are one
+    Returns (``set_1, set_2, common, size_1, size_2``), each pair once, and (``set, record``): equal sets are one
     set, so copies are not expanded here.  Null records and items are left out, repeated
-    items count once, a record without items has no set.  Items and sets go by 64-bit hashes.
+    items count once, a record without items has no set.  Items go by 64-bit hashes, sets are told apart by 128 bits
+    and numbered.
 
     Scale: items of a record combine map-side; a bucket's sets are counted with
     map-side combining and only buckets of two sets or more go on; buckets above HOT_BUCKET
@@ -106,8 +109,10 @@ def similar_sets(df: DataFrame, record: str, item: str, num: int = 4, den: int =
     """
     held = df.select(F.col(record).alias("record"), F.col(item).alias("item")).na.drop().distinct()
     records = held.groupBy("record").agg(F.sort_array(F.collect_list(F.xxhash64("item"))).alias("items"))
-    records = materialise(records.withColumn("set", F.xxhash64("items")), "records")
-    sets = materialise(records.groupBy("set").agg(F.first("items").alias("items")), "sets")
+    records = materialise(records.withColumns({"h1": F.xxhash64("items"), "h2": F.xxhash64(F.lit(1), "items")}), "records")
+    sets = records.groupBy("h1", "h2").agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("n_records"))
+    sets = materialise(sets.withColumn("set", F.monotonically_increasing_id()), "sets")  # numbers hold, since they are written
+    members = salted_lookup(records.select("h1", "h2", "record"), sets.select("h1", "h2", "set", "n_records"), ["h1", "h2"], "n_records", F.col("record"), stored=True)
     # by the number of executors' cores, since hashing is long for few bytes
     tasks = sets.sparkSession.sparkContext.defaultParallelism * 4
     hashed = materialise(
@@ -126,19 +131,38 @@ def similar_sets(df: DataFrame, record: str, item: str, num: int = 4, den: int =
         .select(F.col("a").alias("set_1"), F.col("b").alias("set_2"), common.alias("common"), F.size("items_a").alias("size_1"), F.size("items_b").alias("size_2"))
         .where(den * F.col("common") >= num * (F.col("size_1") + F.col("size_2") - F.col("common")))
     )
-    return checked, records.select("set", "record")
+    return checked, members.select("set", "record")
 
 
 def similar_records(df: DataFrame, record: str, item: str, num: int = 4, den: int = 5) -> DataFrame:
-    """All pairs ``record_1 < record_2`` of similar records, copies included."""
+    """All pairs ``record_1 < record_2`` of similar records, copies included.
+
+    The records of a set are cut into parts of PART_RECORDS and its links dealt over sub-keys of PART_LINKS, so that neither a set
+    with many copies nor one that is similar to many makes a long task; the output itself grows with the copies.
+    """
     checked, members = similar_sets(df, record, item, num, den)
-    links = materialise(checked.select("set_1", "set_2"), "links")
-    copies = members.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("set").alias("set_1"), F.col("set").alias("set_2"))
-    pairs = links.unionByName(copies)
+    members = materialise(members, "members")
+    links = checked.select("set_1", "set_2")
+    copies = members.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    own = copies.where("n > 1").select(F.col("set").alias("set_1"), F.col("set").alias("set_2"))
+    links = materialise(links.unionByName(own), "links")
+    degrees = links.select(F.explode(F.array("set_1", "set_2")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
+    up = lambda c, by: F.ceil(F.col(c) / by).cast("int")
+    sizes = materialise(copies.join(degrees, "set").select("set", "n", "degree", up("n", PART_RECORDS).alias("parts"), up("degree", PART_LINKS).alias("deals")), "sizes")
+    kept = salted_lookup(members, sizes, ["set"], "n", F.col("record"), stored=True)
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    for x, other in (("1", "set_2"), ("2", "set_1")):
+        of = sizes.select(F.col("set").alias(f"set_{x}"), F.col("degree").alias("_degree"), F.col("parts").alias(f"parts_{x}"), F.col("deals").alias(f"deals_{x}"))
+        links = salted_lookup(links, of, [f"set_{x}"], "_degree", F.col(other), stored=True).drop("_degree")
+    pairs = links.withColumn("part_1", each("parts_1")).withColumn("part_2", each("parts_2"))
+    pairs = pairs.withColumns({f"deal_{x}": F.pmod(F.xxhash64(f"set_{o}", f"part_{o}"), F.col(f"deals_{x}")).cast("int") for x, o in ("12", "21")})
+    pairs = pairs.select("set_1", "set_2", "part_1", "part_2", "deal_1", "deal_2")
     for x in "12":
-        pairs = pairs.join(members.select(F.col("set").alias(f"set_{x}"), F.col("record").alias(f"r_{x}")), f"set_{x}")
-    kept = pairs.where((F.col("set_1") != F.col("set_2")) | (F.col("r_1") < F.col("r_2")))
-    return kept.select(F.least("r_1", "r_2").alias("record_1"), F.greatest("r_1", "r_2").alias("record_2"))
+        of = kept.select(*[F.col(c).alias(f"{c}_{x}") for c in ("set", "part", "deal")], F.col("record").alias(f"r_{x}"))
+        pairs = pairs.join(of, [f"{c}_{x}" for c in ("set", "part", "deal")])
+    found = pairs.where((F.col("set_1") != F.col("set_2")) | (F.col("r_1") < F.col("r_2")))
+    return found.select(F.least("r_1", "r_2").alias("record_1"), F.greatest("r_1", "r_2").alias("record_2"))
 
 
 def similar_classes(df: DataFrame, record: str, item: str, num: int = 4, den: int = 5) -> DataFrame:

@@ -26,8 +26,8 @@ def associated_pairs(df: DataFrame, group: str, basket: str, item: str, min_toge
 
     Scale: distinct rows and item counts combine map-side; equal baskets
     collapse to one with a weight, so pairs are enumerated once per distinct basket; a long basket
-    is cut into blocks of BLOCK items whose pairs of blocks are spread over tasks;
-    pair counts combine map-side.
+    is cut into blocks of BLOCK items, and equal pairs of blocks, however many baskets have them, collapse
+    map-side to one with the sum of the weights; pair counts combine map-side.
     """
     rows = df.select(F.col(group).alias("g"), F.col(basket).alias("b"), F.col(item).alias("i")).na.drop()
     rows = materialise(rows.distinct(), "baskets")
@@ -45,7 +45,7 @@ def associated_pairs(df: DataFrame, group: str, basket: str, item: str, min_toge
     blocks = (
         weighed.withColumn("s1", F.explode(starts)).withColumn("s2", F.explode(F.filter(starts, lambda s: s >= F.col("s1"))))
         .select("g", "n", "w", F.expr(f"slice(items, s1, {BLOCK})").alias("left"), F.expr(f"slice(items, s2, {BLOCK})").alias("right"))
-        .repartition("g", "left", "right")
+        .groupBy("g", "n", "left", "right").agg(F.sum("w").alias("w"))
     )
     counted = (
         blocks.select("g", "n", "w", F.explode("left").alias("x"), "right")

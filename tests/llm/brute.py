@@ -7,7 +7,10 @@ from collections import defaultdict
 
 from presencia.llm.leaks import words
 
-SAME_SHAPE = dict(zip("АВСЕНІЈКМОРЅТХУасеіјорѕхуΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABCEHIJKMOPSTXYaceijopsxyABEZHIKMNOPTYXov", strict=True))
+SAME_SHAPE = dict(p for p in (
+    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ӀI ԚQ ѴV ԜW ҮY ӔÆ ӘƏ ԐƐ ӨƟ ӠƷ аa еe оo рp сc уy хx ѕs іi јj ԁd һh ӏl ԛq ѵv ԝw үy ӕæ әə ԑɛ өɵ ӡʒ "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϜF ͿJ ϺM ϷÞ οo νv ρp ϲc ϳj ϸþ ГΓ ПΠ ФΦ ѰΨ кκ фφ ѱψ µμ"
+).split())
 
 
 def look(text: str) -> str:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presencia.llm import leaks, looks, mixture, similar, together
+from presencia.operators import skew
 from tests.llm.brute import SAME_SHAPE, look, shared_runs
 
 
@@ -69,6 +70,10 @@ def _similar(rows):
 def test_similar_records_as_by_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(similar, "HOT_BUCKET", hot)
     monkeypatch.setattr(similar, "PART_SETS", max(hot // 2, 1))
+    if hot == 3:
+        monkeypatch.setattr(similar, "PART_RECORDS", 3)
+        monkeypatch.setattr(similar, "PART_LINKS", 2)
+        monkeypatch.setattr(skew, "HOT_ROWS", 5)
     rnd = random.Random(4)
     rows = []
     for f in range(6):
@@ -136,9 +141,31 @@ def test_shuffled_seed_join_gives_the_same(spark, monkeypatch):
     c = spark.createDataFrame([(1, "x " + item), (2, "y")], "d long, t string")
     e = spark.createDataFrame([(7, item)], "i long, t string")
     monkeypatch.setattr(leaks, "MAX_SEEDS", 0)
+    monkeypatch.setattr(leaks, "HOT_PASSAGES", 1)
     assert got(leaks.leaks(c, "d", "t", e, "i", "t")) == [(7, 1, 30, 30, 0)]
 
 
+def test_runs_longer_than_a_passage_are_measured_whole(spark):
+    rnd = random.Random(10)
+    item = _words(rnd, 1500)
+    assert 4 * len(item) > leaks.PASSAGE
+    doc = [*_words(rnd, 3), *item, *item, *_words(rnd, 9000), *item[:1400]]
+    c = spark.createDataFrame([(1, " ".join(doc))], "d long, t string")
+    e = spark.createDataFrame([(7, " ".join(item))], "i long, t string")
+    assert got(leaks.leaks(c, "d", "t", e, "i", "t")) == [(7, 1, 1500, 1500, 0)]
+
+
+def test_passages_share_the_longest_item():
+    spans = list(leaks._passages(np.arange(0, 20_000), 20_011, 700))
+    assert spans[0][0] == 0 and spans[-1][1] == 20_011
+    assert all(b[0] < a[1] - 700 and a[1] - a[0] <= 2800 for a, b in itertools.pairwise(spans))
+
+
+def test_bitmap_follows_the_seeds_within_bounds():
+    assert leaks.bitmap_bits(0) == leaks.bitmap_bits(100) == leaks.LEAST_BITS
+    assert leaks.bitmap_bits(10**6) == 1 << 25 and leaks.bitmap_bits(10**12) == leaks.MOST_BITS
+
+
 def test_overlaps_tolerate_substituted_words(spark):
     rnd = random.Random(9)
     src = _words(rnd, 60)
@@ -210,8 +237,10 @@ def test_mixture_beyond_the_limits_says_so(spark):
     shares = {r["source"]: r for r in mixture.mix(_counts(spark, rows), targets, total_tokens=6000, block=100).shares.collect()}
     assert shares["b"]["used_tokens"] == 2000 and shares["a"]["used_tokens"] == pytest.approx(4000, abs=100)
     assert mixture.mix(_counts(spark, []), targets).documents.count() == 0
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="once"):
         mixture.mix(_counts(spark, rows), targets.union(targets))
+    with pytest.raises(ValueError, match="smaller block"):
+        mixture.mix(_counts(spark, rows[:50]), targets)
 
 
 def test_tokens_are_those_of_the_public_tokenizer(spark):
@@ -236,6 +265,8 @@ def test_canonical_form_as_over_the_whole_text():
         text = "".join(rnd.choice([*ODD, "a", "e", "n", " ", "o", "Z"]) for _ in range(rnd.randrange(12)))
         if not set(text) & {"️"}:
             assert looks.canonical(text) == look(text), ascii(text)
+    for other, form in SAME_SHAPE.items():
+        assert looks.canonical(f"x{other}y") == f"x{form}y"
     assert looks.canonical("plain") == "plain" and looks.canonical("ﬁ ²") == "ﬁ ²"
     long = "обычный текст Ａé " * 20_000
     assert looks.canonical(long) == look(long)
