@@ -409,17 +409,39 @@ def test_anchors_and_places(spark):
 
 
 KINDS = {
-    (1, 2, 3): "no variation", (5, 7, 9): "no variation", (1, 3, 2, 4): "inversion", (3, 2, 1): "inversion", (2, 3, 1): "translocation", (3, 1, 2): "others",
-    (2, 1, 5, 3, 4): "inversion", (3, 1, 2, 5, 4): "inversion", (4, 1, 2, 3): "others", (2, 3, 4, 1): "translocation", (5, 1, 2, 3, 4, 7, 6): "inversion", (1,): "no variation",
+    (1, 2, 3, 4): "no variation", (5, 7, 9): "no variation", (3, 4, 1, 2): "no variation", (4, 3, 2, 1): "no variation", (2, 1, 4, 3): "no variation", (1,): "no variation", (2, 1): "no variation",
+    (1, 3, 2, 4): "inversion", (1, 2, 5, 4, 3, 6, 7): "inversion", (9, 1, 2, 5, 4, 3): "inversion", (1, 4, 5, 6, 2, 3, 7): "translocation", (7, 3, 2, 6, 5, 4, 1): "translocation",
+    (1, 4, 5, 3, 2, 6, 7): "others", (1, 3, 5, 2, 4): "others", (2, 1, 3, 5, 4, 6, 8, 7): "others",
 }
 
 
+def _vectors(spark, orders):
+    rows = [(str(i), [{"gene": None, "anchor": a} for a in p]) for i, p in enumerate(orders)]
+    return spark.createDataFrame(rows, f"strain string, items array<{synteny.ITEM}>")
+
+
 def test_kinds_of_variation(spark):
-    rows = [(str(i), [{"gene": None, "anchor": a} for a in p]) for i, p in enumerate(KINDS)] + [("repeated", [{"gene": None, "anchor": a} for a in (1, 1, 2)]), ("none", [])]
-    df = spark.createDataFrame(rows, f"strain string, items array<{synteny.ITEM}>")
-    found = {r["strain"]: r["variation"] for r in synteny.variations(df).collect()}
-    assert found == {str(i): kind for i, kind in enumerate(KINDS.values())} | {"repeated": "no variation"}
-    assert synteny.cycles([3, 2, 1, 5, 4]) == [[3, 1], [5, 4]]
+    found = {r["strain"]: r["variation"] for r in synteny.variations(_vectors(spark, [*KINDS, (1, 1, 2), ()])).collect()}
+    assert found == {str(i): kind for i, kind in enumerate(KINDS.values())} | {str(len(KINDS)): "no variation"}
+
+
+def test_planted_rearrangements_are_told(spark):
+    rnd, orders, kinds = random.Random(5), [], []
+    for _ in range(60):
+        n = rnd.randrange(8, 15)
+        a, b, c = sorted(rnd.sample(range(1, n), 3))
+        x = list(range(1, n + 1))
+        x, kind = (x[:a] + x[a:c][::-1] + x[c:], "inversion") if rnd.random() < 0.5 else (x[:a] + x[b:c] + x[a:b] + x[c:], "translocation")
+        if kind == "inversion" and c - a > n - 2:
+            continue  # a circle reversed but for one place is the circle
+        if kind == "translocation" and sorted((b - a, c - b, n - c + a))[1] == 1:
+            continue  # two neighbours that change places are also a block reversed
+        at = rnd.randrange(n)
+        x = x[at:] + x[:at]
+        orders.append(x[::-1] if rnd.random() < 0.5 else x)
+        kinds.append(kind)
+    found = {int(r["strain"]): r["variation"] for r in synteny.variations(_vectors(spark, orders)).collect()}
+    assert [found[i] for i in range(len(kinds))] == kinds
 
 
 def test_nearest_vote_breaks_ties_by_the_nearer(spark):
