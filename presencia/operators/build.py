@@ -34,8 +34,8 @@ class Pangenome:
 
 
 def numbered_genomes(seqs: DataFrame, genomes: list[str]) -> DataFrame:
-    """With ``genome_ord``, the genome's place in a list; genomes that are not in it are left out."""
-    return seqs.withColumn("genome_ord", F.array_position(F.array(*[F.lit(g) for g in genomes]), F.col("genome")) - 1).where("genome_ord >= 0")
+    """With ``genome_ord``, the genome's place in a list; genomes that are not in it are left out, and one in it without sequences is an error."""
+    return tb.by_ids(seqs, "genome", genomes, "genome_ord")
 
 
 def by_name(seqs: DataFrame) -> DataFrame:
@@ -68,12 +68,17 @@ def cds_pangenome(spark: SparkSession, faa: list[str], clstr: str, name: str, sy
     return pangenome(numbered_genomes(seqs, order), sq.read_clstr(spark, clstr), name, "C", synonyms)
 
 
+def cut_sequences(features: DataFrame, contigs: DataFrame, types: list[str], flanking: tuple[int, int] = (0, 0)) -> DataFrame:
+    """``genome, ord, header, seq`` of some feature types cut out of contigs (genome, contig, seq)."""
+    chosen = features.where(F.col("type").isin(types))
+    cut = sq.sliced(chosen, contigs, types, flanking=flanking)
+    return cut.join(chosen.select("genome", "contig", "id", "ord"), ["genome", "contig", "id"]).select("genome", "ord", F.col("id").alias("header"), "seq")
+
+
 def feature_sequences(spark: SparkSession, gff: list[str], fna: list[str], types: list[str], flanking: tuple[int, int] = (0, 0)) -> DataFrame:
-    """``genome, ord, header, seq`` of some feature types cut out of contigs; a genome's files share their base name."""
-    features = sq.read_gff(spark, gff).where(F.col("type").isin(types))
+    """:func:`cut_sequences` of files; a genome's files share their base name."""
     contigs = sq.read_fasta(spark, fna).select("genome", F.substring_index("header", "|", -1).alias("contig"), "seq")
-    cut = sq.sliced(features, contigs, flanking=flanking)
-    return cut.join(features.select("genome", "contig", "id", "ord"), ["genome", "contig", "id"]).select("genome", "ord", F.col("id").alias("header"), "seq")
+    return cut_sequences(sq.read_gff(spark, gff), contigs, types, flanking)
 
 
 def coding_nucleotide_pangenome(spark: SparkSession, gff: list[str], fna: list[str], clstr: str, name: str, types: tuple[str, ...] = ("CDS", "tRNA")) -> Pangenome:
@@ -88,17 +93,24 @@ def noncoding_pangenome(
     return pangenome(by_name(feature_sequences(spark, gff, fna, list(types), flanking)), sq.read_clstr(spark, clstr), name, "T")
 
 
-def proximal_pangenome(
-    spark: SparkSession, gff: list[str], fna: list[str], headers: DataFrame, side: str, limits: tuple[int, int] | None = None, max_overlap: int = -1, fragments: bool = False
+def proximal_variants(
+    features: DataFrame, contigs: DataFrame, headers: DataFrame, side: str, limits: tuple[int, int] | None = None, max_overlap: int = -1, fragments: bool = False
 ) -> DataFrame:
     """``gene, seq, genome, prox_id``: each gene's distinct sequences up- or downstream, numbered by first appearance.
 
     ``headers`` (header, allele) names the features; those without an allele are left out.  Limits are 50 bases outside and 3
     inside unless given.
     """
-    features = sq.read_gff(spark, gff).where("id is not null")
-    contigs = sq.read_fasta(spark, fna).select("genome", F.substring_index("header", "|", -1).alias("contig"), "seq")
     limits = limits or ((-50, 3) if side == "upstream" else (-3, 50))
     cut = sq.proximal(features, contigs, side, limits, max_overlap, fragments)
     named = cut.join(headers, cut["id"] == headers["header"]).select("genome", "ord", names.gene_of_allele(F.col("allele")).alias("gene"), "seq")
     return pr.numbered_variants(named, {"upstream": "U", "downstream": "D"}[side])
+
+
+def proximal_pangenome(
+    spark: SparkSession, gff: list[str], fna: list[str], headers: DataFrame, side: str, limits: tuple[int, int] | None = None, max_overlap: int = -1, fragments: bool = False
+) -> DataFrame:
+    """:func:`proximal_variants` of files."""
+    features = sq.read_gff(spark, gff).where("id is not null")
+    contigs = sq.read_fasta(spark, fna).select("genome", F.substring_index("header", "|", -1).alias("contig"), "seq")
+    return proximal_variants(features, contigs, headers, side, limits, max_overlap, fragments)

@@ -42,6 +42,22 @@ def genome_map(p: DataFrame, n_neighbors: int | None = None, seed: int = 42) ->
     return p.sparkSession.createDataFrame(rows, "genome string, x double, y double, z double")
 
 
+def set_distances(p: DataFrame) -> DataFrame:
+    """``a < b, distance``: 1 - |common| / |union| of the gene sets of all pairs of at most MAX_POINTS genomes.
+
+    Shared genes come from :func:`gram`, so no pair of genomes is shuffled.
+    """
+    p = materialise(p.select("gene", "genome").distinct(), "presence")
+    ids = np.array([r["genome"] for r in p.select("genome").distinct().orderBy("genome").limit(MAX_POINTS + 1).collect()], dtype=object)
+    if len(ids) > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} genomes")
+    both = gram(p, ids.tolist())
+    n = np.diag(both)
+    i, j = np.triu_indices(len(ids), 1)
+    rows = pd.DataFrame({"a": ids[i], "b": ids[j], "distance": 1 - both[i, j] / np.maximum(n[i] + n[j] - both[i, j], 1)})
+    return p.sparkSession.createDataFrame(rows, "a string, b string, distance double")
+
+
 def gram(p: DataFrame, ids: list[str], parts: int = 16) -> np.ndarray:
     """Genes shared by each pair of the given genomes, an exact matrix on the driver.
 

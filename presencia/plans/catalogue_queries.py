@@ -87,7 +87,20 @@ def qc_elbows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(cutoffs, "curve string, cutoff double")
 
 
-@R.query("qc_derived_cutoffs")
+_DERIVED = """WITH c AS (SELECT * FROM genome_summary WHERE genome_status = 'Complete' AND contig_l50 = 1 AND contig_n50 IS NOT NULL),
+w AS (SELECT * FROM genome_summary WHERE genome_status = 'WGS'), o AS (SELECT quantile_cont(contigs, 0.25) AS q1, quantile_cont(contigs, 0.75) AS q3 FROM w),
+k0 AS (SELECT w.* FROM w, o WHERE contigs <= q3 + 1.5 * (q3 - q1)), k AS (SELECT * FROM k0 WHERE contigs <= 2.5 * (SELECT quantile_cont(contigs, 0.5) FROM k0)),
+l AS (SELECT * FROM k WHERE checkm_contamination < {elbow}), q AS (SELECT * FROM l WHERE checkm_completeness > {knee}),
+n AS (SELECT (SELECT count(*) FROM genome_summary) AS a, (SELECT count(*) FROM c) AS c, (SELECT count(*) FROM w) AS w, (SELECT count(*) FROM k) AS k, (SELECT count(*) FROM q) AS q),
+s AS (SELECT 0 AS ord, 'prefiltration' AS stage, a AS remaining FROM n UNION ALL SELECT 1, 'L50/N50', c + w FROM n UNION ALL SELECT 2, 'contig_count', c + k FROM n
+      UNION ALL SELECT 3, 'CheckM_completeness_contamination', c + q FROM n)
+SELECT ord, stage, coalesce(lag(remaining) OVER (ORDER BY ord), remaining) AS initial, coalesce(lag(remaining) OVER (ORDER BY ord), remaining) - remaining AS num_filtered, remaining FROM s""".format(
+    elbow=_CURVE.replace("genome_summary WHERE genome_status = 'WGS' AND", "k WHERE").format(c="checkm_contamination", d="ASC", e="round((v - lo) / (hi - lo) - r / n, 12)", t="DESC"),
+    knee=_CURVE.replace("genome_summary WHERE genome_status = 'WGS' AND", "l WHERE").format(c="checkm_completeness", d="DESC", e="round(-((v - lo) / (hi - lo) + r / n), 12)", t="ASC"),
+)
+
+
+@R.query("qc_derived_cutoffs", _DERIVED)
 def qc_derived_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     """The quality filter with every cutoff taken from the data."""
     return qc.by_quality(_catalogue(spark, sf)).stats
@@ -102,7 +115,19 @@ def qc_low_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return qc.low_outliers(_catalogue(spark, sf), "gc_content", 2.0).select("row_id", "outlier")
 
 
-@R.query("qc_without_low_outliers")
+def _rounds_sql(rounds: int) -> str:
+    """As many rounds as given, the last of which must find nothing (as on the test tables)."""
+    parts = ["k0 AS (SELECT row_id, checkm_completeness AS x FROM genome_summary WHERE checkm_completeness IS NOT NULL)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"m{i} AS (SELECT median(x) AS m FROM k{i - 1}), d{i} AS (SELECT median(abs(x - m)) AS mad FROM k{i - 1}, m{i})")
+        parts.append(
+            f"t{i} AS (SELECT row_id, x, x < m AND 0.6745 * abs(x - m) / CASE WHEN mad = 0 THEN 1e-10 ELSE mad END > 3 AS gone FROM k{i - 1}, m{i}, d{i}), k{i} AS (SELECT row_id, x FROM t{i} WHERE NOT gone)"
+        )
+    out = " UNION ALL ".join(f"SELECT row_id, {i} AS round FROM t{i} WHERE gone" for i in range(1, rounds + 1))
+    return f"WITH {', '.join(parts)} SELECT row_id, 0 AS round FROM k{rounds} UNION ALL {out}"
+
+
+@R.query("qc_without_low_outliers", _rounds_sql(14))
 def qc_without_low_outliers(spark: SparkSession, sf: str) -> DataFrame:
     kept, removed = qc.without_low_outliers(_catalogue(spark, sf).where("checkm_completeness is not null"), "checkm_completeness", 3.0)
     return kept.select("row_id", F.lit(0).alias("round")).unionByName(removed.select("row_id", "round"))

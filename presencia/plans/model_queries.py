@@ -277,13 +277,18 @@ def consensus_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.dispersion(_labels(spark, sf), 3).select(F.round("dispersion", 8).alias("dispersion"))
 
 
+_PAIRS = f"""{P}, n AS (SELECT genome, count(*) AS n FROM p GROUP BY genome), c AS (SELECT a.genome AS a, b.genome AS b, count(*) AS c FROM p a JOIN p b ON a.gene = b.gene AND a.genome < b.genome GROUP BY ALL),
+d AS (SELECT x.genome AS a, y.genome AS b, 1 - coalesce(c, 0) / (x.n + y.n - coalesce(c, 0))::DOUBLE AS distance FROM n x JOIN n y ON x.genome < y.genome LEFT JOIN c ON c.a = x.genome AND c.b = y.genome)"""
+
+
 def _distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Set distances of the taxa's gene sets, all pairs of few taxa by an equi join on genes."""
-    p = genes_by_genome(spark, sf).select("gene", F.substring_index("genome", ".", 1).alias("taxon")).distinct()
-    n = p.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (p.join(n, "taxon").select("gene", F.col("taxon").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    both = a.join(b, "gene").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return both.select("a", "b", (1 - F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("distance"))
+    """Set distances of all genomes."""
+    return materialise(embed.set_distances(genes_by_genome(spark, sf)), "distances")
+
+
+@R.query("genome_distances", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d")
+def genome_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return _distances(spark, sf).withColumn("distance", F.round("distance", 9))
 
 
 @R.query("distance_clusters")
@@ -296,9 +301,35 @@ def distance_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.sensitivity(_distances(spark, sf), "a", "b", "distance")[0]
 
 
-@R.query("distance_correlation")
+@R.query(
+    "distance_correlation",
+    f"""WITH {_PAIRS}, q AS (SELECT a AS g, b AS k, distance FROM d UNION ALL SELECT b, a, distance FROM d UNION ALL SELECT genome, genome, 0 FROM n)
+SELECT x.g AS genome_1, y.g AS genome_2, round(1 - corr(x.distance, y.distance), 6) AS distance FROM q x JOIN q y ON x.k = y.k AND x.g < y.g GROUP BY ALL""",
+)
 def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus.correlation_distance(_distances(spark, sf), "a", "b", "distance")
+    found = consensus.correlation_distance(_distances(spark, sf), "a", "b", "distance")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@R.query("distances_without", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d WHERE split_part(a, '.', 2)::INT % 5 > 0 AND split_part(b, '.', 2)::INT % 5 > 0")
+def distances_without(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances without those of some genomes."""
+    pairs = _distances(spark, sf)
+    leaves = pairs.select(F.explode(F.array("a", "b")).alias("genome")).distinct()
+    removed = leaves.where(F.split_part("genome", F.lit("."), F.lit(2)).cast("int") % 5 == 0)
+    return consensus.without(pairs, "a", "b", removed).withColumn("distance", F.round("distance", 9)).select("a", "b", "distance")
+
+
+@R.query("distance_clusters_kept", f"WITH {_PAIRS} SELECT count(*) AS n_genomes, count(*) AS n_clustered, true AS numbered, true AS cophenetic FROM n")
+def distance_clusters_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What the clusters of a linkage must keep: every genome in one cluster, clusters numbered without gaps, heights that follow the distances."""
+    pairs = _distances(spark, sf)
+    found = consensus.distance_clusters(pairs, "a", "b", "distance", 0.9)
+    follows = (consensus.cophenetic_correlation(pairs, "a", "b", "distance") or 0) > 0.3
+    return found.agg(
+        F.count(F.lit(1)).alias("n_genomes"), F.count("cluster").alias("n_clustered"),
+        ((F.max("cluster") - F.min("cluster") + 1) == F.countDistinct("cluster")).alias("numbered"), F.lit(follows).alias("cophenetic"),
+    )
 
 
 _SETS = """x AS (SELECT DISTINCT split_part(genome_id, '.', 1) AS leaf, cluster AS item FROM locus_map WHERE genome_id IS NOT NULL AND cluster IS NOT NULL),

@@ -97,6 +97,42 @@ def long_form(wide: DataFrame) -> DataFrame:
     return wide.select(F.col(first).alias("gene"), F.explode(F.array_compact(cells)).alias("genome"))
 
 
+def by_ids(df: DataFrame, key: str, ids: list[str], order: str = "ord") -> DataFrame:
+    """The rows of some ids, with ``order``, an id's place in the list (from 0); an id without a row is an error that names it.
+
+    An id given twice has its rows at both places.  The look-up for misses is one pass over the ids' rows alone.
+    """
+    wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"{order} int, {key} string")
+    missing = wanted.join(df.select(key).distinct(), key, "left_anti").orderBy(order).limit(10).collect()
+    if missing:
+        raise KeyError(f"no rows for {[r[key] for r in missing]}")
+    return df.join(wanted, key)
+
+
+def with_clusters(metadata: DataFrame, key: str, clusters: DataFrame, column: str = "cluster") -> DataFrame:
+    """Metadata with the cluster of each row's genome from (genome, cluster), null where it has none."""
+    own = clusters.select(F.col("genome").alias(key), F.col("cluster").alias(column))
+    return metadata.join(own, key, "left")
+
+
+def without_text(df: DataFrame, column: str, texts: list[str]) -> DataFrame:
+    """A column with every occurrence of some plain texts taken out, one text after another."""
+    value = F.col(column)
+    for t in texts:
+        value = F.replace(value, F.lit(t), F.lit(""))
+    return df.withColumn(column, value)
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``function, name`` of an ontology's text file: blocks that begin with [Term], of lines ``id: ...`` and ``name: ...``.
+
+    The first id and name of a block count; other blocks and those without an id are left out.
+    """
+    blocks = spark.read.text(path, lineSep="\n\n").select(F.concat(F.lit("\n"), "value", F.lit("\n")).alias("b"))
+    first = lambda tag: F.nullif(F.regexp_extract("b", rf"\n{tag}: *([^\n]*?) *\r?\n", 1), F.lit(""))
+    return blocks.where(F.col("b").rlike(r"\n\[Term\]")).select(first("id").alias("function"), first("name").alias("name")).where("function is not null")
+
+
 def pivoted_distances(pairs: DataFrame, ids: DataFrame, samples: list[str]) -> DataFrame:
     """``genome`` by sample distances for the known genomes; one without a distance has nulls."""
     table = pairs.groupBy("genome").pivot("sample", samples).agg(F.first("distance"))
