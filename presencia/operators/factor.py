@@ -261,12 +261,21 @@ def reconstruction_error(p: DataFrame, made: DataFrame, ranks: list[int]) -> Dat
 def confusion(p: DataFrame, l_bin: DataFrame, a_bin: DataFrame, ranks: list[int], n_genes: int, n_genomes: int) -> DataFrame:
     """``rank, tp, fn, fp, tn`` of the reconstruction being above 0.
 
-    Made cells and presence are tagged and counted in one aggregation, tn follows by subtraction: nothing is dense.
+    Genes collapse to classes of equal sets of components, genomes likewise; the cells made are counted over pairs of classes with a
+    common component, and only the present cells are looked at one by one.  The product of genes and genomes is never made.
     """
-    made = reconstruction(l_bin, a_bin).select("rank", "gene", "genome", F.lit(2).alias("s"))
-    real = _for_ranks(p, ranks).withColumn("s", F.lit(1))
-    cells = real.unionByName(made).groupBy("rank", "gene", "genome").agg(F.sum("s").alias("s"))
-    counts = cells.groupBy("rank").agg(*[F.count_if(F.col("s") == v).alias(c) for v, c in ((3, "tp"), (1, "fn"), (2, "fp"))])
+    held = lambda df, key, name: materialise(df.groupBy("rank", key).agg(F.array_sort(F.collect_set("component")).alias(name)), name)
+    of_gene, of_genome = held(l_bin, "gene", "l_set"), held(a_bin, "genome", "a_set")
+    classes = lambda df, name, n: df.groupBy("rank", name).agg(F.count(F.lit(1)).alias(n)).withColumn("component", F.explode(name))
+    pairs = classes(of_gene, "l_set", "n_l").join(classes(of_genome, "a_set", "n_a"), ["rank", "component"]).select("rank", "l_set", "a_set", "n_l", "n_a").distinct()
+    made = pairs.groupBy("rank").agg(F.sum(F.col("n_l") * F.col("n_a")).alias("made"))
+    cells = _for_ranks(p, ranks)
+    real = cells.groupBy("rank").agg(F.count(F.lit(1)).alias("real"))
+    both = cells.join(of_gene, ["rank", "gene"]).join(of_genome, ["rank", "genome"]).where(F.arrays_overlap("l_set", "a_set"))
+    both = both.groupBy("rank").agg(F.count(F.lit(1)).alias("tp"))
+    zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("tp", "real", "made")}
+    counts = real.join(made, "rank", "full").join(both, "rank", "left").withColumns(zero)
+    counts = counts.select("rank", "tp", (F.col("real") - F.col("tp")).alias("fn"), (F.col("made") - F.col("tp")).alias("fp"))
     return counts.withColumn("tn", F.lit(n_genes * n_genomes) - F.col("tp") - F.col("fn") - F.col("fp"))
 
 

@@ -85,6 +85,7 @@ class Funnel:
     cutoffs: dict[str, float | None] = field(default_factory=dict)
 
 
+#: The labels of the stages, in order.
 STAGES = ("prefiltration", "L50/N50", "contig_count", "CheckM_completeness_contamination")
 
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from presencia.operators import consensus, embed, enrich, factor
+from presencia.operators import consensus, embed, enrich, factor, model
 from presencia.operators import presence as pr
 from presencia.plans.presence_queries import P, genes_by_genome
 from presencia.plans.registry import Registry
@@ -172,7 +173,7 @@ def _accessory(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = materialise(_accessory(spark, sf), "accessory")
-    w, h = factor.normalised(*factor.factorise(p, RANKS, 500))
+    w, h = factor.normalised(*factor.factorise(p, RANKS))
     return p, w, h
 
 
@@ -206,6 +207,64 @@ def factor_best_rank(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(best["lower"], best["best"], best["higher"], around, refined)], "lower int, best int, higher int, around array<int>, refined array<int>")
 
 
+_KEPT_P = f"""{P}, g AS (SELECT count(DISTINCT genome) AS n FROM p), f AS (SELECT gene FROM p, g GROUP BY gene, n HAVING count(*) > 0.02 * n AND count(*) < 0.95 * n), x AS (SELECT * FROM p SEMI JOIN f USING (gene))"""
+
+
+@R.query(
+    "factor_kept",
+    f"""WITH {_KEPT_P} SELECT r::INT AS rank, (SELECT count(DISTINCT gene) FROM x) AS n_genes, (SELECT count(DISTINCT genome) FROM x) AS n_genomes, r AS n_components, true AS not_negative, true AS cells_add_up, true AS better_than_none
+FROM unnest([3, 4, 5, 6]) t(r)""",
+)
+def factor_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What every fit must keep: all genes and genomes at every rank, its components, signs, sums of cells, and an error below that of nothing."""
+    m = model.FactorModel(_accessory(spark, sf), tuple(RANKS))
+    w, h = m.factors
+    genes, genomes = factor.shape(m.presence)
+    of_w = w.groupBy("rank").agg(F.countDistinct("gene").alias("n_genes"), F.countDistinct("component").alias("n_components"), F.min("w").alias("least"))
+    of_h = h.groupBy("rank").agg(F.countDistinct("genome").alias("n_genomes"), F.min("h").alias("least_h"))
+    cells = m.presence.count()
+    rows = m.scores.join(of_w, "rank").join(of_h, "rank")
+    return rows.select(
+        "rank", "n_genes", "n_genomes", "n_components", F.expr("least >= 0 and least_h >= 0").alias("not_negative"),
+        ((F.col("tp") + F.col("fn") == cells) & (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn") == genes * genomes)).alias("cells_add_up"),
+        (F.col("fp") + F.col("fn") < cells).alias("better_than_none"),
+    )
+
+
+@R.query("inertia_kept", f"WITH {P} SELECT true AS falls, true AS shares_add_up, true AS ranks_rise, count(DISTINCT genome) AS n_genomes FROM p")
+def inertia_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What inertias must keep: they fall, their shares add up to 1, and the ranks from them rise."""
+    p = genes_by_genome(spark, sf)
+    made = materialise(factor.mca(p), "inertia")
+    order = Window.orderBy("component")  # at most two rows a genome
+    steps = made.select(F.coalesce(F.col("inertia") <= F.lag("inertia").over(order) + 1e-12, F.lit(True)).alias("falls"), "share", F.lit(1).alias("one"))
+    ranks = [r[0] for r in factor.ranks_from_inertia(made, [5]).collect()]  # six numbers
+    told = steps.agg(F.bool_and("falls").alias("falls"), (F.abs(F.sum("share") - 1) < 1e-9).alias("shares_add_up"))
+    n = p.select("genome").distinct().count()
+    return told.withColumns({"ranks_rise": F.lit(ranks == sorted(set(ranks))), "n_genomes": F.lit(n).cast("bigint")})
+
+
+@R.query("modes_kept", f"WITH {P}, f AS (SELECT count(*) AS freq FROM p GROUP BY gene) SELECT true AS ordered, true AS inside FROM f HAVING count(*) > 0")
+def modes_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What two normals of frequencies must keep: means within the data's range, in order, and positive deviations."""
+    freq = materialise(pr.gene_frequency(genes_by_genome(spark, sf)), "freq")
+    ends = freq.agg(F.min("freq").alias("lo"), F.max("freq").alias("hi")).first()
+    made = factor.bi_modal(freq, "freq")
+    found = made.orderBy("component").collect()  # two rows
+    means = [r["mean"] for r in found]
+    rows = made.agg(F.count(F.lit(1)).alias("n"))
+    inside = len(means) == 2 and all(ends["lo"] <= m <= ends["hi"] for m in means) and abs(sum(r["weight"] for r in found) - 1) < 1e-6
+    return rows.select(F.lit(means == sorted(means)).alias("ordered"), F.lit(inside).alias("inside"))
+
+
+@R.query("map_kept", f"WITH {P} SELECT count(DISTINCT genome) AS n_genomes, true AS finite, true AS spread FROM p")
+def map_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What a map must keep: every genome once, at finite places that are not all the same."""
+    made = embed.genome_map(genes_by_genome(spark, sf))
+    finite = F.expr("not (isnan(x) or isnan(y) or isnan(z)) and abs(x) + abs(y) + abs(z) < 1e9")
+    return made.agg(F.countDistinct("genome").alias("n_genomes"), F.bool_and(finite).alias("finite"), (F.stddev("x") > 0).alias("spread"))
+
+
 @R.query("factor_large")
 def factor_large(spark: SparkSession, sf: str) -> DataFrame:
     """The distributed fit, three components, to its tolerance."""

@@ -197,7 +197,7 @@ def annotated_features(spark: SparkSession, sf: str) -> DataFrame:
     return pr.annotate(features.distinct(), known)
 
 
-ITERATIONS = 2
+ITERATIONS = 20
 _CURVE = f"""{P}, o AS (SELECT iter, genome, row_number() OVER (PARTITION BY iter ORDER BY md5(iter::VARCHAR || '-' || genome), genome) AS step
   FROM (SELECT DISTINCT genome FROM p), range(1, {ITERATIONS + 1}) r(iter)),
 s AS (SELECT o.iter, o.step, q.gene, count(*) AS c FROM o JOIN (SELECT iter, step AS st, gene FROM p JOIN o USING (genome)) q ON q.iter = o.iter AND q.st <= o.step GROUP BY ALL)
@@ -232,8 +232,8 @@ def segment_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame([fit]))
 
 
-@R.query("wide_by_status", "SELECT cluster AS gene, " + ", ".join(f"count_if(load_no = {i} AND genome_id IS NOT NULL) > 0 AS l{i}" for i in range(1, 11)) + " FROM locus_map WHERE cluster IS NOT NULL GROUP BY cluster HAVING count(genome_id) > 0")
-def wide_by_status(spark: SparkSession, sf: str) -> DataFrame:
+@R.query("wide_by_load", "SELECT cluster AS gene, " + ", ".join(f"count_if(load_no = {i} AND genome_id IS NOT NULL) > 0 AS l{i}" for i in range(1, 11)) + " FROM locus_map WHERE cluster IS NOT NULL GROUP BY cluster HAVING count(genome_id) > 0")
+def wide_by_load(spark: SparkSession, sf: str) -> DataFrame:
     """The export form: genes by loads as columns."""
     rows = table(spark, sf, "locus_map").where("cluster is not null and genome_id is not null").select(F.col("cluster").alias("gene"), F.concat(F.lit("l"), F.col("load_no").cast("string")).alias("genome"))
     wide = pr.wide(rows.distinct(), [f"l{i}" for i in range(1, 11)])

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input for each core below which a table is dealt anew for long work.
+SMALL_BYTES = 64 << 20
 _SET_HERE: dict[str, str] = {}
 
 
@@ -56,9 +59,17 @@ def discard(df: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, for work that is long for its bytes: dealt anew only if it has fewer partitions than there are cores.
+    """``df``, a scan of files, over all cores, for work that is long for its bytes: dealt anew only if it is small.
 
-    A large table has more, so nothing is moved where that would cost.
+    Small is fewer files than cores, of less than SMALL_BYTES for each core in all: such files may hold too few row groups to
+    keep all cores busy.  A larger table is left as it is, so nothing is moved where that would cost.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = 0
+    for file in files:
+        fs, inner = pafs.FileSystem.from_uri(file)
+        size += fs.get_file_info(inner).size or 0
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df

@@ -142,7 +142,8 @@ def pivoted_distances(pairs: DataFrame, ids: DataFrame, samples: list[str]) -> D
 def empty_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of files without bytes in a folder and below; they are named, not deleted.
 
-    From the file system's listing, since scans skip empty files.
+    From the file system's listing, since scans skip empty files; the driver goes through it once and holds
+    the empty ones only.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)

@@ -607,3 +607,71 @@ def test_files_are_fetched_once_and_whole(tmp_path):
     assert fetch(wanted[:2], open_url=open_url) == [] and len(asked) == 4
     fetch(wanted[:1], force=True, open_url=open_url)
     assert len(asked) == 5 and not list(tmp_path.rglob("*.part"))
+
+
+# --- models as a whole, look-ups --------------------------------------------------
+
+
+def test_a_model_from_table_to_scores_and_back(spark, tmp_path):
+    from presencia.operators import model
+
+    rnd = random.Random(8)
+    rows = [(f"g{i}", f"s{j}") for i in range(40) for j in range(24) if (i % 3 == j % 3) != (rnd.random() < 0.03)]
+    p = spark.createDataFrame([*rows, rows[0], (None, "s0"), ("g0", None)], "gene string, genome string")
+    m = model.FactorModel(p, (2, 3))
+    assert m.presence.count() == len(rows)
+    genes, genomes = factor.shape(m.presence)
+    for r in m.scores.collect():
+        assert r["tp"] + r["fn"] == len(rows) and r["tp"] + r["fn"] + r["fp"] + r["tn"] == genes * genomes
+    assert m.best.first()["best"] == 3
+    made = {(r["gene"], r["genome"]) for r in m.reconstruction.where("rank = 3").collect()}
+    score = {r["rank"]: r for r in m.scores.collect()}[3]
+    assert (len(made & set(rows)), len(made - set(rows))) == (score["tp"], score["fp"])
+    assert m.thresholds.count() == 5
+    model.check_decomposition(m.presence, *m.factors)
+    m.save(str(tmp_path / "m"))
+    again = model.FactorModel.load(spark, str(tmp_path / "m"))
+    assert got(again.scores) == got(m.scores) and again.ranks == (2, 3)
+
+
+def test_tables_that_do_not_fit_are_refused(spark):
+    from presencia.operators import model
+
+    p = spark.createDataFrame([("a", "s"), ("b", "t")], "gene string, genome string")
+    w = spark.createDataFrame([(2, "a", 1, 0.5), (2, "b", 2, 0.5)], "rank int, gene string, component int, w double")
+    h = spark.createDataFrame([(2, "s", 1, 0.5), (2, "t", 2, 0.5)], "rank int, genome string, component int, h double")
+    model.Dataset(p, w=w, h=h, genes=p.select("gene"), genomes=p.select("genome")).check()
+    model.check_shape(p, 2, 2)
+    wrong = {
+        "lacks": model.Dataset(p.drop("gene")), "come together": model.Dataset(p, w=w), "components differ": model.Dataset(p, w=w.where("component = 1"), h=h),
+        "not in the presence": model.Dataset(p.where("gene = 'a'"), w=w, h=h), "more than once": model.Dataset(p, genes=p.select("gene").union(p.select("gene"))),
+        "already": model.Dataset(p, new=p),
+    }
+    for said, d in wrong.items():
+        with pytest.raises(ValueError, match=said):
+            d.check()
+    with pytest.raises(ValueError, match="shape"):
+        model.check_shape(p, 3, 2)
+
+
+def test_look_up_by_ids_keeps_their_order_and_raises_on_a_miss(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "id string, v int")
+    assert got(tb.by_ids(df, "id", ["b", "a"]).select("id", "v", "ord")) == [("a", 1, 1), ("b", 2, 0), ("b", 3, 0)]
+    with pytest.raises(KeyError, match="c"):
+        tb.by_ids(df, "id", ["a", "c"])
+
+
+def test_clusters_are_attached_and_texts_taken_out(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x.fna.fna"), ("b", None)], "id string, file string")
+    c = spark.createDataFrame([("a", 7)], "genome string, cluster int")
+    assert got(tb.without_text(tb.with_clusters(df, "id", c), "file", [".fna"]).select("id", "file", "cluster")) == [("a", "x", 7), ("b", None, None)]
+    (tmp_path / "t.obo").write_text("format: 1\n\n[Term]\nid: GO:1\nname: first one\nname: later\n\n[Typedef]\nid: part\nname: no\n\n[Term]\nname: none\n\n[Term]\nid: GO:2\n")
+    assert got(tb.read_terms(spark, str(tmp_path / "t.obo"))) == [("GO:1", "first one"), ("GO:2", None)]
+
+
+def test_set_distances_of_all_pairs(spark):
+    from presencia.operators import embed
+
+    p = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "t"), ("b", "t"), ("c", "t"), ("d", "u")], "gene string, genome string")
+    assert got(embed.set_distances(p)) == [("s", "t", pytest.approx(2 / 3)), ("s", "u", 1.0), ("t", "u", 1.0)]
+    assert embed.set_distances(p.limit(0)).count() == 0
