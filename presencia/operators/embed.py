@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def set_distances(p: DataFrame) -> DataFrame:
     both = gram(p, ids.tolist())
     n = np.diag(both)
     i, j = np.triu_indices(len(ids), 1)
-    rows = pd.DataFrame({"a": ids[i], "b": ids[j], "distance": 1 - both[i, j] / np.maximum(n[i] + n[j] - both[i, j], 1)})
+    names = pa.array(ids, pa.string())
+    rows = pa.table({"a": names.take(pa.array(i)), "b": names.take(pa.array(j)), "distance": 1 - both[i, j] / np.maximum(n[i] + n[j] - both[i, j], 1)})
     return p.sparkSession.createDataFrame(rows, "a string, b string, distance double")
 
 

@@ -41,8 +41,8 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, lineage cut.
 
     The columnar copy survives the loss of any executor.  Folders are named
-    ``presencia/<application>/<name>-<random>`` so that an operator of the
-    cluster can clear a finished application's folder.
+    ``presencia/<application>/<name>-<random>``; :func:`clear` removes an application's, and an operator of the
+    cluster may delete those of finished ones.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/presencia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -52,10 +52,17 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the folder of what :func:`materialise` returned, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        fs, inner = pafs.FileSystem.from_uri(file.rpartition("/")[0])
+        fs.delete_dir(inner)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that still read it must have been stored."""
+    folder = f"{shared_dir(spark)}/presencia/{spark.sparkContext.applicationId}"
+    fs, inner = pafs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    if fs.get_file_info(inner).type == pafs.FileType.Directory:
+        fs.delete_dir(inner)
 
 
 def spread(df: DataFrame) -> DataFrame:

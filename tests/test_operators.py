@@ -675,3 +675,16 @@ def test_set_distances_of_all_pairs(spark):
     p = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "t"), ("b", "t"), ("c", "t"), ("d", "u")], "gene string, genome string")
     assert got(embed.set_distances(p)) == [("s", "t", pytest.approx(2 / 3)), ("s", "u", 1.0), ("t", "u", 1.0)]
     assert embed.set_distances(p.limit(0)).count() == 0
+
+
+def test_what_was_written_can_be_cleared(spark, monkeypatch, tmp_path):
+    from presencia import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file:{tmp_path}")
+    one, two = (session.materialise(spark.range(5), x) for x in ("one", "two"))
+    session.discard(one)
+    (folder,) = (tmp_path / "presencia").iterdir()
+    assert [f.name.partition("-")[0] for f in folder.iterdir()] == ["two"] and two.count() == 5
+    session.clear(spark)
+    session.clear(spark)
+    assert not folder.exists()
