@@ -68,9 +68,13 @@ def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_allele_names(spark: SparkSession, path: str) -> DataFrame:
-    """``allele, header``: a ragged table, an allele and its headers by line."""
-    parts = F.split("value", "\t")
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("allele"), F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("header"))
+    """``allele, header``: a ragged table, an allele and its headers by line.
+
+    The allele is cut off before the headers are listed: taken from the line beside them, the line would be split again for each.
+    """
+    tab = F.instr("value", "\t")
+    lines = spark.read.text(path).where(tab > 0).select(F.substring_index("value", "\t", 1).alias("allele"), F.expr("substr(value, instr(value, '\t') + 1)").alias("headers"))
+    return lines.select("allele", F.explode(F.split("headers", "\t")).alias("header"))
 
 
 def feature_alleles(allele_names: DataFrame) -> DataFrame:
