@@ -56,9 +56,17 @@ def ward(distances: np.ndarray) -> np.ndarray:
     of the leaves; callers bound them.
     """
     d = np.array(distances, float) ** 2
-    n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    return links_of(chain(d, np.ones(len(d))), len(d))
+
+
+def chain(d: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of clusters of some sizes by their squared distances, infinite on the diagonal; both arrays are used up.
+
+    A merged cluster goes on under ``b``.
+    """
+    n = len(d)
+    alive, merges, chain = np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
@@ -79,6 +87,11 @@ def ward(distances: np.ndarray) -> np.ndarray:
         new[~alive] = np.inf
         new[b] = np.inf
         d[b], d[:, b] = new, new
+    return merges
+
+
+def links_of(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
+    """Rows (left, right, height, size) by rising height of merges that name a leaf of each of their two clusters."""
     order = sorted(range(n - 1), key=lambda i: merges[i][2])
     parent = list(range(2 * n - 1))
 
@@ -98,6 +111,20 @@ def ward(distances: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 4)
 
 
+def leaf_order(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves in an order in which every cluster is one run, and the heights between neighbours: two leaves join at the largest between them."""
+    runs: list[list[int] | None] = [[i] for i in range(len(links) + 1)]
+    gap: dict[int, float] = {}  # by the leaf before it
+    for left, right, height, _ in links:
+        a, b = runs[int(left)], runs[int(right)]
+        runs[int(left)] = runs[int(right)] = None
+        gap[a[-1]] = height
+        a += b
+        runs.append(a)
+    order = runs[-1] or []
+    return np.array(order, int), np.array([gap[x] for x in order[:-1]], float)
+
+
 def cut_tree(links: np.ndarray, height: float) -> np.ndarray:
     """Cluster numbers from 1, in order of the first leaf, of the tree cut at a height (merges at it are kept)."""
     n = len(links) + 1

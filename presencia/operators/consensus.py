@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presencia.kernels import clustering
@@ -99,11 +99,15 @@ THRESHOLDS = [*np.logspace(-3, -1, 10).tolist(), *np.linspace(0.1, 1, 19).tolist
 def sensitivity(pairs: DataFrame, a: str, b: str, distance: str, thresholds: list[float] = THRESHOLDS) -> tuple[DataFrame, float]:
     """``threshold, num_clusters`` from one linkage cut at each, and the first threshold with the elbow's number of clusters."""
     _, d = square(pairs, a, b, distance)
-    links = clustering.ward(d)
-    counts = [int(clustering.cut_tree(links, t * d.max(initial=0)).max()) if len(d) else 0 for t in thresholds]
+    return sensitivity_of(pairs.sparkSession, clustering.ward(d), len(d), d.max(initial=0), thresholds)
+
+
+def sensitivity_of(spark: SparkSession, links: np.ndarray, n: int, largest: float, thresholds: list[float] = THRESHOLDS) -> tuple[DataFrame, float]:
+    """:func:`sensitivity` from the links of ``n`` leaves and their largest distance."""
+    counts = [int(clustering.cut_tree(links, t * largest).max()) if n else 0 for t in thresholds]
     ordered = sorted(counts)
     elbow = ordered[clustering.elbow_index(np.array(ordered))]
-    table = pairs.sparkSession.createDataFrame(list(zip(thresholds, counts, strict=True)), "threshold double, num_clusters int")
+    table = spark.createDataFrame(list(zip(thresholds, counts, strict=True)), "threshold double, num_clusters int")
     return table, thresholds[counts.index(elbow)]
 
 
@@ -126,8 +130,9 @@ def cophenetic_correlation(pairs: DataFrame, a: str, b: str, distance: str) -> f
 
 def without(pairs: DataFrame, a: str, b: str, removed: DataFrame) -> DataFrame:
     """Distances without those from or to some genomes (column genome)."""
-    for c in (a, b):
-        pairs = pairs.join(removed.select(F.col("genome").alias(c)).distinct(), c, "left_anti")
+    removed = materialise(removed.select("genome").distinct(), "removed")
+    for c in (a, b):  # a row a genome, so that the pairs, their square, are not shuffled
+        pairs = pairs.join(F.broadcast(removed.select(F.col("genome").alias(c))), c, "left_anti")
     return pairs
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presencia.kernels import clustering, embedding
+from presencia.operators import sets
 from presencia.session import materialise
 
 #: Points of a map: kernels hold their square in one task.
@@ -43,21 +43,9 @@ def genome_map(p: DataFrame, n_neighbors: int | None = None, seed: int = 42) ->
     return p.sparkSession.createDataFrame(rows, "genome string, x double, y double, z double")
 
 
-def set_distances(p: DataFrame) -> DataFrame:
-    """``a < b, distance``: 1 - |common| / |union| of the gene sets of all pairs of at most MAX_POINTS genomes.
-
-    Shared genes come from :func:`gram`, so no pair of genomes is shuffled.
-    """
-    p = materialise(p.select("gene", "genome").distinct(), "presence")
-    ids = np.array([r["genome"] for r in p.select("genome").distinct().orderBy("genome").limit(MAX_POINTS + 1).collect()], dtype=object)
-    if len(ids) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} genomes")
-    both = gram(p, ids.tolist())
-    n = np.diag(both)
-    i, j = np.triu_indices(len(ids), 1)
-    names = pa.array(ids, pa.string())
-    rows = pa.table({"a": names.take(pa.array(i)), "b": names.take(pa.array(j)), "distance": 1 - both[i, j] / np.maximum(n[i] + n[j] - both[i, j], 1)})
-    return p.sparkSession.createDataFrame(rows, "a string, b string, distance double")
+def set_distances(p: DataFrame, digits: int | None = None) -> DataFrame:
+    """``a < b, distance``: 1 - |common| / |union| of the gene sets of all pairs of genomes, made where they are read; none is shuffled."""
+    return sets.distances(p.sparkSession, sets.sets_of(p), digits)
 
 
 def gram(p: DataFrame, ids: list[str], parts: int = 16) -> np.ndarray:

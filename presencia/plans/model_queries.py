@@ -347,7 +347,7 @@ def _distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("genome_distances", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d")
 def genome_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return _distances(spark, sf).withColumn("distance", F.round("distance", 9))
+    return embed.set_distances(genes_by_genome(spark, sf), 9)
 
 
 @R.query("distance_clusters")

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from presencia.functions import names
-from presencia.operators import consensus, enrich, factor, qc, synteny
+from presencia.operators import consensus, embed, enrich, factor, qc, sets, synteny
 from presencia.operators import presence as pr
 from presencia.sources import sequences as sq
 from presencia.sources import tables as tb
@@ -698,3 +698,34 @@ def test_a_long_line_of_allele_names_is_split_once(spark, tmp_path):
     assert time.time() - began < 20  # split again for each header it took over a minute
     assert [r["header"] for r in rows[:30_000]] == [f"h{i}" for i in range(30_000)] and {r["allele"] for r in rows[:30_000]} == {"a"}
     assert sorted(map(tuple, rows[30_000:])) == [("b", ""), ("d", ""), ("d", "x"), ("d", "y")]
+
+
+def random_sets(spark, n, genes=40, seed=3):
+    rnd = np.random.default_rng(seed)
+    keep = rnd.random((n, genes)) < np.linspace(0.9, 0.05, genes)[None, :] * rnd.uniform(0.3, 1, n)[:, None]
+    keep[:, 0] = True
+    return keep, spark.createDataFrame([(f"c{g}", f"s{i:04}") for i, g in zip(*np.nonzero(keep), strict=True)], "gene string, genome string")
+
+
+def square_of(keep):
+    both = (keep.astype(int) @ keep.T.astype(int)).astype(float)
+    return 1 - both / (keep.sum(1)[:, None] + keep.sum(1)[None, :] - both)
+
+
+def test_set_distances_have_no_largest_number_of_genomes(spark):
+    p = spark.range(5100).selectExpr("explode(array('core', concat('c', id % 700))) as gene", "concat('s', id) as genome")
+    rows = embed.set_distances(p)  # over 5000 genomes were an error
+    told = rows.agg(F.count(F.lit(1)), F.sum((F.col("distance") == 0).cast("int")), F.sum((F.abs(F.col("distance") - 2 / 3) < 1e-12).cast("int")), F.bool_and(F.col("a") < F.col("b"))).first()
+    same = 200 * (8 * 7 // 2) + 500 * (7 * 6 // 2)
+    assert tuple(told) == (5100 * 5099 // 2, same, 5100 * 5099 // 2 - same, True)
+    keep, p = random_sets(spark, 60)
+    d = square_of(keep)
+    assert {(r["a"], r["b"]): r["distance"] for r in embed.set_distances(p).collect()} == {(f"s{i:04}", f"s{j:04}"): pytest.approx(d[i, j]) for i in range(60) for j in range(i + 1, 60)}
+
+
+def test_pairs_without_some_genomes_are_not_shuffled(spark):
+    pairs = embed.set_distances(random_sets(spark, 30)[1])
+    rest = consensus.without(pairs, "a", "b", pairs.select(F.col("a").alias("genome")).where("a < 's0010'"))
+    assert rest.count() == 20 * 19 // 2
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
