@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from presencia.operators import consensus, embed, enrich, factor, model
+from presencia.operators import consensus, embed, enrich, factor, model, sets
 from presencia.operators import presence as pr
 from presencia.plans.presence_queries import P, genes_by_genome
 from presencia.plans.registry import Registry
@@ -345,6 +345,11 @@ def _distances(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(embed.set_distances(genes_by_genome(spark, sf)), "distances")
 
 
+def _sets(spark: SparkSession, sf: str) -> sets.Sets:
+    """The gene sets of all genomes."""
+    return sets.sets_of(genes_by_genome(spark, sf))
+
+
 @R.query("genome_distances", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d")
 def genome_distances(spark: SparkSession, sf: str) -> DataFrame:
     return embed.set_distances(genes_by_genome(spark, sf), 9)
@@ -382,9 +387,10 @@ def distances_without(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("distance_clusters_kept", f"WITH {_PAIRS} SELECT count(*) AS n_genomes, count(*) AS n_clustered, true AS numbered, true AS cophenetic FROM n")
 def distance_clusters_kept(spark: SparkSession, sf: str) -> DataFrame:
     """What the clusters of a linkage must keep: every genome in one cluster, clusters numbered without gaps, heights that follow the distances."""
-    pairs = _distances(spark, sf)
-    found = consensus.distance_clusters(pairs, "a", "b", "distance", 0.9)
-    follows = (consensus.cophenetic_correlation(pairs, "a", "b", "distance") or 0) > 0.3
+    own = _sets(spark, sf)
+    links = sets.linkage(spark, own)
+    found = sets.distance_clusters(spark, own, 0.9, links)
+    follows = (sets.cophenetic_correlation(spark, own, links) or 0) > 0.3
     return found.agg(
         F.count(F.lit(1)).alias("n_genomes"), F.count("cluster").alias("n_clustered"),
         ((F.max("cluster") - F.min("cluster") + 1) == F.countDistinct("cluster")).alias("numbered"), F.lit(follows).alias("cophenetic"),

@@ -11,8 +11,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from presencia.functions import names
+from presencia.kernels import clustering, embedding
+from presencia.kernels import factor as kernels
 from presencia.operators import consensus, embed, enrich, factor, qc, sets, synteny
 from presencia.operators import presence as pr
+from presencia.plans import model_queries as mq
 from presencia.sources import sequences as sq
 from presencia.sources import tables as tb
 
@@ -729,3 +732,55 @@ def test_pairs_without_some_genomes_are_not_shuffled(spark):
     assert rest.count() == 20 * 19 // 2
     plan = rest._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_linkage_in_rounds_as_whole(spark, monkeypatch):
+    keep, p = random_sets(spark, 80, genes=5000)
+    own, want = sets.sets_of(p), clustering.ward(square_of(keep))
+    assert np.array_equal(sets.linkage(spark, own), want)
+    up = np.triu_indices(80, 1)
+    assert sets.cophenetic_correlation(spark, own, want) == pytest.approx(np.corrcoef(clustering.cophenetic(want)[up], square_of(keep)[up])[0, 1])
+    monkeypatch.setattr(sets, "MAX_SQUARE", 15)
+    assert sets.linkage(spark, own) == pytest.approx(want)
+    ties = sets.sets_of(spark.range(100).selectExpr("concat('c', id) as gene", "concat('s', id) as genome"))  # all at 1: pairs by pairs, not one a round
+    made = sets.linkage(spark, ties)
+    assert len(made) == 99 and made[-1, 3] == 100 and made[0, 2] == 1
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """More genomes than one square of 5000, with many equal sets."""
+    folder = str(tmp_path_factory.mktemp("crowd"))
+    genes = "explode(array('core', concat('c', id % 700), concat('d', id % 37), concat('e', id % 11))) as cluster"
+    spark.range(5050).selectExpr("id as row_id", genes, "concat(id % 12, '.', id) as genome_id").write.parquet(f"{folder}/locus_map.parquet")
+    return folder
+
+
+def test_clusters_of_more_genomes(spark, crowd):
+    rows = mq.distance_clusters(spark, crowd)  # over 5000 leaves were an error
+    assert rows.count() == 5050 and rows.where("cluster is null").count() == 0
+
+
+def test_sensitivity_of_more_genomes(spark, crowd):
+    counts = [r["num_clusters"] for r in mq.distance_sensitivity(spark, crowd).orderBy("threshold").collect()]
+    assert counts == sorted(counts, reverse=True) and counts[0] == 5050 and counts[-1] >= 1
+
+
+def test_kept_clusters_of_more_genomes(spark, crowd):
+    told = mq.distance_clusters_kept(spark, crowd).first()
+    assert (told["n_genomes"], told["n_clustered"], told["numbered"]) == (5050, 5050, True)
+
+
+def test_distances_without_of_more_genomes(spark, crowd):
+    n = 5050 * 4 // 5
+    assert mq.distances_without(spark, crowd).count() == n * (n - 1) // 2
+
+
+def test_correlations_of_more_genomes(spark, crowd):
+    rows = mq.distance_correlation(spark, crowd)
+    told = rows.agg(F.count(F.lit(1)), F.min("distance"), F.max("distance")).first()
+    assert told[0] == 5050 * 5049 // 2 and 0 < told[1] < told[2] <= 2  # no two sets are equal here
+    keep, p = random_sets(spark, 60)
+    c = 1 - np.corrcoef(square_of(keep))
+    found = sets.correlation_distances(spark, sets.sets_of(p)).collect()
+    assert len(found) == 60 * 59 // 2 and all(r["distance"] == pytest.approx(c[int(r["genome_1"][1:]), int(r["genome_2"][1:])]) for r in found)
