@@ -357,7 +357,7 @@ def genome_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("distance_clusters")
 def distance_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus.distance_clusters(_distances(spark, sf), "a", "b", "distance", 0.9)
+    return sets.distance_clusters(spark, _sets(spark, sf), 0.9)
 
 
 @R.query("distance_sensitivity")
