@@ -362,7 +362,8 @@ def distance_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("distance_sensitivity")
 def distance_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus.sensitivity(_distances(spark, sf), "a", "b", "distance")[0]
+    own = _sets(spark, sf)
+    return consensus.sensitivity_of(spark, sets.linkage(spark, own), own.n, sets.largest(spark, own))[0]
 
 
 @R.query(
