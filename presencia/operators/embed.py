@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from presencia.kernels import clustering, embedding
 from presencia.operators import sets
 from presencia.session import materialise
 
-#: Points of a map: kernels hold their square in one task.
+#: Points of density models: kernels hold their square in one task.
 MAX_POINTS = 5000
 
 
@@ -24,23 +25,25 @@ def neighbours(shape: tuple[int, int], asked: int | None = None) -> int:
 
 
 def genome_map(p: DataFrame, n_neighbors: int | None = None, seed: int = 42) -> DataFrame:
-    """``genome, x, y, z`` of a density-preserving embedding by cosine distance of gene content, at most MAX_POINTS genomes.
+    """``genome, x, y, z`` of a density-preserving embedding by cosine distance of gene content.
 
-    Cosines come from genes shared per pair of genomes (an equi join on the gene, each gene's genomes being at most
-    MAX_POINTS), so the table itself never meets in one task.
+    Tasks find each genome's neighbours; one task lays out the graph of these, whose size is the genomes times the neighbours.
     """
-    p = materialise(p.select("gene", "genome").distinct(), "presence")
-    sizes = p.groupBy("genome").agg(F.count(F.lit(1)).alias("n")).orderBy("genome").limit(MAX_POINTS + 1).toPandas()
-    if len(sizes) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} genomes")
-    ids = sizes["genome"].to_numpy(dtype=str)
-    genes = p.select("gene").distinct().count()
-    g = gram(p, ids.tolist())
-    # rows of the Gram matrix's root have the genomes' inner products, hence their cosines
-    values, vectors = np.linalg.eigh(g) if len(g) else (np.zeros(0), g)
-    y = embedding.densmap(vectors * np.sqrt(np.maximum(values, 0)), neighbours((max(genes, 4), max(len(ids), 4)), n_neighbors), seed=seed)
-    rows = pd.DataFrame({"genome": ids, **{c: y[:, k] for k, c in enumerate("xyz")}})
-    return p.sparkSession.createDataFrame(rows, "genome string, x double, y double, z double")
+    spark, own = p.sparkSession, sets.sets_of(p)
+    k = min(neighbours((max(own.n_genes, 4), max(own.n, 4)), n_neighbors), max(own.n - 1, 1))
+    if own.n < 5:  # too few for three coordinates
+        return spark.createDataFrame([(str(g), 0.0, 0.0, 0.0) for g in own.ids], "genome string, x double, y double, z double")
+    near = materialise(sets.nearest(spark, own, k), "neighbours")
+    files, ids = near.inputFiles(), own.ids
+
+    def lay_out(_: int):
+        rows = sets.stored(files, ["i", "near", "dist"])
+        order = np.argsort(rows["i"].to_numpy())
+        at, dist = (np.vstack(rows[c].to_numpy())[order] for c in ("near", "dist"))
+        y = embedding.of_neighbours(at, dist, seed=seed)
+        yield pa.record_batch([pa.array(ids, pa.string()), *[pa.array(y[:, c]) for c in range(3)]], ["genome", *"xyz"])
+
+    return materialise(sets.tasks(spark, lay_out, 1, "genome string, x double, y double, z double"), "map")
 
 
 def set_distances(p: DataFrame, digits: int | None = None) -> DataFrame:

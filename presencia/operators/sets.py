@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-from presencia.kernels import clustering
+from presencia.kernels import clustering, embedding
 from presencia.session import materialise
 
 #: A gene that more than one in so many genomes has is counted by a dense product, others by lists.
@@ -78,16 +78,21 @@ class Sets:
         return (rows[k : k + step] for k in range(0, len(rows), step))
 
 
-def sets_of(p: DataFrame) -> Sets:
-    """The gene sets of a presence table, read from its stored columns by the driver."""
-    p = materialise(p.select("gene", "genome").distinct(), "presence")
+def stored(files: list[str], columns: list[str], dictionaries: list[str] | None = None) -> pa.Table:
+    """Columns of Parquet files in the shared folder, read without Spark."""
     parts = []
-    for file in p.inputFiles():
+    for file in files:
         fs, inner = pafs.FileSystem.from_uri(file)
-        parts.append(pq.read_table(inner, filesystem=fs, columns=["gene", "genome"], read_dictionary=["gene", "genome"]))
-    if not parts:
+        parts.append(pq.read_table(inner, filesystem=fs, columns=columns, read_dictionary=dictionaries))
+    return pa.concat_tables(parts)
+
+
+def sets_of(p: DataFrame) -> Sets:
+    """The gene sets of a presence table, read from its stored columns by the driver."""
+    files = materialise(p.select("gene", "genome").distinct(), "presence").inputFiles()
+    if not files:
         return Sets(np.zeros(0, object), np.zeros(0, int), np.zeros(0, int), 0)
-    rows = pa.concat_tables(parts).unify_dictionaries().combine_chunks()
+    rows = stored(files, ["gene", "genome"], ["gene", "genome"]).unify_dictionaries().combine_chunks()
     genes, genomes = (pa.chunked_array(rows[c].chunks, rows[c].type).combine_chunks() for c in ("gene", "genome"))
     names = genomes.dictionary.to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, object)
     order = np.argsort(names, kind="stable")
@@ -96,7 +101,7 @@ def sets_of(p: DataFrame) -> Sets:
     return Sets(names[order], rank[genomes.indices.to_numpy()], genes.indices.to_numpy(), len(genes.dictionary))
 
 
-def _tasks(spark: SparkSession, made: Callable[[int], Iterator[pa.RecordBatch]], parts: int, schema: str) -> DataFrame:
+def tasks(spark: SparkSession, made: Callable[[int], Iterator[pa.RecordBatch]], parts: int, schema: str) -> DataFrame:
     """``made`` of 0 to ``parts`` - 1, a task each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +135,7 @@ def distances(spark: SparkSession, sets: Sets, digits: int | None = None) -> Dat
             values = np.concatenate([d[x, i + 1 :] for x, i in enumerate(rows)])
             yield pa.record_batch([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(rounded(values, digits))], ["a", "b", "distance"])
 
-    return _tasks(spark, made, parts, "a string, b string, distance double")
+    return tasks(spark, made, parts, "a string, b string, distance double")
 
 
 def correlation_distances(spark: SparkSession, sets: Sets, digits: int | None = None) -> DataFrame:
@@ -152,7 +157,7 @@ def correlation_distances(spark: SparkSession, sets: Sets, digits: int | None =
             at, to = np.nonzero(rows[:, None] < other[None, :])
             yield pa.record_batch([names.take(pa.array(rows[at])), names.take(pa.array(other[to])), pa.array(rounded(c[at, to], digits))], ["genome_1", "genome_2", "distance"])
 
-    return _tasks(spark, made, len(blocks), "genome_1 string, genome_2 string, distance double")
+    return tasks(spark, made, len(blocks), "genome_1 string, genome_2 string, distance double")
 
 
 def _between(sets: Sets, label: np.ndarray, size: np.ndarray, within: np.ndarray, of: np.ndarray, mine: int) -> np.ndarray:
@@ -208,7 +213,7 @@ def linkage(spark: SparkSession, sets: Sets) -> np.ndarray:
         yield pa.record_batch([pa.array([int(m[i]) for m in made]) for i in (0, 1)] + [pa.array([float(m[2]) for m in made])], ["a", "b", "height"])
 
     if len(size) > 1:
-        rest = _tasks(spark, whole, 1, "a bigint, b bigint, height double").collect()  # a row a merge, in the task's order
+        rest = tasks(spark, whole, 1, "a bigint, b bigint, height double").collect()  # a row a merge, in the task's order
         merges += [(first[r["a"]], first[r["b"]], r["height"]) for r in rest]
     return clustering.links_of(merges, n)
 
@@ -229,7 +234,7 @@ def nearest_clusters(spark: SparkSession, sets: Sets, label: np.ndarray, size: n
             height.append(float(low))
         yield pa.record_batch([pa.array(mine, pa.int64()), pa.array(near, pa.int64()), pa.array(height, pa.float64())], ["k", "near", "height"])
 
-    found = sorted(_tasks(spark, made, parts, "k bigint, near bigint, height double").collect())
+    found = sorted(tasks(spark, made, parts, "k bigint, near bigint, height double").collect())
     return np.array([r["near"] for r in found]), np.array([r["height"] for r in found])
 
 
@@ -245,7 +250,7 @@ def largest(spark: SparkSession, sets: Sets) -> float:
             top = max(top, float(d.max(initial=0)))
         yield pa.record_batch([pa.array([top])], ["top"])
 
-    return max(r["top"] for r in _tasks(spark, made, parts, "top double").collect())
+    return max(r["top"] for r in tasks(spark, made, parts, "top double").collect())
 
 
 def distance_clusters(spark: SparkSession, sets: Sets, threshold: float, links: np.ndarray | None = None) -> DataFrame:
@@ -254,6 +259,21 @@ def distance_clusters(spark: SparkSession, sets: Sets, threshold: float, links:
     return spark.createDataFrame([(str(g), int(c)) for g, c in zip(sets.ids, labels, strict=True)], "genome string, cluster int")
 
 
+def nearest(spark: SparkSession, sets: Sets, k: int) -> DataFrame:
+    """``i, near, dist``: the ``k`` nearest other genomes of each by the cosine of their sets, in rising order, the first of equal ones."""
+    parts = parts_of(spark, sets.n)
+
+    def made(part: int) -> Iterator[pa.RecordBatch]:
+        for rows in sets.blocks(np.arange(part, sets.n, parts), 16 << 20):
+            d = np.clip(1 - sets.shared(rows) / np.sqrt(sets.size[rows][:, None] * sets.size[None, :]), 0, None)
+            d[np.arange(len(rows)), rows] = np.inf
+            near = embedding.nearest(d, k)
+            lists = lambda x, kind: pa.ListArray.from_arrays(np.arange(0, x.size + 1, k, dtype=np.int32), pa.array(x.ravel(), kind))
+            yield pa.record_batch([pa.array(rows, pa.int32()), lists(near, pa.int32()), lists(np.take_along_axis(d, near, 1), pa.float64())], ["i", "near", "dist"])
+
+    return tasks(spark, made, parts, "i int, near array<int>, dist array<double>")
+
+
 def cophenetic_correlation(spark: SparkSession, sets: Sets, links: np.ndarray) -> float | None:
     """The correlation of the distances with the heights at which the tree of ``links`` joins the genomes."""
     n, parts = sets.n, parts_of(spark, sets.n)
@@ -273,7 +293,7 @@ def cophenetic_correlation(spark: SparkSession, sets: Sets, links: np.ndarray) -
                 total += d.sum(), h.sum(), d @ d, h @ h, d @ h
         yield pa.record_batch([pa.array([x]) for x in total], list("abcde"))
 
-    sums = np.sum([list(r) for r in _tasks(spark, made, parts, ", ".join(f"{c} double" for c in "abcde")).collect()], axis=0)
+    sums = np.sum([list(r) for r in tasks(spark, made, parts, ", ".join(f"{c} double" for c in "abcde")).collect()], axis=0)
     d, h, dd, hh, dh = sums / (n * (n - 1))  # each pair is met twice
     spread = (dd - d * d) * (hh - h * h)
     return float((dh - d * h) / np.sqrt(spread)) if spread > 0 else float("nan")

@@ -784,3 +784,21 @@ def test_correlations_of_more_genomes(spark, crowd):
     c = 1 - np.corrcoef(square_of(keep))
     found = sets.correlation_distances(spark, sets.sets_of(p)).collect()
     assert len(found) == 60 * 59 // 2 and all(r["distance"] == pytest.approx(c[int(r["genome_1"][1:]), int(r["genome_2"][1:])]) for r in found)
+
+
+def test_leading_vectors_as_by_the_whole_decomposition(monkeypatch):
+    rnd = np.random.default_rng(5)
+    a = np.triu(rnd.random((300, 300)) < 0.05, 1) * rnd.random((300, 300))
+    (i, j), w = np.nonzero(a), a[np.nonzero(a)]
+    degree = np.bincount(i, w, 300) + np.bincount(j, w, 300)
+    w = w / np.sqrt(degree[i] * degree[j])
+    whole = embedding.leading_vectors(i, j, w, 300, 4, rnd)
+    monkeypatch.setattr(embedding, "DENSE_POINTS", 10)
+    found = embedding.leading_vectors(i, j, w, 300, 4, rnd)
+    assert np.abs((whole * found).sum(0)) == pytest.approx(1, abs=1e-8)
+
+
+def test_map_of_more_genomes(spark, crowd):
+    rows = mq.genome_map(spark, crowd)  # over 5000 genomes were an error
+    assert rows.select("genome").distinct().count() == 5050
+    assert tuple(mq.map_kept(spark, crowd).first()) == (5050, True, True)
