@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
+#: Rows from which a matrix is decomposed in its own memory.
+IN_PLACE = 1500
+
 
 def nndsvd(x: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
     """Starting factors from the leading singular pairs' dominant signs (Boutsidis and Gallopoulos 2008)."""
@@ -90,3 +95,29 @@ def mca_inertia(burt: np.ndarray, n_questions: int) -> np.ndarray:
     root = np.sqrt(np.outer(r, r))
     values = np.linalg.eigvalsh((p - np.outer(r, r)) / root)[::-1]
     return np.maximum(values[: keep.sum() - n_questions], 0)
+
+
+def eigenvalues(a: np.ndarray) -> np.ndarray:
+    """Eigenvalues of a symmetric matrix in rising order; a large one is used up, so that it is held once.
+
+    Large ones go to LAPACK's two-stage reduction in numpy's own library, about half the time of the usual one; where that is
+    not found, to numpy.
+    """
+    n = len(a)
+    try:
+        solve = ctypes.CDLL(np.linalg._umath_linalg.__file__).scipy_dsyevd_2stage_64_
+    except (AttributeError, OSError):
+        return np.linalg.eigvalsh(a)
+    if n < IN_PLACE or not (a.flags.c_contiguous and a.dtype == np.float64):
+        return np.linalg.eigvalsh(a)
+    values, info, order = np.zeros(n), ctypes.c_int64(0), ctypes.c_int64(n)
+    size, isize = np.zeros(1), np.zeros(1, np.int64)
+    for ask in (True, False):  # first for the working space
+        work, iwork = (size, isize) if ask else (np.zeros(int(size[0])), np.zeros(int(isize[0]), np.int64))
+        lengths = [ctypes.c_int64(-1 if ask else len(x)) for x in (work, iwork)]
+        at = lambda x: x.ctypes.data_as(ctypes.c_void_p)
+        ref = ctypes.byref
+        solve(b"N", b"L", ref(order), at(a), ref(order), at(values), at(work), ref(lengths[0]), at(iwork), ref(lengths[1]), ref(info), ctypes.c_size_t(1), ctypes.c_size_t(1))
+        if info.value:
+            raise np.linalg.LinAlgError(f"no eigenvalues: {info.value}")
+    return values

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from presencia.kernels.clustering import kmeans_1d
-from presencia.kernels.factor import mca_inertia, nmf, nnls
-from presencia.operators.embed import MAX_POINTS, gram
+from presencia.kernels.factor import nmf, nnls
+from presencia.operators.sets import inertias, sets_of
 from presencia.session import discard, materialise
 
 #: Cells (genes x genomes) of a table that one task may hold densely, 128 MB; larger ones are factorised distributed.
@@ -329,19 +329,9 @@ def ranks_around(scores: DataFrame, metric: str, reach: int = 3) -> DataFrame:
 def mca(p: DataFrame) -> DataFrame:
     """``component, inertia, share, cumulative`` of multiple correspondence analysis over genes with genomes as questions.
 
-    The Burt matrix of a binary table follows from shared genes per pair of genomes and the genomes' gene counts; its
-    2 n columns are decomposed on the driver for at most MAX_POINTS genomes.
+    All components, by a whole decomposition in one task (:func:`sets.inertias`); :func:`mca_leading` finds a few in little memory.
     """
-    p = materialise(p.select("gene", "genome").distinct(), "presence")
-    n_genes = p.select("gene").distinct().count()
-    ids = [r["genome"] for r in p.select("genome").distinct().orderBy("genome").limit(MAX_POINTS + 1).collect()]
-    if len(ids) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} genomes: use mca_leading")
-    yes = gram(p, ids)
-    count = np.diag(yes)
-    yes_no = count[:, None] - yes
-    burt = np.block([[yes, yes_no], [yes_no.T, n_genes - count[:, None] - count[None, :] + yes]])
-    values = mca_inertia(burt, len(ids))
+    values = inertias(p.sparkSession, sets_of(p))
     share = values / values.sum() if values.sum() else values
     table = [(i + 1, float(v), float(s), float(c)) for i, (v, s, c) in enumerate(zip(values, share, np.cumsum(share), strict=True))]
     return p.sparkSession.createDataFrame(table, "component int, inertia double, share double, cumulative double")

@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from presencia.kernels import clustering, embedding
+from presencia.kernels.factor import eigenvalues
 from presencia.session import materialise
 
 #: A gene that more than one in so many genomes has is counted by a dense product, others by lists.
@@ -297,3 +298,27 @@ def cophenetic_correlation(spark: SparkSession, sets: Sets, links: np.ndarray) -
     d, h, dd, hh, dh = sums / (n * (n - 1))  # each pair is met twice
     spread = (dd - d * d) * (hh - h * h)
     return float((dh - d * h) / np.sqrt(spread)) if spread > 0 else float("nan")
+
+
+def inertias(spark: SparkSession, sets: Sets) -> np.ndarray:
+    """All principal inertias of the table with genomes as questions of two answers, in falling order.
+
+    They are the eigenvalues of the genomes' correlations over their number, found by one task that holds 8 bytes for each pair of
+    genomes once.  A genome with all genes has no second answer and no inertia.
+    """
+    share = sets.size / max(sets.n_genes, 1)
+    varied = np.flatnonzero(sets.size < sets.n_genes)
+
+    def whole(_: int) -> Iterator[pa.RecordBatch]:
+        r = np.empty((len(varied), len(varied)))
+        root = np.sqrt(share[varied] * (1 - share[varied]))
+        for at in sets.blocks(np.arange(len(varied)), 16 << 20):
+            rows = varied[at]
+            both = sets.shared(rows)[:, varied] / sets.n_genes
+            r[at] = (both - share[rows][:, None] * share[varied][None, :]) / (root[at][:, None] * root[None, :])
+        values = eigenvalues(r)[::-1]
+        yield pa.record_batch([pa.array(np.maximum(values, 0) / sets.n)], ["inertia"])
+
+    if not len(varied):
+        return np.zeros(0)
+    return np.array([r["inertia"] for r in tasks(spark, whole, 1, "inertia double").collect()])

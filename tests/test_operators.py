@@ -802,3 +802,17 @@ def test_map_of_more_genomes(spark, crowd):
     rows = mq.genome_map(spark, crowd)  # over 5000 genomes were an error
     assert rows.select("genome").distinct().count() == 5050
     assert tuple(mq.map_kept(spark, crowd).first()) == (5050, True, True)
+
+
+def test_inertias_as_by_the_burt_matrix(spark, crowd):
+    keep, p = random_sets(spark, 50)
+    keep[7] = True  # a genome with all genes has no second answer
+    p = spark.createDataFrame([(f"c{g}", f"s{i:04}") for i, g in zip(*np.nonzero(keep), strict=True)], "gene string, genome string")
+    z = np.hstack([keep.T, ~keep.T]).astype(float)
+    want = kernels.mca_inertia(z.T @ z, 50)
+    found = factor.mca(p).orderBy("component").collect()
+    assert len(want) == 49 and [r["inertia"] for r in found] == pytest.approx(want, abs=1e-10) and found[-1]["cumulative"] == pytest.approx(1)
+    a = np.random.default_rng(2).normal(size=(1600, 1600))
+    a = a + a.T
+    assert kernels.eigenvalues(a.copy()) == pytest.approx(np.linalg.eigvalsh(a), abs=1e-9)
+    assert tuple(mq.inertia_kept(spark, crowd).first()) == (True, True, True, 5050)  # over 5000 genomes were an error
