@@ -372,8 +372,7 @@ def distance_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 SELECT x.g AS genome_1, y.g AS genome_2, round(1 - corr(x.distance, y.distance), 6) AS distance FROM q x JOIN q y ON x.k = y.k AND x.g < y.g GROUP BY ALL""",
 )
 def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    found = consensus.correlation_distance(_distances(spark, sf), "a", "b", "distance")
-    return found.withColumn("distance", F.round("distance", 6))
+    return sets.correlation_distances(spark, _sets(spark, sf), 6)
 
 
 @R.query("distances_without", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d WHERE split_part(a, '.', 2)::INT % 5 > 0 AND split_part(b, '.', 2)::INT % 5 > 0")
