@@ -340,11 +340,6 @@ _PAIRS = f"""{P}, n AS (SELECT genome, count(*) AS n FROM p GROUP BY genome), c
 d AS (SELECT x.genome AS a, y.genome AS b, 1 - coalesce(c, 0) / (x.n + y.n - coalesce(c, 0))::DOUBLE AS distance FROM n x JOIN n y ON x.genome < y.genome LEFT JOIN c ON c.a = x.genome AND c.b = y.genome)"""
 
 
-def _distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Set distances of all genomes."""
-    return materialise(embed.set_distances(genes_by_genome(spark, sf)), "distances")
-
-
 def _sets(spark: SparkSession, sf: str) -> sets.Sets:
     """The gene sets of all genomes."""
     return sets.sets_of(genes_by_genome(spark, sf))
@@ -378,10 +373,10 @@ def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("distances_without", f"WITH {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM d WHERE split_part(a, '.', 2)::INT % 5 > 0 AND split_part(b, '.', 2)::INT % 5 > 0")
 def distances_without(spark: SparkSession, sf: str) -> DataFrame:
     """Distances without those of some genomes."""
-    pairs = _distances(spark, sf)
-    leaves = pairs.select(F.explode(F.array("a", "b")).alias("genome")).distinct()
-    removed = leaves.where(F.split_part("genome", F.lit("."), F.lit(2)).cast("int") % 5 == 0)
-    return consensus.without(pairs, "a", "b", removed).withColumn("distance", F.round("distance", 9)).select("a", "b", "distance")
+    p = genes_by_genome(spark, sf)
+    pairs = embed.set_distances(p, 9)
+    removed = p.select("genome").distinct().where(F.split_part("genome", F.lit("."), F.lit(2)).cast("int") % 5 == 0)
+    return consensus.without(pairs, "a", "b", removed).select("a", "b", "distance")
 
 
 @R.query("distance_clusters_kept", f"WITH {_PAIRS} SELECT count(*) AS n_genomes, count(*) AS n_clustered, true AS numbered, true AS cophenetic FROM n")
