@@ -816,3 +816,8 @@ def test_inertias_as_by_the_burt_matrix(spark, crowd):
     a = a + a.T
     assert kernels.eigenvalues(a.copy()) == pytest.approx(np.linalg.eigvalsh(a), abs=1e-9)
     assert tuple(mq.inertia_kept(spark, crowd).first()) == (True, True, True, 5050)  # over 5000 genomes were an error
+
+
+def test_ranks_from_inertias_of_more_genomes(spark, crowd):
+    ranks = [r["rank"] for r in mq.inertia_ranks(spark, crowd).collect()]  # over 5000 genomes were an error
+    assert ranks == sorted(set(ranks)) and ranks[:2] == [2, 5] and ranks[-1] <= 5050
