@@ -8,6 +8,8 @@ import numpy as np
 
 #: Rows from which a matrix is decomposed in its own memory.
 IN_PLACE = 1500
+#: Eigenvalues that are bisected together, and the nodes that carry what poles beyond their interval's width from it add.
+TOGETHER, NODES = 64, 24
 
 
 def nndsvd(x: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,3 +123,56 @@ def eigenvalues(a: np.ndarray) -> np.ndarray:
         if info.value:
             raise np.linalg.LinAlgError(f"no eigenvalues: {info.value}")
     return values
+
+
+def low_rank(v: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orthogonal columns and signs of the same v diag(signs) v', without those that are nothing to working precision."""
+    q, r = np.linalg.qr(v)
+    values, vectors = np.linalg.eigh((r * signs) @ r.T)
+    keep = np.abs(values) > 1e-15 * np.abs(values).max(initial=0)
+    return q @ vectors[:, keep] * np.sqrt(np.abs(values[keep])), np.sign(values[keep])
+
+
+def changed_eigenvalues(poles: np.ndarray, w: np.ndarray, signs: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Eigenvalues of diag(poles) + w diag(signs) w', w a few orthogonal columns: of ``parts`` groups' lots the lot ``part``.
+
+    So many poles are below x, and so many of signs + w' diag(1 / (poles - x)) w are positive beyond the positive signs: that is
+    how many eigenvalues are below x.  Each is bisected between the poles that may bound it, down to rounding.  Poles far from
+    such an interval are summed once, at the nodes of a Chebyshev polynomial that is as exact as the sum.
+    """
+    order = np.argsort(poles, kind="stable")
+    poles, w, n, r = poles[order], w[order], len(poles), w.shape[1]
+    up, down = int((signs > 0).sum()), int((signs < 0).sum())
+    sizes = (w**2).sum(0)
+    ends = np.concatenate([np.full(down, poles[0] - sizes[signs < 0].max(initial=0)), poles, np.full(up, poles[-1] + sizes[signs > 0].max(initial=0))])
+    least = 2 * np.finfo(float).eps * np.abs(ends).max()
+    a, b = np.triu_indices(r)
+    pairs = w[:, a] * w[:, b]
+    angles = (np.arange(NODES) + 0.5) * np.pi / NODES
+    fit = np.cos(np.outer(np.arange(NODES), angles)) * 2 / NODES
+    fit[0] /= 2
+
+    def over(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        d = of[None, :] - x[:, None]
+        d[d == 0] = least * 1e-3
+        return 1 / d
+
+    found = []
+    for start in range(part * TOGETHER, n, parts * TOGETHER):
+        own = np.arange(start, min(start + TOGETHER, n))
+        lo, hi = ends[own].copy(), ends[own + up + down].copy()
+        low, high = lo.min(), hi.max()
+        middle, half = (low + high) / 2, max((high - low) / 2, least)
+        i, j = np.searchsorted(poles, [low - 2 * half, high + 2 * half])
+        near, near_pairs = poles[i:j], pairs[i:j]
+        x = middle + half * np.cos(angles)
+        series = fit @ (over(x, poles[:i]) @ pairs[:i] + over(x, poles[j:]) @ pairs[j:])
+        while (hi - lo).max() > least:
+            x = (lo + hi) / 2
+            s = np.empty((len(own), r, r))
+            s[:, a, b] = s[:, b, a] = over(x, near) @ near_pairs + np.cos(np.arange(NODES) * np.arccos(np.clip((x - middle) / half, -1, 1))[:, None]) @ series
+            s[:, np.arange(r), np.arange(r)] += signs
+            below = np.searchsorted(poles, x) + (np.linalg.eigvalsh(s) > 0).sum(1) - up > own
+            lo, hi = np.where(below, lo, x), np.where(below, x, hi)
+        found.append((lo + hi) / 2)
+    return np.concatenate(found) if found else np.zeros(0)

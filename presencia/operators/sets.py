@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from presencia.kernels import clustering, embedding
-from presencia.kernels.factor import eigenvalues
+from presencia.kernels.factor import TOGETHER, changed_eigenvalues, eigenvalues, low_rank
 from presencia.session import materialise
 
 #: A gene that more than one in so many genomes has is counted by a dense product, others by lists.
@@ -25,6 +25,8 @@ BATCH_PAIRS = 500_000
 BLOCK_BYTES = 64 << 20
 #: Clusters whose square one task holds (512 MB); more are first merged round by round.
 MAX_SQUARE = 8000
+#: Numbers of the most frequent genes that are tried as those that link groups of genomes.
+LEFT_OUT = (0, 1, 2, 3, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 #: Relative difference below which two heights count as equal.
 EQUAL = 1e-12
 
@@ -300,14 +302,59 @@ def cophenetic_correlation(spark: SparkSession, sets: Sets, links: np.ndarray) -
     return float((dh - d * h) / np.sqrt(spread)) if spread > 0 else float("nan")
 
 
+def components(sets: Sets, kept: np.ndarray) -> np.ndarray:
+    """Of each genome, the first genome that ``kept`` genes link it to, directly or by others."""
+    genome = np.repeat(np.arange(sets.n), sets.size)
+    light = kept[sets.genes]
+    genome, gene = genome[light], sets.genes[light]
+    label = np.arange(sets.n)
+    while True:
+        least = np.full(sets.n_genes, sets.n)
+        np.minimum.at(least, gene, label[genome])
+        found = label.copy()
+        np.minimum.at(found, genome, least[gene])
+        found = found[found]
+        if (found == label).all():
+            return label
+        label = found
+
+
+def parted(sets: Sets) -> tuple[list[np.ndarray], np.ndarray]:
+    """Groups of genomes, the largest first, and the few genes that more than one group has: what is decomposed for the least work.
+
+    The most frequent genes are left out, none to LEFT_OUT of them, and the genomes grouped by the others.
+    """
+    freq = np.bincount(sets.genes, minlength=sets.n_genes)
+    often = np.argsort(-freq, kind="stable")
+    best = None
+    for left in [x for x in LEFT_OUT if x < max(sets.n_genes, 1)]:
+        kept = np.ones(sets.n_genes, bool)
+        kept[often[:left]] = False
+        label = components(sets, kept)
+        sizes = np.bincount(label)
+        work = 1.4 * sets.n**3 if sizes.max(initial=0) == sets.n else 9 * (sizes.astype(float) ** 3).sum() + 500 * sets.n * (left + 2) ** 3
+        if best is None or work < best[0]:
+            best = work, label, often[:left]
+    _, label, across = best
+    groups = np.split(np.argsort(label, kind="stable"), np.cumsum(sizes := np.bincount(label)[np.unique(label)])[:-1])
+    return [groups[i] for i in np.argsort(-sizes, kind="stable")], across
+
+
 def inertias(spark: SparkSession, sets: Sets) -> np.ndarray:
     """All principal inertias of the table with genomes as questions of two answers, in falling order.
 
-    They are the eigenvalues of the genomes' correlations over their number, found by one task that holds 8 bytes for each pair of
-    genomes once.  A genome with all genes has no second answer and no inertia.
+    They are the eigenvalues of the genomes' correlations over their number.  A genome with all genes has no second answer and
+    no inertia.  Genomes that share no gene but a few that are almost everywhere (:func:`parted`) correlate by these and the
+    margins alone, so tasks decompose each group of the others, and the changes by the few are added to its eigenvalues.  Where
+    all genomes hang together, one task holds 8 bytes for each pair of them once.
     """
     share = sets.size / max(sets.n_genes, 1)
     varied = np.flatnonzero(sets.size < sets.n_genes)
+    if not len(varied):
+        return np.zeros(0)
+    groups, across = parted(sets)
+    if len(groups) > 1:
+        return _inertias_of_groups(spark, sets, [g for g in (g[sets.size[g] < sets.n_genes] for g in groups) if len(g)], across)
 
     def whole(_: int) -> Iterator[pa.RecordBatch]:
         r = np.empty((len(varied), len(varied)))
@@ -319,6 +366,46 @@ def inertias(spark: SparkSession, sets: Sets) -> np.ndarray:
         values = eigenvalues(r)[::-1]
         yield pa.record_batch([pa.array(np.maximum(values, 0) / sets.n)], ["inertia"])
 
-    if not len(varied):
-        return np.zeros(0)
     return np.array([r["inertia"] for r in tasks(spark, whole, 1, "inertia double").collect()])
+
+
+def _inertias_of_groups(spark: SparkSession, sets: Sets, groups: list[np.ndarray], across: np.ndarray) -> np.ndarray:
+    """:func:`inertias` of groups of genomes that share no genes but those ``across`` them."""
+    m, everyone = sets.n_genes, np.concatenate(groups)
+    share = sets.size[everyone] / m
+    root = np.sqrt(share * (1 - share))
+    column = np.full(m, -1)
+    column[across] = np.arange(1, len(across) + 1)
+    v = np.zeros((sets.n, len(across) + 1))
+    far = column[sets.genes]
+    v[np.repeat(np.arange(sets.n), sets.size)[far > 0], far[far > 0]] = 1 / np.sqrt(m)
+    v = v[everyone] / root[:, None]
+    v[:, 0] = share / root
+    v, signs = low_rank(v, np.array([-1.0] + [1.0] * len(across)))
+    bounds = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+    parts = parts_of(spark, len(groups))
+
+    def decomposed(part: int) -> Iterator[pa.RecordBatch]:
+        for k in range(part, len(groups), parts):
+            at, cells = slice(bounds[k], bounds[k + 1]), [sets.genes[sets.start[g] : sets.start[g + 1]] for g in groups[k]]
+            cells = [c[column[c] < 0] for c in cells]
+            names, gene = np.unique(np.concatenate(cells), return_inverse=True)
+            own = Sets(groups[k], np.repeat(np.arange(len(cells)), [len(c) for c in cells]), gene, len(names))
+            r = np.empty((own.n, own.n))
+            for rows in own.blocks(np.arange(own.n), 16 << 20):
+                r[rows] = own.shared(rows) / m / (root[at][rows][:, None] * root[at][None, :])
+            values, vectors = np.linalg.eigh(r)
+            w = vectors.T @ v[at]
+            yield pa.record_batch([pa.array(values), *[pa.array(np.ascontiguousarray(c)) for c in w.T]], ["pole", *[f"w{i}" for i in range(w.shape[1])]])
+
+    names = [f"w{i}" for i in range(v.shape[1])]
+    files = materialise(tasks(spark, decomposed, parts, ", ".join(f"{c} double" for c in ["pole", *names])), "poles").inputFiles()
+    lots = parts_of(spark, -(-len(everyone) // TOGETHER))
+
+    def changed(lot: int) -> Iterator[pa.RecordBatch]:
+        rows = stored(files, ["pole", *names])
+        w = np.stack([rows[c].to_numpy() for c in names], 1)
+        yield pa.record_batch([pa.array(changed_eigenvalues(rows["pole"].to_numpy(), w, signs, lot, lots))], ["value"])
+
+    values = stored(materialise(tasks(spark, changed, lots, "value double"), "inertias").inputFiles(), ["value"])["value"].to_numpy()
+    return np.maximum(np.sort(values)[::-1], 0) / sets.n

@@ -821,3 +821,30 @@ def test_inertias_as_by_the_burt_matrix(spark, crowd):
 def test_ranks_from_inertias_of_more_genomes(spark, crowd):
     ranks = [r["rank"] for r in mq.inertia_ranks(spark, crowd).collect()]  # over 5000 genomes were an error
     assert ranks == sorted(set(ranks)) and ranks[:2] == [2, 5] and ranks[-1] <= 5050
+
+
+def test_inertias_of_genomes_in_groups(spark):
+    rnd = np.random.default_rng(4)
+    keep = np.zeros((1201, 3 + 40 * 50), bool)  # genomes by genes: three that nearly all have, 50 of each group
+    keep[:, :3] = rnd.random((1201, 3)) < [1, 0.98, 0.9]
+    for g in range(1200):
+        keep[g, 3 + g // 30 * 50 : 53 + g // 30 * 50] = rnd.random(50) < 0.4
+    keep[7] = keep[8]  # two of the same genes; the last genome has none of a group
+    p = spark.createDataFrame([(f"g{j}", f"s{i:04}") for i, j in zip(*np.nonzero(keep), strict=True)], "gene string, genome string")
+    own = sets.sets_of(p)
+    groups, across = sets.parted(own)  # before, one task held the square of all genomes
+    assert sorted(map(len, groups)) == [1] + [30] * 40 and len(across) == 3
+    x = keep[:, keep.any(0)].astype(float)
+    r = np.corrcoef(x)
+    found = sets.inertias(spark, own)
+    assert found == pytest.approx(np.maximum(np.linalg.eigvalsh(r)[::-1], 0) / 1201, abs=1e-13) and found.sum() == pytest.approx(1)
+
+
+def test_eigenvalues_changed_by_a_few_columns():
+    rnd = np.random.default_rng(6)
+    poles = np.concatenate([rnd.gamma(0.3, 1, 400), np.zeros(40), np.full(60, 0.25)])
+    v, signs = rnd.normal(size=(500, 6)), np.array([-1.0, 1, 1, -1, 1, 1])
+    v[:, 2], v[9] = v[:, 1], 0
+    w, s = kernels.low_rank(v, signs)
+    found = np.sort(np.concatenate([kernels.changed_eigenvalues(poles, w, s, k, 3) for k in range(3)]))
+    assert w.shape == (500, 5) and found == pytest.approx(np.linalg.eigvalsh(np.diag(poles) + (v * signs) @ v.T), abs=1e-11)
