@@ -848,3 +848,9 @@ def test_eigenvalues_changed_by_a_few_columns():
     w, s = kernels.low_rank(v, signs)
     found = np.sort(np.concatenate([kernels.changed_eigenvalues(poles, w, s, k, 3) for k in range(3)]))
     assert w.shape == (500, 5) and found == pytest.approx(np.linalg.eigvalsh(np.diag(poles) + (v * signs) @ v.T), abs=1e-11)
+
+
+def test_kept_inertias_of_a_hundred_thousand_genomes(spark, tmp_path):
+    genes = "explode(array('core', concat('t', id % 5000), concat('c', id % 5000, '.', id % 3), concat('d', id % 5000, '.', id % 7), if(id % 50 = 0, 'often', 'most'))) as cluster"
+    spark.range(100_000).selectExpr("id as row_id", genes, "concat(id % 5000, '.', id) as genome_id").write.parquet(f"{tmp_path}/locus_map.parquet")
+    assert tuple(mq.inertia_kept(spark, str(tmp_path)).first()) == (True, True, True, 100_000)  # a square of 80 GB before
