@@ -125,6 +125,46 @@ def eigenvalues(a: np.ndarray) -> np.ndarray:
     return values
 
 
+def spectrum(a: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of a symmetric matrix without negative ones, and its eigenvectors' products with the columns of ``v``.
+
+    A large matrix is used up, so that it is held once: it is made tridiagonal in place, and the rotations that make that diagonal
+    (LAPACK's QR of bidiagonal matrices, on a Cholesky factor of it raised to be definite) turn ``v`` alone.
+    """
+    n, m = v.shape
+    try:
+        blas = ctypes.CDLL(np.linalg._umath_linalg.__file__)
+        reduce, turn, solve = blas.scipy_dsytrd_64_, blas.scipy_dormtr_64_, blas.scipy_dbdsqr_64_
+    except (AttributeError, OSError):
+        n = 0
+    if n < IN_PLACE or not (a.flags.c_contiguous and a.dtype == np.float64):
+        values, vectors = np.linalg.eigh(a)
+        return values, vectors.T @ v
+    at, ref, whole, one = (lambda x: x.ctypes.data_as(ctypes.c_void_p)), ctypes.byref, ctypes.c_int64, ctypes.c_size_t(1)
+    info, order, columns = whole(0), whole(n), whole(m)
+    d, e, tau, c = np.zeros(n), np.zeros(n), np.zeros(n), np.array(v, dtype=float, order="F")
+
+    def called(f, *args, names: int = 1) -> None:
+        f(*args, ref(info), *[one] * names)
+        if info.value:
+            raise np.linalg.LinAlgError(f"no eigenvalues: {info.value}")
+
+    for step, args, names in ((reduce, (b"L", ref(order), at(a), ref(order), at(d), at(e), at(tau)), 1), (turn, (b"L", b"L", b"T", ref(order), ref(columns), at(a), ref(order), at(tau), at(c), ref(order)), 3)):
+        work = np.zeros(1)
+        called(step, *args, at(work), ref(whole(-1)), names=names)  # for the working space
+        work = np.zeros(int(work[0]))
+        called(step, *args, at(work), ref(whole(len(work))), names=names)
+    raised = np.abs(d).max() + 2 * np.abs(e[:-1]).max()
+    d += raised
+    for i in range(n):
+        d[i] = np.sqrt(d[i] - (e[i - 1] ** 2 if i else 0))
+        if i + 1 < n:
+            e[i] /= d[i]
+    none, work = np.zeros(1), np.zeros(4 * n)
+    called(solve, b"U", ref(order), ref(columns), ref(whole(0)), ref(whole(0)), at(d), at(e), at(c), ref(order), at(none), ref(whole(1)), at(none), ref(whole(1)), at(work))
+    return d**2 - raised, c
+
+
 def low_rank(v: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Orthogonal columns and signs of the same v diag(signs) v', without those that are nothing to working precision."""
     q, r = np.linalg.qr(v)

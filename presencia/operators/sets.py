@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from presencia.kernels import clustering, embedding
-from presencia.kernels.factor import TOGETHER, changed_eigenvalues, eigenvalues, low_rank
+from presencia.kernels.factor import TOGETHER, changed_eigenvalues, eigenvalues, low_rank, spectrum
 from presencia.session import materialise
 
 #: A gene that more than one in so many genomes has is counted by a dense product, others by lists.
@@ -345,8 +345,8 @@ def inertias(spark: SparkSession, sets: Sets) -> np.ndarray:
 
     They are the eigenvalues of the genomes' correlations over their number.  A genome with all genes has no second answer and
     no inertia.  Genomes that share no gene but a few that are almost everywhere (:func:`parted`) correlate by these and the
-    margins alone, so tasks decompose each group of the others, and the changes by the few are added to its eigenvalues.  Where
-    all genomes hang together, one task holds 8 bytes for each pair of them once.
+    margins alone, so tasks decompose each group, 8 bytes for each pair in it, and the changes by the few are added to the
+    eigenvalues.  Where all genomes hang together, one task holds 8 bytes for each pair of them once.
     """
     share = sets.size / max(sets.n_genes, 1)
     varied = np.flatnonzero(sets.size < sets.n_genes)
@@ -394,8 +394,7 @@ def _inertias_of_groups(spark: SparkSession, sets: Sets, groups: list[np.ndarray
             r = np.empty((own.n, own.n))
             for rows in own.blocks(np.arange(own.n), 16 << 20):
                 r[rows] = own.shared(rows) / m / (root[at][rows][:, None] * root[at][None, :])
-            values, vectors = np.linalg.eigh(r)
-            w = vectors.T @ v[at]
+            values, w = spectrum(r, v[at])
             yield pa.record_batch([pa.array(values), *[pa.array(np.ascontiguousarray(c)) for c in w.T]], ["pole", *[f"w{i}" for i in range(w.shape[1])]])
 
     names = [f"w{i}" for i in range(v.shape[1])]

@@ -869,3 +869,16 @@ def test_map_takes_few_passes_over_its_edges():
 
     unit = took(lambda: np.bincount(near.ravel(), dist.ravel(), n), 100)
     assert took(lambda: embedding.of_neighbours(near, dist, epochs=90)) < 105 * unit  # 148 and 154 times before, now 54 and 67
+
+
+def test_spectrum_of_a_matrix_held_once():
+    rnd = np.random.default_rng(1)
+    x = (rnd.random((1600, 700)) < 0.1).astype(float)
+    x[1500:] = x[:100]  # many eigenvalues are 0
+    a, v = x @ x.T / 700, rnd.normal(size=(1600, 5))
+    want, vectors = np.linalg.eigh(a)
+    found, w = kernels.spectrum(a, v)  # there was none before
+    assert np.sort(found) == pytest.approx(want, abs=1e-11)
+    sums = lambda poles, w, x: (w / (poles - x)[:, None]).T @ w
+    for x in (-0.5, (want[-2] + want[-1]) / 2, want[-1] + 1):
+        assert sums(found, w, x) == pytest.approx(sums(want, vectors.T @ v, x), rel=1e-8, abs=1e-8)
